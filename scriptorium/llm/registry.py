@@ -1,7 +1,7 @@
 """The queries of the training-data operators, with their SQL where SQL can express them."""
 
-from scriptorium.llm import media, secrets, sharding
+from scriptorium.llm import bpe, media, secrets, sharding
 
-MODULES = [media, sharding, secrets]
+MODULES = [bpe, media, sharding, secrets]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
