@@ -1,7 +1,7 @@
 """The queries of the training-data operators, with their SQL where SQL can express them."""
 
-from scriptorium.llm import bpe, html, media, secrets, sharding, warc
+from scriptorium.llm import bpe, html, media, quality, secrets, sharding, warc
 
-MODULES = [bpe, html, media, sharding, secrets, warc]
+MODULES = [bpe, html, media, quality, sharding, secrets, warc]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
