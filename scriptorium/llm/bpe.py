@@ -2,13 +2,14 @@
 
 1. Every task pre-tokenises its texts in blocks of about ``BLOCK_CHARS`` characters. A block keeps, for each text,
    the positions as a sequence of local word numbers, and lists each distinct word (pre-token) once.
-2. The (word, block) rows are shuffled by word, so each distinct word of the corpus is encoded in one place, once.
+2. A block's words are dealt into buckets by their hash and shuffled by bucket, packed. All rows of a word meet in one
+   task, which encodes each distinct word once.
 3. The ids go back by block, where they meet the block's texts and are set in by position.
 4. Decoding looks ids up in the table of token bytes, which has the size of the vocabulary.
 
-A word occurs once a block at most, so no word is hot: the commonest has as many rows as there are blocks, and
-blocks are dealt out by a hash. A block's key is a hash over its word list, so both sides of step 3 agree whatever
-task computes them, and blocks with equal lists share their ids. Nothing is collected; a task holds one block.
+A word occurs once a block at most, so no word is hot: the commonest counts as often as there are blocks, and
+blocks and buckets are dealt out by hashes. A block's key is a hash over its word list, so both sides of step 3 agree
+whatever task computes them, and blocks with equal lists share their ids. Nothing is collected; a task holds one block.
 
 Results for odd rows: a null or empty text has no ids (sha of no bytes); texts of any length are encoded whole (one
 text may be a block larger than BLOCK_CHARS); repeated rows repeat; null keys are kept; an empty table gives an empty
@@ -20,6 +21,8 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +47,14 @@ def vocabulary(path: str | None = None, pattern: str | None = None) -> tuple[dic
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern or public_tokenizers.PATTERN
 
 
+class Numbers(dict):
+    """Numbers words in order of appearance."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class Splitter:
     """Pre-tokens of a text by the tokenizer's pattern."""
 
@@ -52,14 +63,14 @@ class Splitter:
 
         self.find = regex.compile(pattern).findall
 
-    def block(self, texts: list[str | None]) -> tuple[list[str], list[np.ndarray]]:
-        """The distinct words in order of appearance, and each text as numbers of words."""
-        number: dict[str, int] = {}
-        found = []
+    def block(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct words in order of appearance, all texts as numbers of words, and each text's words."""
+        numbers = Numbers()
+        number, found = numbers.__getitem__, []
         for text in texts:
             words = self.find(text or "")
-            found.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint32, len(words)))
-        return list(number), found
+            found.append(np.fromiter(map(number, words), np.uint32, len(words)))
+        return list(numbers), np.concatenate(found), np.array([len(x) for x in found], np.uint32)
 
 
 def blocks(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[tuple[pa.Array, list[str | None]]]:
@@ -72,104 +83,132 @@ def blocks(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[tuple[pa.A
             yield keys.slice(at, n), texts.slice(at, n).to_pylist()
 
 
-def block_key(words: list[str]) -> int:
-    h = xxhash.xxh3_64()
-    for w in words:
-        h.update(w.encode() + b"\xff")  # a byte that no UTF-8 text has
-    return h.intdigest() - (1 << 63)
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers as planes of low to high bytes, compressed: small numbers take little room."""
+    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
 
 
-def word_rows(docs: DataFrame, key: str, text_col: str, pattern: str, chars: int) -> DataFrame:
-    """(block, number, word): the distinct words of each block."""
+def unpack(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view("<u4")
 
-    def emit(batches):
-        split = Splitter(pattern)
-        for _, texts in blocks(batches, chars):
-            words, _ = split.block(texts)
-            n = len(words)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block_key(words))), pa.array(np.arange(n, dtype=np.int32)), pa.array(words, pa.string())], names=["block", "number", "word"])
 
-    return docs.select(key, text_col).mapInArrow(emit, "block long, number int, word string")
+def pack_words(words: list[str]) -> tuple[bytes, bytes]:
+    return pack(np.fromiter(map(len, words), np.uint32, len(words))), zstandard.compress("".join(words).encode(), 3)
+
+
+def unpack_words(sizes: bytes, joined: bytes) -> list[str]:
+    text, ends = zstandard.decompress(joined).decode(), np.cumsum(unpack(sizes)).tolist()
+    return [text[a:b] for a, b in zip([0, *ends], ends)]
+
 
+def layout(words: list[str], buckets: int) -> tuple[int, np.ndarray]:
+    """The block's key, from its word list, and each word's bucket."""
+    sizes = np.fromiter(map(len, words), np.uint32, len(words))
+    h = xxhash.xxh3_64("".join(words).encode())
+    h.update(sizes.tobytes())
+    return h.intdigest() - (1 << 63), np.fromiter((crc32(w.encode()) % buckets for w in words), np.uint32, len(words))
 
-def text_rows(docs: DataFrame, key: str, text_col: str, pattern: str, chars: int) -> DataFrame:
-    """(block, key, sequence): each text as packed numbers of its words."""
+
+def word_rows(docs: DataFrame, key: str, text_col: str, pattern: str, chars: int, buckets: int) -> DataFrame:
+    """(block, bucket, sizes, words): the distinct words of each block by bucket, packed."""
 
     def emit(batches):
-        split, packer = Splitter(pattern), zstandard.ZstdCompressor(level=3)
-        for keys, texts in blocks(batches, chars):
-            words, found = split.block(texts)
-            packed = [packer.compress(_narrow(x, len(words))) for x in found]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block_key(words))), keys, pa.array(packed, pa.binary())], names=["block", key, "sequence"])
+        split = Splitter(pattern)
+        for _, texts in blocks(batches, chars):
+            words, _, _ = split.block(texts)
+            block, bucket = layout(words, buckets)
+            order = np.argsort(bucket, kind="stable")
+            parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
+            packed = [pack_words([words[i] for i in part.tolist()]) for part in parts]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block] * len(parts), pa.int64()), pa.array([int(bucket[x[0]]) for x in parts], pa.int32()), pa.array([x for x, _ in packed], pa.binary()), pa.array([x for _, x in packed], pa.binary())],
+                names=["block", "bucket", "sizes", "words"],
+            )
 
-    return docs.select(key, text_col).mapInArrow(emit, f"block long, {key} {docs.schema[key].dataType.simpleString()}, sequence binary")
+    return docs.select(key, text_col).mapInArrow(emit, "block long, bucket int, sizes binary, words binary")
 
 
-def _narrow(numbers: np.ndarray, words: int) -> bytes:
-    """Low and high bytes apart: numbers of frequent words are small."""
-    return numbers.astype(np.uint32).view(np.uint8).reshape(-1, 4).T[: 2 if words <= 1 << 16 else 4].tobytes()
+def text_rows(docs: DataFrame, key: str, text_col: str, pattern: str, chars: int, buckets: int) -> DataFrame:
+    """(block, keys, counts, sequence, buckets): a block's texts as packed numbers of words, and the words' buckets."""
 
+    def emit(batches):
+        split = Splitter(pattern)
+        for keys, texts in blocks(batches, chars):
+            words, sequence, counts = split.block(texts)
+            block, bucket = layout(words, buckets)
+            lists = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
+            packed = [pa.array([pack(x)], pa.binary()) for x in (counts, sequence, bucket)]
+            yield pa.RecordBatch.from_arrays([pa.array([block]), lists, *packed], names=["block", "keys", "counts", "sequence", "buckets"])
 
-def _widen(raw: bytes, words: int) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(2 if words <= 1 << 16 else 4, -1)
-    full = np.zeros((planes.shape[1], 4), np.uint8)
-    full[:, : len(planes)] = planes.T
-    return full.reshape(-1).view(np.uint32)
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, text_col).mapInArrow(emit, f"block long, keys array<{kind}>, counts binary, sequence binary, buckets binary")
 
 
 def encoded_rows(words: DataFrame, ranks) -> DataFrame:
-    """(block, number, ids): the words' ids. Rows are dealt by word, so that each distinct word is encoded once."""
+    """(block, bucket, sizes, ids): the words' ids. Rows are dealt by bucket, so that each distinct word is encoded once."""
 
     def emit(batches):
         import tiktoken
 
         own = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks.value, special_tokens={})
-        memo: dict[str, bytes] = {}
+        memo: dict[str, list[int]] = {}
         for batch in batches:
-            out = []
-            for w in batch.column(2).to_pylist():
-                ids = memo.get(w)
-                if ids is None:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    ids = memo[w] = np.array(own.encode_ordinary(w), np.uint32).tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block", "number", "ids"])
-
-    return words.repartition("word").mapInArrow(emit, "block long, number int, ids binary")
+            sizes, out = [], []
+            for size, joined in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                found = []
+                for w in unpack_words(size, joined):
+                    ids = memo.get(w)
+                    if ids is None:
+                        if len(memo) >= MEMO:
+                            memo.clear()
+                        ids = memo[w] = own.encode_ordinary(w)
+                    found.append(ids)
+                sizes.append(pack(np.fromiter(map(len, found), np.uint32, len(found))))
+                out.append(pack(np.fromiter(chain.from_iterable(found), np.uint32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.binary()), pa.array(out, pa.binary())], names=["block", "bucket", "sizes", "ids"])
+
+    return words.repartition("bucket").mapInArrow(emit, "block long, bucket int, sizes binary, ids binary")
 
 
 def encode(docs: DataFrame, tokens_of, schema: str, key: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, chars: int = BLOCK_CHARS) -> DataFrame:
     """Applies ``tokens_of(keys, list of id arrays) -> list of columns`` to the encoded texts of each block.
 
-    docs has to give the same rows when read twice (as files do)."""
+    docs has to give the same rows when read twice (as files do); if it doesn't, this raises."""
     ranks, pattern = vocabulary(path, pattern)
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # the size of the vocabulary
-    words = encoded_rows(word_rows(docs, key, text_col, pattern, chars), shared)
-    texts = text_rows(docs, key, text_col, pattern, chars)
+    buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = encoded_rows(word_rows(docs, key, text_col, pattern, chars, buckets), shared)
+    texts = text_rows(docs, key, text_col, pattern, chars, buckets)
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
+        other = ValueError("words and texts of a block don't match: the input gave other rows when read again")
         if not left.num_rows:
-            raise ValueError("a block of words has no texts: the input gave other rows when read again")
-        numbers = right.column("number").to_numpy()
-        order, n = np.full(int(numbers.max(initial=-1)) + 1, -1, np.int64), len(numbers)
-        order[numbers] = np.arange(n)
-        ids = right.column("ids").combine_chunks()
-        ids = ids.take(pa.array(order)) if n else ids
-        sizes = np.diff(np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]) // 4 if len(ids) else np.zeros(0, np.int64)
-        flat = np.frombuffer(b"".join(ids.to_pylist()), np.uint32)
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        unpack, encoded = zstandard.ZstdDecompressor(), []
-        for raw in left.column("sequence").to_pylist():
-            at = _widen(unpack.decompress(raw), len(order))
-            if len(at) and int(at.max()) >= len(order):
-                raise ValueError("words of a block are missing: the input gave other rows when read again")
-            size = sizes[at]
-            ends = np.cumsum(size)
-            # Token k of the text stands at its word's start plus its place in the word.
-            encoded.append(flat[np.repeat(starts[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)])
-        return pa.table(tokens_of(left.column(key).combine_chunks(), encoded), names=names)
+            raise other
+        # Blocks with equal word lists have equal ids: a bucket's first row stands for the others.
+        rows = dict(zip(right["bucket"].to_pylist(), zip(right["sizes"].to_pylist(), right["ids"].to_pylist())))
+        bucket = unpack(left["buckets"][0].as_py())
+        numbers = np.argsort(bucket, kind="stable")
+        if set(rows) != set(np.unique(bucket).tolist()):
+            raise other
+        parts = [rows[b] for b in sorted(rows)]
+        sizes = np.concatenate([np.zeros(0, np.int64), *[unpack(x).astype(np.int64) for x, _ in parts]])
+        flat = np.concatenate([np.zeros(0, np.uint32), *[unpack(x) for _, x in parts]])
+        if len(sizes) != len(numbers):
+            raise other
+        size_of, start_of = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
+        size_of[numbers], start_of[numbers] = sizes, np.cumsum(sizes) - sizes
+        keys, encoded = [], []
+        for row in left.to_batches():
+            for own, counts, sequence in zip(row.column("keys"), row.column("counts").to_pylist(), row.column("sequence").to_pylist()):
+                keys.append(own.values)
+                for at in np.split(unpack(sequence), np.cumsum(unpack(counts))[:-1].astype(np.int64)):
+                    size = size_of[at]
+                    ends = np.cumsum(size)
+                    # Token k of the text stands at its word's start plus its place in the word.
+                    encoded.append(flat[np.repeat(start_of[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)])
+        return pa.table(tokens_of(pa.concat_arrays(keys), encoded), names=names)
 
     return texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(assemble, schema)
 
