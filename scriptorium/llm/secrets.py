@@ -122,7 +122,7 @@ def redact(docs: DataFrame, text_col: str = "text", scope: int = SCOPE, mask: st
     """Replaces every reported span by the mask (overlapping spans by one); the columns stay the same.
 
     A null text stays null; n_chars, where there is one, follows the new text."""
-    df = with_spans(docs, text_col, scope)
+    df = with_spans(docs.select(text_col, F.struct(*docs.columns).alias("_row")), text_col, scope)
     t = F.col(text_col)
 
     def step(acc: Column, x: Column) -> Column:
@@ -130,10 +130,11 @@ def redact(docs: DataFrame, text_col: str = "text", scope: int = SCOPE, mask: st
         return F.when(x["start"] >= acc["at"], F.struct(x["end"].alias("at"), F.concat(acc["out"], gap, F.lit(mask)).alias("out"))).otherwise(F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out")))
 
     masked = F.aggregate(F.col("_all"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
-    out = df.withColumn(text_col, F.when(F.size("_all") > 0, masked).otherwise(t))
+    found = F.size("_all") > 0
+    new = {text_col: F.when(found, masked).otherwise(t)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_all") > 0, F.length(text_col).cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(found, F.length(new[text_col]).cast("long")).otherwise(F.col("_row.n_chars"))
+    return df.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op8_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
