@@ -1,7 +1,7 @@
 """All queries of the archive engine by name, and the SQL each is held against."""
 
-from scriptorium.plans import catalogue, records, texts
+from scriptorium.plans import catalogue, quality, records, texts
 
-MODULES = [catalogue, records, texts]
+MODULES = [catalogue, records, texts, quality]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
