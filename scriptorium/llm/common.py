@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +18,19 @@ BROADCAST_ROWS = 50_000
 BATCH_BYTES = 8 << 20
 
 
+#: Bytes of a row group that a writer holds in memory.
+ROW_GROUP = 16 << 20
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: int, chars: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices of about so many characters of a text column (one text may be longer)."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // chars)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            yield batch.slice(a, b - a)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -42,7 +59,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage and survives the loss of executors."""
     spark = df.sparkSession
     path = new_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from scriptorium.llm.bpe import vocabulary
-from scriptorium.llm.common import join_sized, new_dir, table, tune, written
+from scriptorium.llm.common import ROW_GROUP, join_sized, new_dir, pieces, table, tune, written
 
 LENGTH, SHARD_ROWS, ROUNDS, SEED = 512, 16_384, 6, 20_240_101
-MEMO = 300_000
+MEMO = 100_000
+#: Characters that are encoded at once.
+PIECE_CHARS = 1_000_000
 
 
 def feistel(index: np.ndarray, n: int, seed: int = SEED) -> np.ndarray:
@@ -78,7 +80,7 @@ def sequences(docs: DataFrame, key: str = "doc_id", text_col: str = "text", leng
 
         own = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=shared.value, special_tokens={})
         find, words = regex.compile(pattern).findall, WordIds(own.encode_ordinary)
-        for batch in batches:
+        for batch in pieces(batches, 1, PIECE_CHARS):
             rows, numbers, counts, records = [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 ids = np.fromiter(chain.from_iterable(map(words.__getitem__, find(text or ""))), kind)
@@ -117,7 +119,7 @@ def write_shards(docs: DataFrame, path: str, shard_rows: int = SHARD_ROWS, seed:
     """Writes the sequences in training order, one file a shard, rows in slot order; the shards' schema."""
     slots = with_slots(written(sequences(docs, **options), "order-sequences"), seed)
     shards = slots.withColumn("shard", F.floor(F.col("slot") / shard_rows).cast("long"))
-    shards.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    shards.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     return shards.schema
 
 
