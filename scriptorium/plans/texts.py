@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scriptorium.functions import pages as P
 from scriptorium.functions import text as T
 from scriptorium.functions import urls
 from scriptorium.operators import search
@@ -195,3 +196,9 @@ SELECT page_id, '<url><loc>' || replace(url, '&', '&amp;') || '</loc></url>' AS
 def sitemap_rows(spark, sf_dir):
     rows = table(spark, sf_dir, "pages").where(urls.is_web(F.col("url"), False))
     return rows.select("page_id", F.concat(F.lit("<url><loc>"), T.escape_xml(F.col("url")), F.lit("</loc></url>")).alias("entry"))
+
+
+@query()
+def html_detail_parse(spark, sf_dir):
+    found = P.details(table(spark, sf_dir, "pages"), "page_id", "html")
+    return found.select("id", "kind", "title", F.size("segments").alias("segments"))

@@ -5,7 +5,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from scriptorium.functions import numbers, urls
+from scriptorium.functions import numbers, pages, urls
 from scriptorium.functions import text as T
 from scriptorium.operators import catalog, enrich, packing, snapshots, validate
 from scriptorium.streaming import ingest
@@ -168,3 +168,24 @@ def test_without_the_training_data_operators():
     for f in top.rglob("*.py"):
         if "llm" not in f.parts:
             assert "scriptorium.llm" not in f.read_text(), f
+
+
+def test_dialogue_rules():
+    assert pages.classify("Ann Lee (0:03): hi\n\nplain")[1] == [("Ann Lee", 3.0, "hi"), (None, None, "plain")]
+    assert pages.classify("[1:01:02] Bo: yes")[1] == [("Bo", 3662.0, "yes")]
+    assert pages.classify("ANN: a\n\nBO: b\n\nANN: c")[0] == "dialogue"
+    assert pages.classify("ANN: a\n\nBO: b") == ("article", [(None, None, "ANN: a"), (None, None, "BO: b")])
+    assert pages.classify("DATE: a\n\nSOURCE: b\n\nNOTE: c")[0] == "article"
+    assert pages.classify(" \n\n ") == ("none", [])
+
+
+def test_detail_pages(spark):
+    import json
+
+    inner = json.dumps({"x": 1, "dialogue": [{"speaker": "Ann", "paras": [{"text": 'a ] " b', "t": 3}, {"content": " "}]}, {"paragraphs": [{"content": "c", "start": 62.5}]}]})
+    script = f"<script>self.__next_f.push({json.dumps([1, inner[:20]])})</script><script>self.__next_f.push([broken)</script><script>self.__next_f.push({json.dumps([1, inner[20:]])})</script>"
+    rows = [("1", f"<h1>T &amp; t</h1><iframe src='https://h/e'></iframe>{script}<article><p>no</p></article>"), ("2", "<article><h1>t</h1><p>one<p>two &lt;</article>"), ("3", "<p>no body</p>"), ("4", None)]
+    found = {r.id: r for r in pages.details(spark.createDataFrame(rows, "id string, h string"), "id", "h").collect()}
+    assert (found["1"].kind, found["1"].title, found["1"].embed) == ("dialogue", "T & t", "https://h/e")
+    assert [(s.speaker, s.start, s.text) for s in found["1"].segments] == [("Ann", 3.0, 'a ] " b'), (None, 62.5, "c")]
+    assert [s.text for s in found["2"].segments] == ["one", "two <"] and found["3"].kind == found["4"].kind == "none"
