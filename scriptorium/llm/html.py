@@ -6,8 +6,9 @@
    whose class, id or role names a menu, sidebar, notice, advert, share bar or reader comments.
 2. The text lengths of the lines are summed over a sliding window. The distribution surges where the main text starts
    and dives where it ends; of the stretches between a surge and its dive the heaviest is the article's core. Text in links weighs nothing.
-3. The core picks the page's content container (article, main or the like) that holds it: all of that container's lines
-   stay, short ones too. A page without such a container keeps the lines between surge and dive.
+3. The core picks the container that holds it: the page's content container (article, main or the like), else the innermost
+   division with nearly all of it. All of that container's lines stay, short ones too. A page without any keeps the lines
+   between surge and dive.
 
 Pages are independent rows: nothing is shuffled, a task holds one Arrow batch.
 
@@ -35,6 +36,9 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("nav footer aside form button select dialog menu head script style label fieldset".split())
 CONTENT = frozenset(["article", "main"])
+#: Divisions around a line that may become its container.
+NEAREST = 32
+DIVISIONS = frozenset(["div", "section", "td"])
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 NOISE = frozenset("nav navbar navigation menu breadcrumb breadcrumbs sidebar aside ad ads advert adverts advertisement advertisements adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal overlay share sharing social comment comments disqus respond reply replies related recommended footer header masthead newsletter subscribe signup login pagination pager widget toolbar skip copyright disclaimer alert".split())
@@ -61,18 +65,20 @@ def is_noise(tag: str, attrs: dict[str, str], in_content: bool) -> bool:
         return "display:none" in attrs.get("style", "").replace(" ", "")
     for name in (attrs.get("class", "") + " " + attrs.get("id", "")).split():
         words = [w.lower() for w in WORDS.findall(name)]
-        if NOISE.intersection(words) and not (words[0] in OWN and words[-1] in ("header", "footer", "content")):
+        if NOISE.intersection(words) and not (words[0] in OWN and words[-1] in ("header", "content")):
             return True
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, tuple[int, ...]]]:
-    """(text, characters outside links, ids of the content containers around it) of each block outside boilerplate."""
-    out: list[tuple[str, int, tuple[int, ...]]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, noise, content
+def lines(page: str) -> list[tuple[str, int, tuple[int, ...], tuple[int, ...]]]:
+    """(text, characters outside links, numbers of the content containers and of the divisions around it) of each block
+    outside boilerplate."""
+    out: list[tuple[str, int, tuple[int, ...], tuple[int, ...]]] = []
+    stack: list[tuple[str, bool, list[int] | None]] = []  # tag, noise, where it is noted
     parts: list[str] = []
     state = {"noise": 0, "links": 0, "free": 0}
     content: list[int] = []
+    divisions: list[int] = []
     serial, at = 0, 0
 
     def text(raw: str) -> None:
@@ -85,7 +91,7 @@ def lines(page: str) -> list[tuple[str, int, tuple[int, ...]]]:
     def flush() -> None:
         line = " ".join("".join(parts).split())
         if line:
-            out.append((line, min(state["free"], len(line)), tuple(content)))
+            out.append((line, min(state["free"], len(line)), tuple(content), tuple(divisions[-NEAREST:])))
         parts.clear()
         state["free"] = 0
 
@@ -93,8 +99,8 @@ def lines(page: str) -> list[tuple[str, int, tuple[int, ...]]]:
         tag, noise, holds = stack.pop()
         state["noise"] -= noise
         state["links"] -= tag == "a"
-        if holds:
-            content.pop()
+        if holds is not None:
+            holds.pop()
 
     while m := TOKEN.search(page, at):
         text(page[at : m.start()])
@@ -134,12 +140,13 @@ def lines(page: str) -> list[tuple[str, int, tuple[int, ...]]]:
         attrs = attributes(m[3])
         noise = not state["noise"] and is_noise(tag, attrs, bool(content))
         holds = tag in CONTENT or attrs.get("role", "").lower() in ("main", "article") or tag in ("div", "section", "td") and bool(CONTENT_NAME.search(attrs.get("class", "")) or CONTENT_NAME.search(attrs.get("id", "")) or attrs.get("itemprop") == "articleBody")
-        stack.append((tag, noise, holds))
+        noted = content if holds else divisions if tag in DIVISIONS else None
+        stack.append((tag, noise, noted))
         state["noise"] += noise
         state["links"] += tag == "a"
-        if holds:
+        if noted is not None:
             serial += 1
-            content.append(serial)
+            noted.append(serial)
     text(page[at:])
     flush()
     return out
@@ -171,24 +178,24 @@ def main_text(page: str | None) -> str:
     found = lines(page or "")
     if not found:
         return ""
-    sizes = [free for _, free, _ in found]
+    sizes = [free for _, free, _, _ in found]
     if not any(sizes):
-        return "\n".join(t for t, _, ids in found if ids)
+        return "\n".join(t for t, _, ids, _ in found if ids)
     start, end = core(sizes)
-    weights: dict[int, int] = {}
-    for (_, free, ids) in found[start:end]:
-        for i in ids:
-            weights[i] = weights.get(i, 0) + free
     whole = sum(sizes[start:end])
-    # The innermost container with nearly all of the core; containers are numbered from outside in.
-    inner = max((i for i, w in weights.items() if w >= 0.8 * whole), default=None)
-    if inner is None:
-        outer = max(weights, key=lambda i: (weights[i], -i), default=None)
-        if outer is not None and 2 * weights[outer] >= whole:
-            inner = outer
-    if inner is None:
-        return "\n".join(t for t, _, _ in found[start:end])
-    return "\n".join(t for t, _, ids in found if inner in ids)
+
+    def holder(of: int, least: float) -> int | None:
+        """The innermost container with so much of the core; containers are numbered from outside in."""
+        weights: dict[int, int] = {}
+        for row in found[start:end]:
+            for i in row[of]:
+                weights[i] = weights.get(i, 0) + row[1]
+        return max((i for i, w in weights.items() if w >= least * whole), default=None)
+
+    for of, least in ((2, 0.8), (2, 0.5), (3, 0.8)):
+        if (inner := holder(of, least)) is not None:
+            return "\n".join(row[0] for row in found if inner in row[of])
+    return "\n".join(t for t, _, _, _ in found[start:end])
 
 
 def extract(pages: DataFrame, key: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

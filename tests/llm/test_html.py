@@ -34,6 +34,12 @@ def test_surge_and_dive_without_container():
     assert text.split("\n") == [f"paragraph {i} with a good number of words that make up its text" for i in range(8)]
 
 
+def test_division_as_container():
+    body = "".join(f"<p>paragraph {i} with a good number of words that make up its text</p>" for i in range(5))
+    page = f"<body><div id=top><a href=1>a</a> <a href=2>b</a></div><div><div id=text><h1>Short</h1>{body}<p>End.</p></div><div class='post-footer'>Tags</div></div><div>other small words</div></body>"
+    assert html.main_text(page).split("\n")[0] == "Short" and html.main_text(page).split("\n")[-1] == "End."
+
+
 def test_core():
     assert html.core([0, 0, 0, 50, 60, 0, 70, 0, 0, 0, 5]) == (1, 7) or html.core([0, 0, 0, 50, 60, 0, 70, 0, 0, 0, 5])[1] == 7
 
