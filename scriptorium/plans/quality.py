@@ -97,6 +97,12 @@ def translate_resume(spark, sf_dir):
     return enrich.states(units, enrich.resume(units, checkpoint, lambda texts: [t.upper() for t in texts]), before).select("id", "status")
 
 
+@query(r"""
+SELECT doc_id, len(list_filter(regexp_split_to_array(regexp_replace(text, 'https?://\S+', ' ', 'g'), '[^A-Za-z0-9_]+'), lambda w: regexp_full_match(w, '[A-Za-z]*[a-z][A-Za-z]*') AND length(w) >= 2)) >= 2 AS needed FROM documents""")
+def han_needed(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", validate.needs_han(F.col("text")).alias("needed"))
+
+
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def windowed_counts(spark, sf_dir):
     rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))

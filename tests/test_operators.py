@@ -150,6 +150,14 @@ def test_validation_rules(spark):
     assert [r.id for r in validate.absent(spark.createDataFrame([("c",), ("a",)], "id string"), df, "id").collect()] == ["c"]
 
 
+def test_which_texts_need_han(spark):
+    texts = {"two words": True, "One": False, "see https://a.example/very/long example.com": False, "Acme Rocket flies": False, "NASA IBM": False, "": False, None: None}
+    df = spark.createDataFrame([(t,) for t in texts], "x string").select("x", validate.needs_han(F.col("x"), ["Acme", "Rocket"]).alias("y"))
+    assert {r.x: r.y for r in df.collect()} == texts
+    said = spark.createDataFrame([("Twenty-five percent, and 3!",), ("three cars",)], "x string").select(validate.numeric_utterance(F.col("x")).alias("y"))
+    assert [r.y for r in said.collect()] == [True, False]
+
+
 def test_stream(spark, tmp_path):
     rows = [(1, "a", 1), (2, "b", 1)], [(1, "a2", 2), (3, "c", 2)]
     for i, part in enumerate(rows):
@@ -175,7 +183,7 @@ def test_dialogue_rules():
     assert pages.classify("[1:01:02] Bo: yes")[1] == [("Bo", 3662.0, "yes")]
     assert pages.classify("ANN: a\n\nBO: b\n\nANN: c")[0] == "dialogue"
     assert pages.classify("ANN: a\n\nBO: b") == ("article", [(None, None, "ANN: a"), (None, None, "BO: b")])
-    assert pages.classify("DATE: a\n\nSOURCE: b\n\nNOTE: c")[0] == "article"
+    assert pages.classify("DATE: a\n\nSOURCE: b\n\nWHERE: c")[0] == "article"
     assert pages.classify(" \n\n ") == ("none", [])
 
 
