@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import table, tune
+from scriptorium.llm.common import pieces, table, tune
 
 #: Length of a q-gram, and edits allowed a character.
 Q, EDITS = 8, 0.1
@@ -38,6 +38,8 @@ BLOCK_BYTES = 4 << 20
 #: A q-gram in more places of the items than this is common.
 COMMON = 16
 BITS = 20
+#: Characters that are searched at once.
+PIECE_CHARS = 1_000_000
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 SPACES = (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 IS_SPACE = np.zeros(0x3002, bool)  # the last entry stands for all later characters
@@ -231,7 +233,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text_
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
-            for batch in batches:
+            for batch in pieces(batches, 1, PIECE_CHARS):
                 hits = search(index, batch.column(1).to_pylist())
                 columns = list(zip(*hits)) or [()] * 5
                 yield pa.RecordBatch.from_arrays(
@@ -252,7 +254,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_ke
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in pieces(batches, 0, PIECE_CHARS):
                 hit = {h[0] for h in search(shared.value, batch.column(0).to_pylist())}
                 yield batch.filter(pa.array([i not in hit for i in range(batch.num_rows)], pa.bool_()))
 

@@ -13,8 +13,10 @@ duplicates if their bags' weighted Jaccard similarity is at least ``SIMILARITY``
    missed with a probability of (1 - 0.8**4)**24 = 3e-6.
 4. Verification. In every bucket all nodes are compared with the first one (the hub) by the exact overlap of their bags. Verified links are
    contracted to components. While the nodes of a bucket that have not been hubs are in several components, the next hubs
-   (4, then 16, ...) are compared with the nodes in other components. So no link is lost and no bucket is expanded to all pairs:
-   a large group of copies falls into one component after a few hubs.
+   (8, then 64, ...) are compared with the nodes in other components. So no link is lost and no bucket is expanded to all pairs:
+   a large group of copies falls into one component after a few hubs. Bags are counted by ``CLASSES`` classes of shingles, without those that no
+   other node of a bucket over ``CROWD`` nodes has. Two nodes share at most the sum of the lesser counts, which rules nearly all unlike pairs
+   out before their bags are fetched; the node with the fewest shingles of its own, the middle of its group, is the first hub.
 5. Components by least labels with pointer jumping; every round is written to the shared folder.
 
 Nothing grows on the driver; hot buckets and hubs are only join keys of narrow rows, which partial aggregation, group limits and adaptive
@@ -36,13 +38,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import join_sized, table, tune, written
+from scriptorium.llm.common import join_sized, pieces, table, tune, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 ROWS, BANDS = 4, 24
 M = ROWS * BANDS
+#: Nodes of a bucket from which on their own shingles are counted.
+CROWD = 4
+#: Classes of shingles that bags are counted by.
+CLASSES = 16
 #: Words a task remembers the hashes of; beyond that it starts anew.
-MEMO = 400_000
+MEMO = 200_000
+#: Characters that are worked on at once.
+PIECE_CHARS = 1_000_000
 G, P = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
 LEAST_KEY = -(1 << 63)
 
@@ -149,18 +157,16 @@ def sketches(docs: DataFrame, key: str, text_col: str) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                nodes, doc, h, count = bags(part.column(1).to_pylist(), memo)
-                n = part.num_rows
-                sigs = signatures(n, doc, h, count)
-                cuts = np.searchsorted(doc, np.arange(n + 1))
-                sets = [expanded(h[a:b], count[a:b]) for a, b in zip(cuts, cuts[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(nodes, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sigs], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())],
-                    names=["k", "node", "size", "signature", "bag"],
-                )
+        for part in pieces(batches, 1, PIECE_CHARS):
+            nodes, doc, h, count = bags(part.column(1).to_pylist(), memo)
+            n = part.num_rows
+            sigs = signatures(n, doc, h, count)
+            cuts = np.searchsorted(doc, np.arange(n + 1))
+            sets = [expanded(h[a:b], count[a:b]) for a, b in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(nodes, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sigs], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())],
+                names=["k", "node", "size", "signature", "bag"],
+            )
 
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LEAST_KEY)).alias("k"), text_col)
     return written(rows.mapInArrow(emit, "k long, node binary, size long, signature binary, bag binary"), "neardup-sketches")
@@ -182,18 +188,43 @@ def band_rows(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "signature").mapInArrow(emit, "bucket long, node binary")
 
 
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """(node, own): how many elements of its bag, by class, no other of the nodes has."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, bag in enumerate(batch.column(1).to_pylist()):
+                elements = np.frombuffer(bag, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(elements), batch.column(0).take(pa.array(np.full(len(elements), i)))], names=["element", "node"])
+
+    elements = sets.select("node", "bag").mapInArrow(emit, "element int, node binary")
+    alone = elements.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
+    kind = F.pmod("element", F.lit(CLASSES))
+    return written(alone.groupBy("node").agg(F.array(*[F.sum((kind == c).cast("int")).cast("int") for c in range(CLASSES)]).alias("own")), "neardup-own")
+
+
+def counted(sets: DataFrame) -> DataFrame:
+    """(node, size, counts): the elements of each bag by class."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [np.bincount(np.frombuffer(bag, np.uint32) % CLASSES, minlength=CLASSES) for bag in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(counts, pa.list_(pa.int32()))], names=["node", "size", "counts"])
+
+    return sets.select("node", "size", "bag").mapInArrow(emit, "node binary, size long, counts array<int>")
+
+
 def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs (a, b) whose bags overlap enough."""
+    """Those of the pairs (a, b, ...) whose bags overlap enough."""
+    kept = pairs.schema
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [overlap(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            ok = [overlap(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= least for x, y in zip(batch.column("bag_a").to_pylist(), batch.column("bag_b").to_pylist())]
+            yield batch.select(kept.names).filter(pa.array(ok, pa.bool_()))
 
-    left, right = sets.select(F.col("node").alias("a"), F.col("bag").alias("bag_a"), F.col("size").alias("size_a")), sets.select(F.col("node").alias("b"), F.col("bag").alias("bag_b"), F.col("size").alias("size_b"))
-    # Sizes alone rule out pairs before their bags travel further.
-    sized = pairs.join(left, "a").join(right, "b").where((F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b")))
-    return sized.select("a", "b", "bag_a", "bag_b").mapInArrow(check, "a binary, b binary")
+    left, right = (sets.select(F.col("node").alias(x), F.col("bag").alias(f"bag_{x}")) for x in "ab")
+    return pairs.join(left, "a").join(right, "b").select(*kept.names, "bag_a", "bag_b").mapInArrow(check, kept)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -210,37 +241,61 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def relabelled(labels: DataFrame, merged: DataFrame) -> DataFrame:
+    """Labels (node, root) after some roots, and nodes that had no label, were merged."""
+    onward = merged.select(F.col("node").alias("root"), F.col("root").alias("next"))
+    moved = labels.join(onward, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return written(moved.unionAll(merged.join(labels, "node", "left_anti").select("node", "root")), "neardup-labels")
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """(key, class_id): the least key of each document's class."""
     sketch = sketches(docs, key, text_col)
     nodes = sketch.groupBy("node").agg(F.min("k").alias("k"), F.first("size").alias("size"), F.first("signature").alias("signature"))
     nodes = written(nodes, "neardup-nodes")
     bands = band_rows(nodes.where("size > 0"))
-    shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    rest = written(join_sized(bands, shared, ["bucket"], "inner"), "neardup-buckets")
+    shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", (F.col("n") > CROWD).alias("crowd"))
+    # Shuffled at any size: the buckets grow with the nodes.
+    rest = written(bands.join(shared.hint("merge"), "bucket"), "neardup-buckets")
     # The bags of candidates only, one row a node.
-    wanted = rest.select("node").distinct().join(nodes.select("node", "k"), "node")
+    wanted = rest.groupBy("node").agg(F.max("crowd").alias("crowd")).join(nodes.select("node", "k"), "node")
     sets = written(join_sized(sketch.select("node", "k", "size", "bag"), wanted, ["node", "k"], "inner").dropDuplicates(["node"]), "neardup-bags")
-    links, labels, hubs = None, None, 1
+    own = own_shingles(sets.where("crowd"))
+    sizes = counted(sets).join(own, "node", "left")
+    # place: the order of hubs in a bucket; counts: what the node can share with another of the bucket, by class.
+    less = F.when(F.col("crowd") & F.col("own").isNotNull(), F.zip_with("counts", "own", lambda a, b: a - b)).otherwise(F.col("counts"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    rest = rest.join(sizes, "node").select("bucket", "node", "size", less.alias("counts")).withColumn("most", total("counts"))
+    rest = written(rest.select("bucket", F.struct((F.col("size") - F.col("most")).alias("own"), "node").alias("place"), "node", "size", "most", "counts"), "neardup-buckets")
+    # A node that can't share enough with the smallest of its bucket shares enough with none.
+    smallest = rest.groupBy("bucket").agg(F.min("size").alias("smallest"))
+    rest = rest.join(smallest, "bucket").where(F.col("most") >= least * (F.col("size") + F.greatest("smallest", "most") - F.col("most"))).drop("smallest")
+    labels, hubs = None, 1
     while True:
-        state = rest if labels is None else rest.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        if labels is not None:
-            several = state.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-            state = written(join_sized(state, several, ["bucket"], "inner"), "neardup-state")
-            if state.limit(1).count() == 0:
-                break
+        if labels is None:
+            state = rest.withColumn("root", F.col("node"))
         else:
-            state = state.withColumn("root", F.col("node"))
-        first = state.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("node"))).where(F.col("rank") <= hubs)
-        hub = first.select("bucket", F.col("node").alias("a"), F.col("root").alias("root_a"))
-        pairs = state.join(hub, "bucket").where("node > a and root <> root_a").select("a", F.col("node").alias("b")).distinct()
+            state = rest.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        several = state.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
+        state = written(join_sized(state, several, ["bucket"], "inner"), "neardup-state")
+        if state.limit(1).count() == 0:
+            break
+        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("place"))
+        hub = state.withColumn("rank", rank).where(F.col("rank") <= hubs).select("bucket", F.col("node").alias("a"), F.col("place").alias("place_a"), F.col("root").alias("root_a"), F.col("size").alias("size_a"), F.col("counts").alias("counts_a"))
+        shared_most = sum((F.least(F.col("counts")[c], F.col("counts_a")[c]) for c in range(CLASSES)), F.lit(0))
+        may = (F.col("place") > F.col("place_a")) & (F.col("root") != F.col("root_a")) & (shared_most >= least * (F.col("size") + F.col("size_a") - shared_most))
+        meet = state.alias("s").join(hub.alias("h"), (F.col("s.bucket") == F.col("h.bucket")) & may)
+        pairs = meet.select("a", F.col("node").alias("b"), "root_a", F.col("root").alias("root_b")).distinct()
         found = written(similar(pairs, sets, least), "neardup-found")
-        links = found if links is None else links.unionAll(found)
-        labels = components(links)
+        if found.limit(1).count():
+            merged = components(found.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+            labels = merged if labels is None else relabelled(labels, merged)
         # The hubs have met all of their bucket.
-        last = hub.groupBy("bucket").agg(F.max("a").alias("last"))
-        rest = written(state.join(last, "bucket").where("node > last").select("bucket", "node"), "neardup-buckets")
-        hubs *= 4
+        last = hub.groupBy("bucket").agg(F.max("place_a").alias("last"))
+        rest = written(state.join(last, "bucket").where("place > last").drop("last", "root"), "neardup-buckets")
+        hubs *= 8
+    if labels is None:
+        labels = nodes.select("node", F.col("node").alias("root")).limit(0)
     rows = sketch.select("k", "node").join(labels, "node", "left").select("k", F.coalesce("root", "node").alias("root"))
     # The sentinel of null keys is left out unless there is no other key.
     names = rows.groupBy("root").agg(F.min(F.when(F.col("k") != LEAST_KEY, F.col("k"))).alias("class_id"))
