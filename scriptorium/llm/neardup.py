@@ -296,9 +296,10 @@ def classes(docs: DataFrame, key: str = "doc_id", text_col: str = "text", least:
         hubs *= 8
     if labels is None:
         labels = nodes.select("node", F.col("node").alias("root")).limit(0)
-    rows = sketch.select("k", "node").join(labels, "node", "left").select("k", F.coalesce("root", "node").alias("root"))
+    # Written, so that the join below reads plain exchanges, of which adaptive execution can split those of a large class.
+    rows = written(sketch.select("k", "node").join(labels, "node", "left").select("k", F.coalesce("root", "node").alias("root")), "neardup-roots")
     # The sentinel of null keys is left out unless there is no other key.
-    names = rows.groupBy("root").agg(F.min(F.when(F.col("k") != LEAST_KEY, F.col("k"))).alias("class_id"))
+    names = written(rows.groupBy("root").agg(F.min(F.when(F.col("k") != LEAST_KEY, F.col("k"))).alias("class_id")), "neardup-names")
     return rows.join(names, "root").select(F.when(F.col("k") != LEAST_KEY, F.col("k")).alias(key), "class_id")
 
 
