@@ -5,10 +5,12 @@
    than its article: navigation, headers and footers outside the article, asides, dialogs, and elements
    whose class, id or role names a menu, sidebar, notice, advert, share bar or reader comments.
 2. The text lengths of the lines are summed over a sliding window. The distribution surges where the main text starts
-   and dives where it ends; of the stretches between a surge and its dive the heaviest is the article's core. Text in links weighs nothing.
-3. The core picks the container that holds it: the page's content container (article, main or the like), else the innermost
-   division with nearly all of it. All of that container's lines stay, short ones too. A page without any keeps the lines
-   between surge and dive.
+   and dives where it ends; the stretches between a surge and its dive are the article's core. Text in links weighs nothing, and
+   a line counts at most LINE_CAP characters here, so that one very long line doesn't hide the others.
+3. The core picks the containers that hold it: the innermost content container (article, main or the like) around all core lines that
+   stand in one, or each outermost one where they have none in common; on pages whose core mostly stands outside such containers also
+   the innermost division around all of it or else around each stretch, if it holds little else, or else the innermost with nearly
+   all of the stretch. All lines of these containers stay, short ones too, and so does every line of the core.
 
 Pages are independent rows: nothing is shuffled, a task holds one Arrow batch.
 
@@ -19,6 +21,7 @@ than the key and address are dropped.
 
 from __future__ import annotations
 
+import heapq
 import html as references
 import re
 from collections.abc import Iterator
@@ -30,14 +33,14 @@ from scriptorium.llm.common import table, tune
 
 #: Lines whose text is summed around each line, and the share of the largest sum that a surge needs.
 WINDOW, SURGE = 3, 0.2
+#: Characters of a line that count towards a surge, and the share of a division's text that the core needs.
+LINE_CAP, PURE = 240, 0.8
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S)
 RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "noframes", "xmp")}
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("nav footer aside form button select dialog menu head script style label fieldset".split())
 CONTENT = frozenset(["article", "main"])
-#: Divisions around a line that may become its container.
-NEAREST = 32
 DIVISIONS = frozenset(["div", "section", "td"])
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
@@ -70,16 +73,18 @@ def is_noise(tag: str, attrs: dict[str, str], in_content: bool) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, tuple[int, ...], tuple[int, ...]]]:
-    """(text, characters outside links, numbers of the content containers and of the divisions around it) of each block
-    outside boilerplate."""
-    out: list[tuple[str, int, tuple[int, ...], tuple[int, ...]]] = []
+def lines(page: str) -> tuple[list[tuple[str, int, int, int]], list[int]]:
+    """(text, characters outside links, numbers of the innermost content container and of the innermost division around it, 0
+    for none) of each block outside boilerplate; and by a container's number that of the next one of its kind around it.
+    Containers are numbered from outside in."""
+    out: list[tuple[str, int, int, int]] = []
+    parents = [0]
     stack: list[tuple[str, bool, list[int] | None]] = []  # tag, noise, where it is noted
     parts: list[str] = []
     state = {"noise": 0, "links": 0, "free": 0}
     content: list[int] = []
     divisions: list[int] = []
-    serial, at = 0, 0
+    at = 0
 
     def text(raw: str) -> None:
         if raw and not state["noise"]:
@@ -91,7 +96,7 @@ def lines(page: str) -> list[tuple[str, int, tuple[int, ...], tuple[int, ...]]]:
     def flush() -> None:
         line = " ".join("".join(parts).split())
         if line:
-            out.append((line, min(state["free"], len(line)), tuple(content), tuple(divisions[-NEAREST:])))
+            out.append((line, min(state["free"], len(line)), content[-1] if content else 0, divisions[-1] if divisions else 0))
         parts.clear()
         state["free"] = 0
 
@@ -145,18 +150,19 @@ def lines(page: str) -> list[tuple[str, int, tuple[int, ...], tuple[int, ...]]]:
         state["noise"] += noise
         state["links"] += tag == "a"
         if noted is not None:
-            serial += 1
-            noted.append(serial)
+            parents.append(noted[-1] if noted else 0)
+            noted.append(len(parents) - 1)
     text(page[at:])
     flush()
-    return out
+    return out, parents
 
 
-def core(sizes: list[int]) -> tuple[int, int]:
-    """The heaviest stretch of lines between a surge and a dive of the windowed lengths."""
-    sums = [sum(sizes[i : i + WINDOW]) for i in range(len(sizes))]
+def stretches(sizes: list[int]) -> list[tuple[int, int]]:
+    """All stretches of lines between a surge and a dive of the windowed lengths."""
+    capped = [min(x, LINE_CAP) for x in sizes]
+    sums = [sum(capped[i : i + WINDOW]) for i in range(len(sizes))]
     least = SURGE * max(sums)
-    best, weight, i = (0, len(sizes)), -1, 0
+    out, i = [], 0
     while i < len(sizes):
         if sums[i] < least or not sizes[i]:
             i += 1
@@ -168,34 +174,85 @@ def core(sizes: list[int]) -> tuple[int, int]:
         j = min(len(sizes), j + WINDOW - 1) if j == len(sizes) else j
         while j > i + 1 and not sizes[j - 1]:
             j -= 1
-        if sum(sizes[i:j]) > weight:
-            best, weight = (i, j), sum(sizes[i:j])
+        out.append((i, j))
         i = j + 1
-    return best
+    return out
+
+
+def core(sizes: list[int]) -> tuple[int, int]:
+    """The heaviest stretch."""
+    return max(stretches(sizes), key=lambda x: sum(sizes[x[0] : x[1]]), default=(0, len(sizes)))
+
+
+def common(numbers: set[int], parents: list[int]) -> int:
+    """The innermost container around all of these, 0 for none."""
+    heap = [-n for n in numbers]
+    heapq.heapify(heap)
+    while heap:
+        last = -heapq.heappop(heap)
+        while heap and heap[0] == -last:
+            heapq.heappop(heap)
+        if not heap:
+            return last
+        heapq.heappush(heap, -parents[last])
+    return 0
+
+
+def within(holders: set[int], parents: list[int]) -> list[bool]:
+    """By a container's number: whether it is one of the holders or lies in one."""
+    out = [False] * len(parents)
+    for i in range(1, len(parents)):
+        out[i] = i in holders or out[parents[i]]
+    return out
+
+
+def pure(rows: list[tuple], found: list[tuple], parents: list[int]) -> int:
+    """The innermost division around all of these lines, if it holds little else; else 0."""
+    inner = common({row[3] for row in rows}, parents)
+    inside = within({inner}, parents)
+    return inner if sum(len(row[0]) for row in rows) >= PURE * sum(len(row[0]) for row in found if inside[row[3]]) else 0
+
+
+def most(rows: list[tuple], parents: list[int]) -> int:
+    """The innermost division with nearly all of these lines' text, 0 for none."""
+    weights = [0] * len(parents)
+    for row in rows:
+        weights[row[3]] += row[1]
+    least = 0.8 * sum(weights)
+    for i in range(len(parents) - 1, 0, -1):
+        if weights[i] >= least:
+            return i
+        weights[parents[i]] += weights[i]
+    return 0
 
 
 def main_text(page: str | None) -> str:
-    found = lines(page or "")
+    found, parents = lines(page or "")
     if not found:
         return ""
-    sizes = [free for _, free, _, _ in found]
+    sizes = [row[1] for row in found]
     if not any(sizes):
-        return "\n".join(t for t, _, ids, _ in found if ids)
-    start, end = core(sizes)
-    whole = sum(sizes[start:end])
-
-    def holder(of: int, least: float) -> int | None:
-        """The innermost container with so much of the core; containers are numbered from outside in."""
-        weights: dict[int, int] = {}
-        for row in found[start:end]:
-            for i in row[of]:
-                weights[i] = weights.get(i, 0) + row[1]
-        return max((i for i, w in weights.items() if w >= least * whole), default=None)
-
-    for of, least in ((2, 0.8), (2, 0.5), (3, 0.8)):
-        if (inner := holder(of, least)) is not None:
-            return "\n".join(row[0] for row in found if inner in row[of])
-    return "\n".join(t for t, _, _, _ in found[start:end])
+        return "\n".join(row[0] for row in found if row[2])
+    whole = stretches(sizes)
+    # Lines in front of a stretch that are mostly links, as of a menu, are no reason to leave a container.
+    cuts = [(next((i for i in range(a, b) if 2 * sizes[i] >= len(found[i][0])), a), b) for a, b in whole]
+    parts = [found[a:b] for a, b in cuts]
+    rows = [row for part in parts for row in part]
+    marked = {row[2] for row in rows if row[2]}
+    if inner := common(marked, parents):
+        content = {inner}
+    else:
+        roots = [*range(len(parents))]
+        for i in range(1, len(parents)):
+            roots[i] = roots[parents[i]] or i
+        content = {roots[i] for i in marked}
+    divisions: set[int] = set()
+    if sum(row[1] for row in rows if row[2]) < 0.5 * sum(row[1] for row in rows):
+        inner = pure(rows, found, parents)
+        divisions = {inner} if inner else {pure(part, found, parents) or most(part, parents) for part in parts}
+    in_content, in_divisions = within(content, parents), within(divisions, parents)
+    kept = {i for a, b in (cuts if any(content | divisions) else whole) for i in range(a, b)}
+    return "\n".join(row[0] for i, row in enumerate(found) if i in kept or in_content[row[2]] or in_divisions[row[3]])
 
 
 def extract(pages: DataFrame, key: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

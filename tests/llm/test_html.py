@@ -52,6 +52,37 @@ def test_very_long_and_nested():
     assert len(html.main_text("<article>" + "<div>" * 3000 + "x" * 100_000)) == 100_000
 
 
+def para(name, size=300):
+    return f"<p>{name} {'word ' * (size // 5)}</p>"
+
+
+def test_no_core_line_is_lost():
+    kept = lambda page: [x.split()[0] for x in html.main_text(f"<body>{page}</body>").split("\n")]
+    body = "".join(para(f"b{i}") for i in range(6))
+    names = [f"b{i}" for i in range(6)]
+    # Title and lead beside an inner content container.
+    assert kept(f"<article><h1>title</h1>{para('lead')}<div class=article-body>{body}<p>end</p></div></article>") == ["title", "lead", *names, "end"]
+    # Two sibling containers around an advert.
+    for tag in ("article", "div class=post-content"):
+        part = lambda k, x: f"<{tag}>{x}<p>{k}</p></{tag.split()[0]}>"  # noqa: B023, E731
+        assert kept(f"<div>{part('x', body)}<div class=ad>buy</div>{part('y', para('c0') + para('c1'))}</div>") == [*names, "x", "c0", "c1", "y"]
+    # A lead beside the division with nearly all of the text, and one outside every division.
+    assert kept(f"<div id=page>{para('lead')}<div>{body}<p>end</p></div></div><div><a href=1>menu</a></div>") == ["lead", *names, "end"]
+    assert kept(f"{para('lead')}<div>{body}<p>end</p></div>") == ["lead", *names, "end"]
+
+
+def test_every_stretch_stays_beside_a_very_long_line():
+    links = "".join(f"<p><a href={i}>link</a></p>" for i in range(6))
+    text = html.main_text(f"<body>{para('first')}{links}{para('long', 50_000)}{links}{para('last')}</body>")
+    assert [x.split()[0] for x in text.split("\n")] == ["first", "long", "last"]
+
+
+def test_containers_above_many_divisions():
+    body = "".join("<div>" * 40 + para(f"b{i}") + "</div>" * 40 for i in range(4))
+    text = html.main_text(f"<body><div id=page>{body}<p>end</p></div><div>{'<p><a href=1>menu</a></p>' * 5}</div></body>")
+    assert [x.split()[0] for x in text.split("\n")] == ["b0", "b1", "b2", "b3", "end"]
+
+
 def test_query_against_the_pages_own_markup(spark):
     rows = html.op9_line_blocks(spark, "/root/testdata/sf0.001").collect()
     pages = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
