@@ -11,7 +11,9 @@ and sparse paths towards their host:
 
     host = (good + k * global) / (n + k)        path = (good + k' * host) / (n + k')
 
-Decision. log-odds = evidence + logit(path) - logit(global). A document is rejected if it is more likely bad than
+A path without labelled rows has its host's rate, a host without any the global one.
+
+Decision. log-odds = evidence + logit(path) - logit(global); without a model the evidence is logit(global). A document is rejected if it is more likely bad than
 good, or more likely toxic than not.
 
 Scale. One pass over the texts with narrow output; the model (LEXICON weights) and the site table (broadcast if small, else a shuffled join
@@ -19,7 +21,7 @@ of narrow rows whose hot hosts adaptive execution splits) are all that meets the
 
 Results for odd rows: a null or empty text has the evidence of its statistics; a null source or lang is a site of its own; ids without label
 only take part as documents, labels without document are ignored, a repeated label counts once per row; null labels are left out; without labels of
-both kinds for a target its evidence is 0 and the rates are the prior 1/2, and nothing is rejected on it; repeated rows repeat; an empty table gives an empty result; other columns pass through
+both kinds for a target its score is 1/2, and nothing is rejected on it; repeated rows repeat; an empty table gives an empty result; other columns pass through
 :func:`keep_good`.
 """
 
@@ -98,6 +100,12 @@ def site_rates(counts: DataFrame, target: str) -> tuple[DataFrame, float]:
     """(source, lang, <target>_rate) shrunk by two levels of empirical Bayes, and the global rate.
 
     counts: rows (source, lang, <targets>, count), one a path and pair of labels."""
+    paths, _, rate = all_rates(counts, target)
+    return paths, rate
+
+
+def all_rates(counts: DataFrame, target: str) -> tuple[DataFrame, DataFrame, float]:
+    """The rates of the paths, those of the hosts (source, <target>_host_rate), and the global rate."""
     rows = counts.where(F.col(target).isNotNull())
     paths = rows.groupBy("source", "lang").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col(target)).alias("good"))
     hosts = paths.groupBy("source").agg(F.sum("n").alias("hn"), F.sum("good").alias("hgood"))
@@ -118,7 +126,8 @@ def site_rates(counts: DataFrame, target: str) -> tuple[DataFrame, float]:
     hosts = hosts.select(F.col("source").alias("_host"), ((F.col("hgood") + k * rate) / (F.col("hn") + k)).alias("host_rate"))
     both = paths.join(hosts, F.col("source").eqNullSafe(F.col("_host")))
     k2 = strength(both, "n", "good", F.col("host_rate"))
-    return both.select("source", "lang", ((F.col("good") + k2 * F.col("host_rate")) / (F.col("n") + k2)).alias(f"{target}_rate")), rate
+    of_paths = both.select("source", "lang", ((F.col("good") + k2 * F.col("host_rate")) / (F.col("n") + k2)).alias(f"{target}_rate"))
+    return of_paths, hosts.select(F.col("_host").alias("source"), F.col("host_rate").alias(f"{target}_host_rate")), rate
 
 
 def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str = "text", row: bool = False) -> DataFrame:
@@ -156,16 +165,22 @@ def posterior(evidence: DataFrame, models: dict, counts: DataFrame) -> DataFrame
     out = evidence
     # A null site is told from an empty name by its flag.
     flags = {"_s": F.coalesce("source", F.lit("")), "_sn": F.col("source").isNull(), "_l": F.coalesce("lang", F.lit("")), "_ln": F.col("lang").isNull()}
+    host_flags = {n: flags[n] for n in ("_s", "_sn")}
     for t in TARGETS:
-        score, evidence_of = f"{t}_score", F.col(f"{t}_evidence")
-        if not models[t][0]:
+        score = f"{t}_score"
+        if counts.where(F.col(t).isNotNull()).select(t).distinct().count() < 2:
             out = out.withColumn(score, F.lit(0.5)).drop(f"{t}_evidence")
             continue
-        rates, rate = site_rates(counts, t)
-        out = join_sized(out.withColumns(flags), rates.select(*[c.alias(n) for n, c in flags.items()], f"{t}_rate"), list(flags)).drop(*flags)
-        site = F.col(f"{t}_rate")
-        prior = F.coalesce(F.log(site / (1 - site)) - math.log(rate / (1 - rate)), F.lit(0.0))
-        out = out.withColumn(score, 1 / (1 + F.exp(-(evidence_of + prior)))).drop(f"{t}_rate", f"{t}_evidence")
+        paths, hosts, rate = all_rates(counts, t)
+        known = math.log(rate / (1 - rate))
+        # Without a model a document's evidence is what is known of all of them.
+        evidence_of = F.col(f"{t}_evidence") if models[t][0] else F.lit(known)
+        out = join_sized(out.withColumns(flags), paths.select(*[c.alias(n) for n, c in flags.items()], f"{t}_rate"), list(flags))
+        out = join_sized(out, hosts.select(*[c.alias(n) for n, c in host_flags.items()], f"{t}_host_rate"), list(host_flags)).drop(*flags)
+        # A path without labels shrinks wholly to its host, such a host to the global rate.
+        site = F.coalesce(f"{t}_rate", f"{t}_host_rate", F.lit(rate))
+        prior = F.log(site / (1 - site)) - known
+        out = out.withColumn(score, 1 / (1 + F.exp(-(evidence_of + prior)))).drop(f"{t}_rate", f"{t}_host_rate", f"{t}_evidence")
     return out.withColumn("accepted", (F.col("quality_score") >= 0.5) & (F.col("toxic_score") <= 0.5))
 
 

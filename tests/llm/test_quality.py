@@ -53,6 +53,32 @@ def test_sparse_sites_shrink(spark):
     assert (None, "en") in by
 
 
+COUNTS = [("bad", "en", 0, 0, 95), ("bad", "en", 1, 0, 5), ("good", "en", 1, 0, 95), ("good", "en", 0, 0, 5), (None, "en", 0, 0, 50)]
+EVIDENCE = [(1, "bad", "fr"), (2, "good", "fr"), (3, "new", "fr"), (4, "bad", "en"), (5, None, "fr"), (6, "", "fr"), (7, "bad", None)]
+
+
+def site_scores(spark, weights):
+    counts = spark.createDataFrame(COUNTS, "source string, lang string, quality int, toxic int, count long")
+    evidence = spark.createDataFrame([(*r, 0.0, 0.0) for r in EVIDENCE], "doc_id long, source string, lang string, quality_evidence double, toxic_evidence double")
+    rows = quality.posterior(evidence, {t: (weights, 0.0) for t in quality.TARGETS}, counts).collect()
+    assert len(rows) == len(EVIDENCE) and all(r.toxic_score == 0.5 for r in rows)
+    return {r.doc_id: r for r in rows}
+
+
+def test_unlabelled_paths_have_their_hosts_rate(spark):
+    rows = site_scores(spark, {"x": 1.0})
+    assert abs(rows[3].quality_score - 0.5) < 1e-9 and rows[6].quality_score == rows[3].quality_score
+    assert rows[1].quality_score < 0.2 and rows[5].quality_score < 0.2 and rows[2].quality_score > 0.8
+    assert rows[7].quality_score == rows[1].quality_score and not rows[1].accepted and rows[2].accepted
+
+
+def test_sites_decide_without_a_model(spark):
+    rows = site_scores(spark, {})
+    assert abs(rows[3].quality_score - 100.5 / 251) < 1e-9
+    assert rows[4].quality_score < 0.1 and rows[1].quality_score < 0.1 < 0.8 < rows[2].quality_score
+    assert not rows[4].accepted and rows[2].accepted
+
+
 def test_odd_rows(spark):
     rows = corpus(60)
     docs, labels = frames(spark, rows)
