@@ -11,8 +11,11 @@ Weak kinds are candidates; a weak candidate is a finding only if complementary p
                                                 needs an identifier part (access or id)
   endpoint  an http(s) address                  needs an identifier part and a secret part
 
+:func:`redact` links more: it measures the gap between the spans, so that a long part doesn't hide the one beside it, and takes
+identifier names in either case. :func:`find_secrets` keeps to its SQL: distance of the starts, lower-case identifier names.
+
 Every text is the scope boundary, so the interval join runs inside the row: spans are arrays in text
-order and ``exists`` joins them by the distance of their starts. Nothing is shuffled, and a hot source
+order and ``exists`` joins them by their distance. Nothing is shuffled, and a hot source
 or group of copies has no effect.
 
 Results for odd rows: a null or empty text has no spans; ties in start are ordered by kind in the
@@ -36,6 +39,7 @@ ASSIGN = rf"({NAMES})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]{24,}"
 ID = r"((?:client|user|account|tenant|key)_?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._-]+)"
+ANY_ID = ID.replace("(?:client", "(?i:client").replace("_?id)", "_?(?i:id))")
 KEY = r"[A-Za-z0-9+/_-]{32,}"
 ENDPOINT = r"https?://[A-Za-z0-9.-]+[^\s\"'<>]*"
 SPAN = "array<struct<start:int,end:int,kind:int>>"
@@ -64,12 +68,18 @@ def spans(text: Column, pattern: str, kind: str, least: int, group: int = 0) ->
     return F.aggregate(lengths, empty, step, lambda acc: acc["out"])
 
 
-def near(parts: Column, x: Column, scope: int) -> Column:
+def near(parts: Column, x: Column, scope: int, gaps: bool = False) -> Column:
+    """Whether one of the parts starts within the scope of x; gaps: whether so much at most lies between them."""
+    if gaps:
+        return F.exists(parts, lambda p: F.greatest(p["start"], x["start"]) - F.least(p["end"], x["end"]) <= scope)
     return F.exists(parts, lambda p: F.abs(p["start"] - x["start"]) <= scope)
 
 
-def with_spans(docs: DataFrame, text_col: str = "text", scope: int = SCOPE) -> DataFrame:
-    """Adds the columns _base and _all: base spans, and all reported spans in text order."""
+def with_spans(docs: DataFrame, text_col: str = "text", scope: int = SCOPE, whole: bool = False) -> DataFrame:
+    """Adds the columns _base and _all: base spans, and all reported spans in text order.
+
+    whole: link by the gaps between spans, and take identifier names in either case."""
+    named, names = (F.col("_t").rlike(ANY_ID), ANY_ID) if whole else (F.contains("_t", F.lit("id")) & F.col("_t").rlike(ID), ID)
     none = F.expr(f"cast(array() as {SPAN})")
     t = F.coalesce(F.col(text_col), F.lit(""))
     gate = lambda test, value: F.when(test, value).otherwise(none)  # noqa: E731  most texts hold no part of most kinds
@@ -79,7 +89,7 @@ def with_spans(docs: DataFrame, text_col: str = "text", scope: int = SCOPE) -> D
             "_assign": gate(F.col("_t").rlike(f"({NAMES})[\"']?\\x20*[:=]"), spans(F.col("_t"), ASSIGN, "assign", 6, 2)),
             "_access": gate(F.contains("_t", F.lit("AKIA")), spans(F.col("_t"), ACCESS, "access", 20)),
             "_hex": gate(F.col("_t").rlike(HEX), spans(F.col("_t"), HEX, "hex", 24)),
-            "_id": gate(F.contains("_t", F.lit("id")) & F.col("_t").rlike(ID), spans(F.col("_t"), ID, "id", 4, 2)),
+            "_id": gate(named, spans(F.col("_t"), names, "id", 4, 2)),
         }
     )
     df = df.withColumn("_base", F.array_sort(F.concat("_assign", "_access", "_hex")))
@@ -91,9 +101,9 @@ def with_spans(docs: DataFrame, text_col: str = "text", scope: int = SCOPE) -> D
     df = df.withColumn("_secret", F.concat("_assign", "_hex", "_key"))
     df = df.withColumn("_endpoint", gate((F.size("_ids") > 0) & (F.size("_secret") > 0), spans(F.col("_t"), ENDPOINT, "endpoint", 8)))
     linked = F.concat(
-        F.filter("_id", lambda x: near(F.col("_secret"), x, scope)),
-        F.filter("_key", lambda x: near(F.col("_ids"), x, scope)),
-        F.filter("_endpoint", lambda x: near(F.col("_ids"), x, scope) & near(F.col("_secret"), x, scope)),
+        F.filter("_id", lambda x: near(F.col("_secret"), x, scope, whole)),
+        F.filter("_key", lambda x: near(F.col("_ids"), x, scope, whole)),
+        F.filter("_endpoint", lambda x: near(F.col("_ids"), x, scope, whole) & near(F.col("_secret"), x, scope, whole)),
     )
     order = lambda a: F.transform(F.array_sort(F.transform(a, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
     df = df.withColumn("_all", order(F.concat("_base", linked))).withColumn("_base", order(F.col("_base")))
@@ -122,7 +132,7 @@ def redact(docs: DataFrame, text_col: str = "text", scope: int = SCOPE, mask: st
     """Replaces every reported span by the mask (overlapping spans by one); the columns stay the same.
 
     A null text stays null; n_chars, where there is one, follows the new text."""
-    df = with_spans(docs.select(text_col, F.struct(*docs.columns).alias("_row")), text_col, scope)
+    df = with_spans(docs.select(text_col, F.struct(*docs.columns).alias("_row")), text_col, scope, whole=True)
     t = F.col(text_col)
 
     def step(acc: Column, x: Column) -> Column:

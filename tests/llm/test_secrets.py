@@ -64,3 +64,11 @@ def test_redaction(spark):
     assert rows[2].text is None and rows[2].n_chars is None
     assert rows[3].text == "clean" and secrets.redact(df).columns == df.columns
     assert secrets.redact(df.limit(0)).count() == 0 and secrets.find_secrets(df.limit(0)).count() == 0
+
+
+def test_redaction_links_across_long_and_upper_case_parts(spark):
+    long, key, far = "token=" + "a1" * 200, "Ab1" * 12, " " * 257
+    texts = [f"{long} client_id=acme7 https://store.example.org/x", f"CLIENT_ID=acme7 {key}", f"{long} Account_Id: acme7 https://a.example.org/{'x' * 400} b", f"{ACCESS}{far}{key}", "USER_ID: acme7 clean", f"{long} {key}"]
+    rows = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert rows[0] == "[SECRET] [SECRET] [SECRET]" and rows[1] == "[SECRET] [SECRET]" and rows[2] == "[SECRET] [SECRET] [SECRET] b"
+    assert rows[3] == f"[SECRET]{far}{key}" and rows[4] == texts[4] and rows[5] == f"[SECRET] {key}"
