@@ -8,8 +8,9 @@
 4. Decoding looks ids up in the table of token bytes, which has the size of the vocabulary.
 
 A word occurs once a block at most, so no word is hot: the commonest counts as often as there are blocks, and
-blocks and buckets are dealt out by hashes. A block's key is a hash over its word list, so both sides of step 3 agree
-whatever task computes them, and blocks with equal lists share their ids. Nothing is collected; a task holds one block.
+blocks and buckets are dealt out by hashes. A block's key is a hash over its word list and its place in the input (partition and
+number), so both sides of step 3 agree, other rows on a second reading are noticed, and each block is a group of its own
+even if all lists are equal. Nothing is collected; a task holds one block.
 
 Results for odd rows: a null or empty text has no ids (sha of no bytes); texts of any length are encoded whole (one
 text may be a block larger than BLOCK_CHARS); repeated rows repeat; null keys are kept; an empty table gives an empty
@@ -29,6 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,11 +104,17 @@ def unpack_words(sizes: bytes, joined: bytes) -> list[str]:
     return [text[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def layout(words: list[str], buckets: int) -> tuple[int, np.ndarray]:
-    """The block's key, from its word list, and each word's bucket."""
+def partition() -> int:
+    """The number of the partition that this task reads."""
+    return TaskContext.get().partitionId()
+
+
+def layout(words: list[str], buckets: int, place: tuple[int, int]) -> tuple[int, np.ndarray]:
+    """The block's key, from its word list and place in the input, and each word's bucket."""
     sizes = np.fromiter(map(len, words), np.uint32, len(words))
     h = xxhash.xxh3_64("".join(words).encode())
     h.update(sizes.tobytes())
+    h.update(np.array(place, np.int64).tobytes())
     return h.intdigest() - (1 << 63), np.fromiter((crc32(w.encode()) % buckets for w in words), np.uint32, len(words))
 
 
@@ -114,10 +122,10 @@ def word_rows(docs: DataFrame, key: str, text_col: str, pattern: str, chars: int
     """(block, bucket, sizes, words): the distinct words of each block by bucket, packed."""
 
     def emit(batches):
-        split = Splitter(pattern)
-        for _, texts in blocks(batches, chars):
+        split, own = Splitter(pattern), partition()
+        for n, (_, texts) in enumerate(blocks(batches, chars)):
             words, _, _ = split.block(texts)
-            block, bucket = layout(words, buckets)
+            block, bucket = layout(words, buckets, (own, n))
             order = np.argsort(bucket, kind="stable")
             parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
             packed = [pack_words([words[i] for i in part.tolist()]) for part in parts]
@@ -133,10 +141,10 @@ def text_rows(docs: DataFrame, key: str, text_col: str, pattern: str, chars: int
     """(block, keys, counts, sequence, buckets): a block's texts as packed numbers of words, and the words' buckets."""
 
     def emit(batches):
-        split = Splitter(pattern)
-        for keys, texts in blocks(batches, chars):
+        split, own = Splitter(pattern), partition()
+        for n, (keys, texts) in enumerate(blocks(batches, chars)):
             words, sequence, counts = split.block(texts)
-            block, bucket = layout(words, buckets)
+            block, bucket = layout(words, buckets, (own, n))
             lists = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
             packed = [pa.array([pack(x)], pa.binary()) for x in (counts, sequence, bucket)]
             yield pa.RecordBatch.from_arrays([pa.array([block]), lists, *packed], names=["block", "keys", "counts", "sequence", "buckets"])
@@ -184,9 +192,8 @@ def encode(docs: DataFrame, tokens_of, schema: str, key: str = "doc_id", text_co
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         other = ValueError("words and texts of a block don't match: the input gave other rows when read again")
-        if not left.num_rows:
+        if left.num_rows != 1:
             raise other
-        # Blocks with equal word lists have equal ids: a bucket's first row stands for the others.
         rows = dict(zip(right["bucket"].to_pylist(), zip(right["sizes"].to_pylist(), right["ids"].to_pylist())))
         bucket = unpack(left["buckets"][0].as_py())
         numbers = np.argsort(bucket, kind="stable")

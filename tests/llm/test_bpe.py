@@ -2,7 +2,9 @@
 
 import hashlib
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from scriptorium.llm import bpe
 
@@ -39,6 +41,18 @@ def test_whole_table(spark, library):
     check(bpe.op6_word_shuffle_bpe(spark, "/root/testdata/sf0.001").collect(), texts, library)
 
 
+@pytest.mark.parametrize("text", ["the same text here", "", None])
+def test_blocks_of_copies_stay_apart(spark, text, library):
+    df = spark.createDataFrame([(None, text)] * 400, "doc_id long, text string").coalesce(2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        sizes = [r.n for r in bpe.encode(df, lambda keys, ids: [pa.array([len(keys)] * len(keys), pa.int64())], "n long").collect()]
+        assert len(sizes) == 400 and max(sizes) <= 50
+        check(bpe.digests(df.withColumn("doc_id", F.monotonically_increasing_id())).collect(), [text] * 400, library)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_empty_table(spark):
     assert bpe.digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
