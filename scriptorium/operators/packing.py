@@ -5,9 +5,11 @@ its own bounded list."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,24 +87,60 @@ def unit_parts(units: DataFrame, key: list[str], text: str, chunk: int) -> DataF
     return units.select(*key, F.posexplode(parts(F.col(text))).alias("part", text))
 
 
+class Batches:
+    """Room in batches by number; the first with enough is found in a tree of maxima."""
+
+    def __init__(self):
+        self.used, self.size, self.tree = [], 1, [-math.inf] * 2
+
+    def _set(self, i: int, room: float) -> None:
+        i += self.size
+        self.tree[i] = room
+        while i > 1:
+            i //= 2
+            self.tree[i] = max(self.tree[2 * i], self.tree[2 * i + 1])
+
+    def put(self, item: int | None, limit: int) -> int:
+        """The item's batch: the first it fits in, else a new one."""
+        if item is not None and self.tree[1] >= item:
+            i = 1
+            while i < self.size:
+                i = 2 * i if self.tree[2 * i] >= item else 2 * i + 1
+            i -= self.size
+            self.used[i] += item
+        else:
+            i = len(self.used)
+            if i == self.size:
+                rooms = self.tree[self.size :]
+                self.size *= 2
+                self.tree = [-math.inf] * (2 * self.size)
+                self.tree[self.size : self.size + len(rooms)] = rooms
+                for k in range(self.size - 1, 0, -1):
+                    self.tree[k] = max(self.tree[2 * k], self.tree[2 * k + 1])
+            self.used.append(math.inf if item is None else item)
+        self._set(i, limit - self.used[i])
+        return i
+
+
 def first_fit(df: DataFrame, key: str, order: str, size: str, limit: int) -> DataFrame:
-    """(key, order, size, batch): passes over a queue; the first left item is always taken, then all later ones that still fit."""
+    """(key, order, size, batch): passes over a queue; the first left item is always taken, then all later ones that still fit.
+
+    An item so goes to the first batch that has room when it comes, which one pass over the sorted rows finds; a task holds a number for
+    each batch of the key at hand."""
     schema = f"{key} {dict(df.dtypes)[key]}, {order} {dict(df.dtypes)[order]}, {size} long, batch int"
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable").reset_index(drop=True)
-        sizes, batch, left, number = group[size].tolist(), [0] * len(group), list(range(len(group))), 0
-        while left:
-            used, rest = 0, []
-            for n, i in enumerate(left):
-                if n == 0 or used + sizes[i] <= limit:
-                    used, batch[i] = used + sizes[i], number
-                else:
-                    rest.append(i)
-            left, number = rest, number + 1
-        return group.assign(batch=batch)[[key, order, size, "batch"]]
-
-    return df.select(key, order, F.col(size).cast("long").alias(size)).groupBy(key).applyInPandas(pack, schema)
+    def pack(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, batches = object(), Batches()
+        for frame in frames:
+            out = []
+            for k, item in zip(frame.column(0).to_pylist(), frame.column(2).to_pylist()):
+                if k != now:
+                    now, batches = k, Batches()
+                out.append(batches.put(item, limit))
+            yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(out, pa.int32())], names=[key, order, size, "batch"])
+
+    rows = df.select(key, order, F.col(size).cast("long").alias(size)).repartition(key)
+    return rows.sortWithinPartitions(key, F.col(order).asc_nulls_last()).mapInArrow(pack, schema)
 
 
 def bisected(items: list, run, fatal=()) -> Iterator[tuple[object, object, Exception | None]]:

@@ -1,5 +1,8 @@
 """Operators that SQL can't express, and edge cases of the others, on small fixtures."""
 
+import math
+import random
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -197,3 +200,23 @@ def test_detail_pages(spark):
     assert (found["1"].kind, found["1"].title, found["1"].embed) == ("dialogue", "T & t", "https://h/e")
     assert [(s.speaker, s.start, s.text) for s in found["1"].segments] == [("Ann", 3.0, 'a ] " b'), (None, 62.5, "c")]
     assert [s.text for s in found["2"].segments] == ["one", "two <"] and found["3"].kind == found["4"].kind == "none"
+
+
+def test_first_fit_takes_a_large_key_in_one_pass(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([1, 2, None]), i, rng.choice([0, 3, 20, 45, 70, 130, None])) for i in range(900)]
+    want = {}
+    for key in (1, 2, None):
+        left, number = [(i, s) for k, i, s in rows if k == key], 0
+        while left:
+            used, rest = 0, []
+            for n, (i, s) in enumerate(left):
+                if n == 0 or (s is not None and used + s <= 100):
+                    used, want[i] = used + (math.inf if s is None else s), number
+                else:
+                    rest.append((i, s))
+            left, number = rest, number + 1
+    df = packing.first_fit(spark.createDataFrame(rows, "k int, i int, s int"), "k", "i", "s", 100)
+    assert {r.i: r.batch for r in df.collect()} == want
+    # The large key's items are not handed to Python as one group.
+    assert "FlatMapGroups" not in df._jdf.queryExecution().executedPlan().toString()
