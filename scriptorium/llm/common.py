@@ -60,7 +60,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_dir(spark, name)
     df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_folder"] = path
+    return out
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -70,6 +72,13 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for df in tables:
+        if path := df.__dict__.pop("_folder", None):
+            remove(df.sparkSession, path)
+
+
 def join_sized(big: DataFrame, small: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Joins with a broadcast if the small side has at most BROADCAST_ROWS rows, else by a shuffle
     (adaptive execution then splits skewed keys of the big side)."""

@@ -4,28 +4,36 @@ A document is the bag (multiset) of its runs of ``SHINGLE`` words, in lower case
 duplicates if their bags' weighted Jaccard similarity is at least ``SIMILARITY``. A class is a connected component of these links.
 
 1. Signatures. The weights (counts) are discretised into unit levels. Every dyadic interval of levels [0,1), [1,2), [2,4), ... of a
-   shingle carries a Poisson process with the interval's width as rate; a point falls into one of ``M`` components and, halving by
-   halving, onto one level of its interval. It counts if the weight reaches that level. Component k's value is the first counting point, so two
-   bags agree on k with the probability of their weighted Jaccard similarity. Only points before a time that leaves no component empty (as a
-   rule) are generated, so a signature costs one draw a shingle and about M log M points.
+   shingle carries a Poisson process with the interval's width as rate; a point falls into one of ``M`` components and, by the low bits of a
+   hash (as many as halve the interval down to one level), onto a level of its interval. It counts if the weight reaches that level.
+   Component k's value is the first counting point, so two bags agree on k with the probability of their weighted Jaccard
+   similarity. Only points before a time that leaves no component empty (as a rule) are generated, so a signature costs one draw a
+   shingle and about M log M points.
 2. Exact copies (equal word sequences) become one node, by a hash with partial aggregation.
 3. Bands. ``ROWS`` components form a bucket key, ``BANDS`` times; nodes with a common bucket are candidates. At similarity 0.8 a link is
    missed with a probability of (1 - 0.8**4)**24 = 3e-6.
-4. Verification. In every bucket all nodes are compared with the first one (the hub) by the exact overlap of their bags. Verified links are
-   contracted to components. While the nodes of a bucket that have not been hubs are in several components, the next hubs
-   (8, then 64, ...) are compared with the nodes in other components. So no link is lost and no bucket is expanded to all pairs:
-   a large group of copies falls into one component after a few hubs. Bags are counted by ``CLASSES`` classes of shingles, without those that no
-   other node of a bucket over ``CROWD`` nodes has. Two nodes share at most the sum of the lesser counts, which rules nearly all unlike pairs
-   out before their bags are fetched; the node with the fewest shingles of its own, the middle of its group, is the first hub.
-5. Components by least labels with pointer jumping; every round is written to the shared folder.
-
-Nothing grows on the driver; hot buckets and hubs are only join keys of narrow rows, which partial aggregation, group limits and adaptive
-skew joins split.
+4. Verification by hubs. In every bucket the first node (the hub, found by a ``min`` aggregate) meets the others by the overlap of their
+   bags (sets of 32-bit hashes; two different elements agree with a probability of 2**-32). Verified links are contracted to components;
+   hubs go, and so do buckets whose nodes are all of one component. A round's join makes at most one row for each (bucket, node) that is left.
+   A large group of copies falls into one component after a round or two.
+5. What is left after ``HUB_ROUNDS`` rounds are nodes that share buckets without being alike, as texts around a common passage.
+   Their links are found by the prefix filter: two similar bags share one of the rarest elements of each (elements that only one component
+   has count as rarest; the prefix is as long as the threshold leaves free), so the bags are dealt anew by these elements
+   and the rounds go on. Bounds by position in the prefix, by size and by class counts keep pairs that can't be similar out of the join's
+   output. If a rarest element is still common, hubs grow in number (one for each of 1, 4, 16, ... slots of a hash), so every pair of
+   different components meets: no link is lost and no group is expanded into all its pairs.
+6. Components by least labels with pointer jumping; every round is written to the shared folder, and its tables are removed when the next
+   one is written.
+
+Bags are counted by ``CLASSES`` classes of elements, without those that no other node of a bucket over ``CROWD`` nodes has. Two nodes share at
+most the sum of the lesser counts. The node with the fewest elements of its own, the middle of its group, is the first hub. Nothing grows on the
+driver; hot buckets and hubs are only join keys of narrow rows, which partial aggregation and adaptive skew joins split.
 
 Results for odd rows: a null or empty text, or one of spaces only, is the empty bag; all empty bags are one class; a text of fewer than SHINGLE words has
 one shingle, the whole; very long texts are read whole; repeated rows repeat with one class; a null key takes part but never names a class unless all its keys are null (then
-the class is null); an empty table gives an empty result; other columns pass through :func:`keep_first`, which keeps every row
-whose key is the least of its class (of rows that repeat this key, one).
+the class is null); an empty table gives an empty result; other columns pass through :func:`keep_first`, which keeps one row
+of each class: that with the least key, of rows that repeat this key that with the least hash of its text, of equal rows one; rows with a null key
+all stay.
 """
 
 from __future__ import annotations
@@ -35,10 +43,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import join_sized, pieces, table, tune, written
+from scriptorium.llm.common import BROADCAST_ROWS, dropped, join_sized, pieces, table, tune, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 ROWS, BANDS = 4, 24
@@ -47,6 +55,8 @@ M = ROWS * BANDS
 CROWD = 4
 #: Classes of shingles that bags are counted by.
 CLASSES = 16
+#: Rounds of hubs before the bags left are dealt by their rarest elements.
+HUB_ROUNDS = 3
 #: Words a task remembers the hashes of; beyond that it starts anew.
 MEMO = 200_000
 #: Characters that are worked on at once.
@@ -127,7 +137,7 @@ def signatures(n: int, doc: np.ndarray, h: np.ndarray, count: np.ndarray) -> np.
                     break
                 spot = mix(draw ^ G)
                 component = (spot % np.uint64(M)).astype(np.int64)
-                # The levels below: bits of a second draw halve the interval down to one level.
+                # The level: rates are powers of two, so the low bits of a second draw halve the interval down to one level.
                 level = low[active] + (mix(spot) % rate[active].astype(np.uint64)).astype(np.int64)
                 counts = level < weight[active]
                 np.minimum.at(flat, owner[active[counts]] * M + component[counts], time[counts])
@@ -152,57 +162,84 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(a) + len(b) - shared)
 
 
+def buckets_of(sigs: np.ndarray) -> np.ndarray:
+    """The BANDS bucket keys of each signature."""
+    rows = sigs.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * G, rows.shape[:2])
+        for r in range(ROWS):
+            keys = mix(keys + rows[:, :, r] + G)
+    return keys.view(np.int64)
+
+
 def sketches(docs: DataFrame, key: str, text_col: str) -> DataFrame:
-    """(k, node, size, signature, bag) of each row, in the shared folder. k: the key with null as LEAST_KEY."""
+    """(k, t, node, size, buckets, bag) of each row, in the shared folder. k: the key with null as LEAST_KEY; t: a hash of the text."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        for part in pieces(batches, 1, PIECE_CHARS):
-            nodes, doc, h, count = bags(part.column(1).to_pylist(), memo)
+        for part in pieces(batches, 2, PIECE_CHARS):
+            nodes, doc, h, count = bags(part.column(2).to_pylist(), memo)
             n = part.num_rows
-            sigs = signatures(n, doc, h, count)
+            keys = buckets_of(signatures(n, doc, h, count))
             cuts = np.searchsorted(doc, np.arange(n + 1))
             sets = [expanded(h[a:b], count[a:b]) for a, b in zip(cuts, cuts[1:])]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1)))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(nodes, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sigs], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())],
-                names=["k", "node", "size", "signature", "bag"],
+                [part.column(0), part.column(1), pa.array(nodes, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), lists, pa.array([x.tobytes() for x in sets], pa.binary())],
+                names=["k", "t", "node", "size", "buckets", "bag"],
             )
 
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LEAST_KEY)).alias("k"), text_col)
-    return written(rows.mapInArrow(emit, "k long, node binary, size long, signature binary, bag binary"), "neardup-sketches")
+    rows = docs.select(*identity(key, text_col), text_col)
+    return written(rows.mapInArrow(emit, "k long, t long, node binary, size long, buckets array<long>, bag binary"), "neardup-sketches")
+
+
+def identity(key: str, text_col: str) -> list[Column]:
+    """The columns k and t of a row."""
+    return [F.coalesce(F.col(key).cast("long"), F.lit(LEAST_KEY)).alias("k"), F.xxhash64(text_col).alias("t")]
 
 
-def band_rows(nodes: DataFrame) -> DataFrame:
-    """(bucket, node): the bucket keys of each node with a bag."""
+def exploded(sets: DataFrame, *more: str) -> DataFrame:
+    """(element, node, more): the elements of the bags."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, BANDS, ROWS).astype(np.uint64)
-                with np.errstate(over="ignore"):
-                    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * G, sigs.shape[:2])
-                    for r in range(ROWS):
-                        keys = mix(keys + sigs[:, :, r] + G)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))], names=["bucket", "node"])
+            for i, bag in enumerate(batch.column(0).to_pylist()):
+                elements = np.frombuffer(bag, np.int32)
+                at = pa.array(np.full(len(elements), i))
+                yield pa.RecordBatch.from_arrays([pa.array(elements), *[c.take(at) for c in batch.columns[1:]]], names=["element", "node", *more])
 
-    return nodes.select("node", "signature").mapInArrow(emit, "bucket long, node binary")
+    kinds = ", ".join(f"{c} {sets.schema[c].dataType.simpleString()}" for c in ("node", *more))
+    return sets.select("bag", "node", *more).mapInArrow(emit, f"element int, {kinds}")
 
 
 def own_shingles(sets: DataFrame) -> DataFrame:
     """(node, own): how many elements of its bag, by class, no other of the nodes has."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, bag in enumerate(batch.column(1).to_pylist()):
-                elements = np.frombuffer(bag, np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(elements), batch.column(0).take(pa.array(np.full(len(elements), i)))], names=["element", "node"])
-
-    elements = sets.select("node", "bag").mapInArrow(emit, "element int, node binary")
-    alone = elements.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
+    alone = exploded(sets).groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
     kind = F.pmod("element", F.lit(CLASSES))
     return written(alone.groupBy("node").agg(F.array(*[F.sum((kind == c).cast("int")).cast("int") for c in range(CLASSES)]).alias("own")), "neardup-own")
 
 
+def rarest(state: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(bucket, node, place, size, most, counts, before): the nodes by the elements of their prefix; before: the element's place.
+
+    Elements stand in the order of their frequency among these nodes, those of one component alone first. The place is counted from
+    the end, so that elements of one component alone need no row."""
+    nodes = written(state.select("node", "root", "place", "size", "most", "counts").dropDuplicates(["node"]), "neardup-crowd")
+    elements = written(exploded(sets.select("node", "bag").join(nodes.select("node", "root", "size"), "node"), "root", "size"), "neardup-elements")
+    often = elements.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("element", "n")
+    from_end = F.row_number().over(Window.partitionBy("node").orderBy(F.col("n").desc(), "element"))  # a group is a bag
+    ranked = elements.join(often, "element").withColumn("before", F.col("size") - from_end)
+    prefix = ranked.where(F.col("before") <= F.col("size") - F.ceil(least * F.col("size") - 1e-9)).select(F.col("element").cast("long").alias("bucket"), "node", "before")
+    rows = written(prefix.join(nodes.drop("root"), "node"), "neardup-prefixes")
+    dropped(elements, nodes)
+    # A node stays in a bucket if it could share enough with the smallest and with the least advanced of it.
+    best = rows.groupBy("bucket").agg(F.min("size").alias("smallest"), F.max(F.col("size") - F.col("before")).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    may = F.least(F.col("size") - F.col("before"), F.col("best")) >= least / (1 + least) * (F.col("size") + F.greatest(F.col("smallest"), least * F.col("size"))) - 1e-6
+    out = written(rows.join(best, "bucket").where(may).select("bucket", "node", "place", "size", "most", "counts", "before"), "neardup-buckets")
+    dropped(rows)
+    return out
+
+
 def counted(sets: DataFrame) -> DataFrame:
     """(node, size, counts): the elements of each bag by class."""
 
@@ -230,14 +267,16 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the least node of each component of the links (a, b), by least labels with pointer jumping."""
     both = written(links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "neardup-links")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "neardup-labels")
+    labels = base = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "neardup-labels")
     while True:
         lowest = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("low"))
         hooked = labels.join(lowest, "node").select("node", F.least("root", "low").alias("next"), "root")
         onward = labels.select(F.col("node").alias("next"), F.col("root").alias("jump"))
         moved = written(hooked.join(onward, "next", "left").select("node", F.least("next", F.coalesce("jump", "next")).alias("next"), "root"), "neardup-labels")
-        labels = moved.select("node", F.col("next").alias("root"))
+        dropped(base)
+        base, labels = moved, moved.select("node", F.col("next").alias("root"))
         if moved.where("next <> root").limit(1).count() == 0:
+            dropped(both)
             return labels
 
 
@@ -248,71 +287,114 @@ def relabelled(labels: DataFrame, merged: DataFrame) -> DataFrame:
     return written(moved.unionAll(merged.join(labels, "node", "left_anti").select("node", "root")), "neardup-labels")
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """(key, class_id): the least key of each document's class."""
+def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The rows of buckets that hold several components, with their root."""
+    if labels is None:
+        state = rows.withColumn("root", F.col("node"))
+    else:
+        state = written(rows.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")), "neardup-rooted")
+    several = state.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
+    out = written(join_sized(state, several, ["bucket"], "inner"), "neardup-state")
+    dropped(state, rows)
+    return out
+
+
+def meet(state: DataFrame, slots: int, sets: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Lets the hubs of each bucket (one for each slot of a hash) meet its other nodes: the links that hold, and the rows that are left."""
+    first = F.min(F.struct("place", "node", "root", "size", "counts", "before")).alias("h")
+    slot = F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot")
+    hubs = written(state.groupBy("bucket", slot).agg(first).select("bucket", "h.*").select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("node", "root", "size", "counts", "before")]), "neardup-hubs")
+    # What two similar bags share at least; what they share at most from their first shared element on, and by class counts.
+    need = F.lit(least / (1 + least)) * (F.col("size") + F.col("size_a")) - 1e-6
+    rest = F.least(F.col("size") - F.col("before"), F.col("size_a") - F.col("before_a"))
+    shared = sum((F.least(F.col("counts")[c], F.col("counts_a")[c]) for c in range(CLASSES)), F.lit(0))
+    may = (F.col("root") != F.col("root_a")) & (rest >= need) & (shared >= need)
+    few = hubs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    both = state.join(F.broadcast(hubs) if few else hubs, (state["bucket"] == hubs["bucket"]) & may)
+    turned = F.col("node") > F.col("node_a")
+    end = lambda x, y: F.when(turned, F.col(x)).otherwise(F.col(y))
+    pairs = both.select(end("node_a", "node").alias("a"), end("node", "node_a").alias("b"), end("root_a", "root").alias("root_a"), end("root", "root_a").alias("root_b")).distinct()
+    found = written(similar(pairs, sets, least), "neardup-found")
+    left = written(join_sized(state.drop("root"), hubs.select("bucket", F.col("node_a").alias("node")), ["bucket", "node"], "left_anti"), "neardup-buckets")
+    dropped(hubs)
+    return found, left
+
+
+def rooted(docs: DataFrame, key: str, text_col: str, least: float) -> DataFrame:
+    """(k, t, root): each row's key, hash of its text, and the component it is in."""
     sketch = sketches(docs, key, text_col)
-    nodes = sketch.groupBy("node").agg(F.min("k").alias("k"), F.first("size").alias("size"), F.first("signature").alias("signature"))
-    nodes = written(nodes, "neardup-nodes")
-    bands = band_rows(nodes.where("size > 0"))
+    nodes = written(sketch.groupBy("node").agg(F.min("k").alias("k"), F.first("size").alias("size"), F.first("buckets").alias("buckets")), "neardup-nodes")
+    bands = nodes.where("size > 0").select("node", F.explode("buckets").alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", (F.col("n") > CROWD).alias("crowd"))
     # Shuffled at any size: the buckets grow with the nodes.
-    rest = written(bands.join(shared.hint("merge"), "bucket"), "neardup-buckets")
+    candidates = written(bands.join(shared.hint("merge"), "bucket"), "neardup-candidates")
     # The bags of candidates only, one row a node.
-    wanted = rest.groupBy("node").agg(F.max("crowd").alias("crowd")).join(nodes.select("node", "k"), "node")
+    wanted = candidates.groupBy("node").agg(F.max("crowd").alias("crowd")).join(nodes.select("node", "k"), "node")
     sets = written(join_sized(sketch.select("node", "k", "size", "bag"), wanted, ["node", "k"], "inner").dropDuplicates(["node"]), "neardup-bags")
+    # Only the names of the rows are needed from here on.
+    names = written(sketch.select("k", "t", "node"), "neardup-rows")
+    dropped(sketch, nodes)
     own = own_shingles(sets.where("crowd"))
     sizes = counted(sets).join(own, "node", "left")
     # place: the order of hubs in a bucket; counts: what the node can share with another of the bucket, by class.
     less = F.when(F.col("crowd") & F.col("own").isNotNull(), F.zip_with("counts", "own", lambda a, b: a - b)).otherwise(F.col("counts"))
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    rest = rest.join(sizes, "node").select("bucket", "node", "size", less.alias("counts")).withColumn("most", total("counts"))
-    rest = written(rest.select("bucket", F.struct((F.col("size") - F.col("most")).alias("own"), "node").alias("place"), "node", "size", "most", "counts"), "neardup-buckets")
+    counts = candidates.join(sizes, "node").select("bucket", "node", "size", less.alias("counts")).withColumn("most", total("counts"))
+    rows = written(counts.select("bucket", "node", F.struct((F.col("size") - F.col("most")).alias("own"), "node").alias("place"), "size", "most", "counts", F.lit(0).cast("long").alias("before")), "neardup-buckets")
+    dropped(candidates, own)
     # A node that can't share enough with the smallest of its bucket shares enough with none.
-    smallest = rest.groupBy("bucket").agg(F.min("size").alias("smallest"))
-    rest = rest.join(smallest, "bucket").where(F.col("most") >= least * (F.col("size") + F.greatest("smallest", "most") - F.col("most"))).drop("smallest")
-    labels, hubs = None, 1
+    smallest = rows.groupBy("bucket").agg(F.min("size").alias("smallest"))
+    rest = rows.join(smallest, "bucket").where(F.col("most") >= least * (F.col("size") + F.greatest("smallest", "most") - F.col("most"))).drop("smallest")
+    labels, turn, slots = None, 0, 1
     while True:
-        if labels is None:
-            state = rest.withColumn("root", F.col("node"))
-        else:
-            state = rest.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        several = state.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-        state = written(join_sized(state, several, ["bucket"], "inner"), "neardup-state")
+        state = labelled(rest, labels)
+        dropped(rows)
         if state.limit(1).count() == 0:
             break
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("place"))
-        hub = state.withColumn("rank", rank).where(F.col("rank") <= hubs).select("bucket", F.col("node").alias("a"), F.col("place").alias("place_a"), F.col("root").alias("root_a"), F.col("size").alias("size_a"), F.col("counts").alias("counts_a"))
-        shared_most = sum((F.least(F.col("counts")[c], F.col("counts_a")[c]) for c in range(CLASSES)), F.lit(0))
-        may = (F.col("place") > F.col("place_a")) & (F.col("root") != F.col("root_a")) & (shared_most >= least * (F.col("size") + F.col("size_a") - shared_most))
-        meet = state.alias("s").join(hub.alias("h"), (F.col("s.bucket") == F.col("h.bucket")) & may)
-        pairs = meet.select("a", F.col("node").alias("b"), "root_a", F.col("root").alias("root_b")).distinct()
-        found = written(similar(pairs, sets, least), "neardup-found")
+        if turn == HUB_ROUNDS:
+            rest = rarest(state, sets, least)
+            dropped(state)
+            state = labelled(rest, labels)
+        found, rest = meet(state, slots, sets, least)
+        dropped(state)
         if found.limit(1).count():
             merged = components(found.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
             labels = merged if labels is None else relabelled(labels, merged)
-        # The hubs have met all of their bucket.
-        last = hub.groupBy("bucket").agg(F.max("place_a").alias("last"))
-        rest = written(state.join(last, "bucket").where("place > last").drop("last", "root"), "neardup-buckets")
-        hubs *= 8
+        dropped(found)
+        turn += 1
+        slots = 1 if turn <= HUB_ROUNDS else slots * 4
+    dropped(sets)
     if labels is None:
-        labels = nodes.select("node", F.col("node").alias("root")).limit(0)
-    # Written, so that the join below reads plain exchanges, of which adaptive execution can split those of a large class.
-    rows = written(sketch.select("k", "node").join(labels, "node", "left").select("k", F.coalesce("root", "node").alias("root")), "neardup-roots")
+        labels = names.select("node", F.col("node").alias("root")).limit(0)
+    # Written, so that later joins read plain exchanges, of which adaptive execution can split those of a large class.
+    rows = written(names.join(labels, "node", "left").select("k", "t", F.coalesce("root", "node").alias("root")), "neardup-roots")
+    dropped(names)
+    return rows
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """(key, class_id): the least key of each document's class."""
+    rows = rooted(docs, key, text_col, least)
     # The sentinel of null keys is left out unless there is no other key.
     names = written(rows.groupBy("root").agg(F.min(F.when(F.col("k") != LEAST_KEY, F.col("k"))).alias("class_id")), "neardup-names")
     return rows.join(names, "root").select(F.when(F.col("k") != LEAST_KEY, F.col("k")).alias(key), "class_id")
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """One document of each class: that with the least key. Rows with a null key stay."""
-    names = written(classes(docs, key, text_col, least), "neardup-classes")
-    others = written(names.where(F.col(key) != F.col("class_id")).select(key).distinct(), "neardup-others")
-    kept = join_sized(docs, others, [key], "left_anti")
-    twice = written(names.where(F.col(key) == F.col("class_id")).groupBy(key).count().where("count > 1").select(key), "neardup-twice")
-    if twice.limit(1).count() == 0:
-        return kept
-    once = join_sized(kept, twice, [key], "left_semi").dropDuplicates([key, text_col])
-    return join_sized(kept, twice, [key], "left_anti").unionAll(once)
+    """One document of each class, with all its columns: that with the least key. Rows with a null key stay."""
+    rows = rooted(docs, key, text_col, least)
+    place = F.struct(F.col("k") == LEAST_KEY, "k", "t")
+    names = written(rows.groupBy("root").agg(F.min(place).alias("first")), "neardup-names")
+    decided = written(rows.join(names, "root").groupBy("k", "t").agg(F.min((place == F.col("first")).cast("int")).alias("stays"), F.count(F.lit(1)).alias("n")), "neardup-decided")
+    others = decided.where((F.col("stays") == 0) & (F.col("k") != LEAST_KEY)).select(F.col("k").alias("_k"), F.col("t").alias("_t"))
+    twice = decided.where((F.col("stays") == 1) & (F.col("n") > 1) & (F.col("k") != LEAST_KEY)).select(F.col("k").alias("_k"), F.col("t").alias("_t"))
+    k, t = identity(key, text_col)
+    named = docs.select(k.alias("_k"), t.alias("_t"), F.struct(*docs.columns).alias("_row"))
+    kept = join_sized(named, others, ["_k", "_t"], "left_anti")
+    if twice.limit(1).count():
+        once = join_sized(kept, twice, ["_k", "_t"], "left_semi").dropDuplicates(["_k", "_t"])
+        kept = join_sized(kept, twice, ["_k", "_t"], "left_anti").unionAll(once)
+    return kept.select("_row.*")
 
 
 def op1_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
