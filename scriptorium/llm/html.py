@@ -3,7 +3,9 @@
 1. The page becomes lines: the text of every block element, with white space turned into one space and character
    references decoded. Comments, scripts, styles and forms are left out, and so are containers that a page marks as something else
    than its article: navigation, headers and footers outside the article, asides, dialogs, and elements
-   whose class, id or role names a menu, sidebar, notice, advert, share bar or reader comments.
+   whose class, id or role names a menu, sidebar, notice, advert, share bar or reader comments. A name that only mentions such a word
+   (as ``has-sidebar`` or ``share-price``) may be that of a wrapper: the element stays if it holds the page's only content
+   containers, or ``WRAPS`` times the text that stands outside all elements named so.
 2. The text lengths of the lines are summed over a sliding window. The distribution surges where the main text starts
    and dives where it ends; the stretches between a surge and its dive are the article's core. Text in links weighs nothing, and
    a line counts at most LINE_CAP characters here, so that one very long line doesn't hide the others.
@@ -35,7 +37,10 @@ from scriptorium.llm.common import table, tune
 WINDOW, SURGE = 3, 0.2
 #: Characters of a line that count towards a surge, and the share of a division's text that the core needs.
 LINE_CAP, PURE = 240, 0.8
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S)
+#: Text inside a wrapper for each character outside.
+WRAPS = 4
+#: A tag ends before the next "<" outside its quoted values, so that a broken one costs no more than its own length.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^<>])*+)>|<[!?][^<>]*>", re.S)
 RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "noframes", "xmp")}
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,6 +53,8 @@ NOISE = frozenset("nav navbar navigation menu breadcrumb breadcrumbs sidebar asi
 #: Words in front of which a noise word says something else, as in "article-header".
 OWN = frozenset("article post entry content story main".split())
 CONTENT_NAME = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story)(?:[-_]?(?:body|content|text))?(?:$|\s)|main[-_]?(?:content|text)|content[-_]?main|articleBody", re.I)
+#: Words that leave a noise word's name what it is, as in "comments-area" or "left-sidebar".
+PLAIN = frozenset("area list section box container block wrap wrapper inner outer item items bar left right top bottom site main global user reader primary secondary mobile desktop sticky fixed small big new inline links link nav text icon icons button buttons form count title".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar alertdialog".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Where an unclosed item stops looking for the element it closes.
@@ -58,32 +65,38 @@ def attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): references.unescape((m[2] or "").strip("\"'")) for m in ATTRIBUTE.finditer(raw)} if "=" in raw or raw.strip() else {}
 
 
-def is_noise(tag: str, attrs: dict[str, str], in_content: bool) -> bool:
-    """Whether the page marks this element as something else than its article."""
+def is_noise(tag: str, attrs: dict[str, str], in_content: bool) -> int:
+    """Whether the page marks this element as something else than its article: 2 yes, 1 if only its name mentions such a thing, 0 no."""
     if tag in DROPPED or "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in NOISE_ROLES:
-        return True
+        return 2
     if tag == "header":
-        return not in_content
+        return 0 if in_content else 2
     if tag in ("body", "html", "article", "main") or not ("class" in attrs or "id" in attrs):
-        return "display:none" in attrs.get("style", "").replace(" ", "")
+        return 2 if "display:none" in attrs.get("style", "").replace(" ", "") else 0
+    found = 0
     for name in (attrs.get("class", "") + " " + attrs.get("id", "")).split():
         words = [w.lower() for w in WORDS.findall(name)]
         if NOISE.intersection(words) and not (words[0] in OWN and words[-1] in ("header", "content")):
-            return True
-    return False
+            found = max(found, 2 if NOISE.union(PLAIN).issuperset(words) else 1)
+    return found
 
 
 def lines(page: str) -> tuple[list[tuple[str, int, int, int]], list[int]]:
     """(text, characters outside links, numbers of the innermost content container and of the innermost division around it, 0
     for none) of each block outside boilerplate; and by a container's number that of the next one of its kind around it.
     Containers are numbered from outside in."""
-    out: list[tuple[str, int, int, int]] = []
+    out: list[tuple[str, int, int, int, int]] = []
     parents = [0]
+    #: By a doubtful element's number: the doubtful one around it, and whether a content container lies in it.
+    doubts, holding = [0], [False]
     stack: list[tuple[str, bool, list[int] | None]] = []  # tag, noise, where it is noted
+    count: dict[str, int] = {}
+    endless: set[str] = set()
     parts: list[str] = []
-    state = {"noise": 0, "links": 0, "free": 0}
+    state = {"noise": 0, "links": 0, "free": 0, "outside": False}
     content: list[int] = []
     divisions: list[int] = []
+    doubtful: list[int] = []
     at = 0
 
     def text(raw: str) -> None:
@@ -96,14 +109,17 @@ def lines(page: str) -> tuple[list[tuple[str, int, int, int]], list[int]]:
     def flush() -> None:
         line = " ".join("".join(parts).split())
         if line:
-            out.append((line, min(state["free"], len(line)), content[-1] if content else 0, divisions[-1] if divisions else 0))
+            out.append((line, min(state["free"], len(line)), content[-1] if content else 0, divisions[-1] if divisions else 0, doubtful[-1] if doubtful else 0))
         parts.clear()
         state["free"] = 0
 
     def pop() -> None:
         tag, noise, holds = stack.pop()
+        count[tag] -= 1
         state["noise"] -= noise
         state["links"] -= tag == "a"
+        if holds is doubtful:
+            flush()
         if holds is not None:
             holds.pop()
 
@@ -117,7 +133,9 @@ def lines(page: str) -> tuple[list[tuple[str, int, int, int]], list[int]]:
             continue
         tag = m[2].lower()
         if not m[1] and tag in RAW and not m[3].rstrip().endswith("/"):
-            end = RAW[tag].search(page, at)
+            end = None if tag in endless else RAW[tag].search(page, at)
+            if not end:
+                endless.add(tag)
             at = end.end() if end else len(page) if tag in ("script", "style", "textarea", "title") else at
             continue
         if tag in BLOCKS:
@@ -125,7 +143,7 @@ def lines(page: str) -> tuple[list[tuple[str, int, int, int]], list[int]]:
         if tag == "br":
             text(" ")
         if m[1]:
-            if any(t == tag for t, _, _ in stack):
+            if count.get(tag):
                 while stack[-1][0] != tag:
                     pop()
                 pop()
@@ -134,7 +152,7 @@ def lines(page: str) -> tuple[list[tuple[str, int, int, int]], list[int]]:
             continue
         if tag in CLOSES or tag in BLOCKS and any(t == "p" for t, _, _ in stack[-3:]):
             ends = CLOSES.get(tag, set()) | ({"p"} if tag in BLOCKS else set())
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if any(count.get(t) for t in ends) else ():
                 t = stack[k][0]
                 if t in ends:
                     while len(stack) > k:
@@ -143,18 +161,52 @@ def lines(page: str) -> tuple[list[tuple[str, int, int, int]], list[int]]:
                 if t in SCOPES.get(tag, ()) or t in BLOCKS and t not in ("p",) and tag not in SCOPES:
                     break
         attrs = attributes(m[3])
-        noise = not state["noise"] and is_noise(tag, attrs, bool(content))
+        noise = 0 if state["noise"] else is_noise(tag, attrs, bool(content))
         holds = tag in CONTENT or attrs.get("role", "").lower() in ("main", "article") or tag in ("div", "section", "td") and bool(CONTENT_NAME.search(attrs.get("class", "")) or CONTENT_NAME.search(attrs.get("id", "")) or attrs.get("itemprop") == "articleBody")
-        noted = content if holds else divisions if tag in DIVISIONS else None
-        stack.append((tag, noise, noted))
-        state["noise"] += noise
+        if noise == 1:
+            # A doubtful element is no division, so that its text can be told apart.
+            flush()
+            doubts.append(doubtful[-1] if doubtful else 0)
+            holding.append(False)
+            doubtful.append(len(doubts) - 1)
+            noted = doubtful
+        else:
+            noted = content if holds else divisions if tag in DIVISIONS else None
+        if holds and not noise and not state["noise"]:
+            if doubtful and not content:
+                holding[doubtful[-1]] = True
+            elif not doubtful:
+                state["outside"] = True
+        stack.append((tag, noise == 2, noted))
+        count[tag] = count.get(tag, 0) + 1
+        state["noise"] += noise == 2
         state["links"] += tag == "a"
-        if noted is not None:
+        if noted is not None and noted is not doubtful:
             parents.append(noted[-1] if noted else 0)
             noted.append(len(parents) - 1)
     text(page[at:])
     flush()
-    return out, parents
+    return told(out, doubts, holding, state["outside"]), parents
+
+
+def told(found: list[tuple], doubts: list[int], holding: list[bool], outside: bool) -> list[tuple[str, int, int, int]]:
+    """The lines without those in doubtful elements that are no wrappers."""
+    if len(doubts) == 1:
+        return [row[:4] for row in found]
+    weights, free = [0] * len(doubts), 0
+    for row in found:
+        weights[row[4]] += row[1]
+        free += 0 if row[4] else row[1]
+    holds = list(holding)
+    for i in range(len(doubts) - 1, 0, -1):
+        if doubts[i]:
+            weights[doubts[i]] += weights[i]
+            holds[doubts[i]] |= holds[i]
+    kept = [True]
+    for i in range(1, len(doubts)):
+        wraps = holds[i] and not outside or weights[i] >= WRAPS * max(free, 1)
+        kept.append(kept[doubts[i]] and wraps)
+    return [row[:4] for row in found if kept[row[4]]]
 
 
 def stretches(sizes: list[int]) -> list[tuple[int, int]]:

@@ -1,5 +1,6 @@
 import html as references
 import re
+import time
 
 import pytest
 
@@ -97,3 +98,18 @@ def test_rows(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (None, None, "<p>a</p>", "x"), (1, "u", None, "x")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id or 0, r.url or "", r.text, r.n_chars) for r in html.extract(df).collect()) == [(0, "", "a", 1), (1, "u", "", 0), (1, "u", "", 0)]
     assert html.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("wrapper", ['<div class="content-sidebar-wrap"><article>%s</article></div>', '<div class="layout has-sidebar"><article>%s</article></div>', '<div id="share-price"><article>%s</article></div>', '<div class="page-header-fixed"><article>%s</article></div>', '<main><div class="with-comments">%s</div></main>'])
+def test_wrappers_that_mention_boilerplate(wrapper):
+    lines = ["A title"] + [f"Sentence {i} of the article goes on for some time, with commas and more." for i in range(6)]
+    body = "<h1>A title</h1>" + "".join(f"<p>{x}</p>" for x in lines[1:])
+    page = f'<html><body><nav><a href="/">Home</a></nav>{wrapper % body}<div class="comments"><p>I like this very much, dear author, thank you.</p></div></body></html>'
+    assert html.main_text(page) == "\n".join(lines)
+
+
+@pytest.mark.parametrize("page", ["<a " * 300_000, "</b>" * 200_000, "<svg>" * 100_000, "<b>" * 50_000 + "<p>" * 50_000, '<a b="<' * 100_000, "<!x" * 200_000])
+def test_broken_markup_costs_its_length(page):
+    began = time.time()
+    html.main_text(page)
+    assert time.time() - began < 10
