@@ -14,9 +14,9 @@ Weak kinds are candidates; a weak candidate is a finding only if complementary p
 :func:`redact` links more: it measures the gap between the spans, so that a long part doesn't hide the one beside it, and takes
 identifier names in either case. :func:`find_secrets` keeps to its SQL: distance of the starts, lower-case identifier names.
 
-Every text is the scope boundary, so the interval join runs inside the row: spans are arrays in text
-order and ``exists`` joins them by their distance. Nothing is shuffled, and a hot source
-or group of copies has no effect.
+Every text is the scope boundary, so the interval join runs inside the row: all parts of a text stand in one array in text order, and
+two cumulative passes (:func:`around`) give each part the nearest secret and identifier before and after it. So the work grows with
+a text's parts, not with their pairs. Nothing is shuffled, and a hot source or group of copies has no effect.
 
 Results for odd rows: a null or empty text has no spans; ties in start are ordered by kind in the
 order above; repeated rows give repeated results; an empty table gives an empty result; other columns
@@ -68,11 +68,35 @@ def spans(text: Column, pattern: str, kind: str, least: int, group: int = 0) ->
     return F.aggregate(lengths, empty, step, lambda acc: acc["out"])
 
 
-def near(parts: Column, x: Column, scope: int, gaps: bool = False) -> Column:
-    """Whether one of the parts starts within the scope of x; gaps: whether so much at most lies between them."""
-    if gaps:
-        return F.exists(parts, lambda p: F.greatest(p["start"], x["start"]) - F.least(p["end"], x["end"]) <= scope)
-    return F.exists(parts, lambda p: F.abs(p["start"] - x["start"]) <= scope)
+#: Stands for no part before, and for none after.
+NONE_BEFORE, NONE_AFTER = -(1 << 30), 1 << 30
+PASS = "array<struct<a:int,b:int>>"
+
+
+def around(parts: Column, is_a: Column, is_b: Column, reach: str) -> Column:
+    """For each of the parts, in order of their starts: the greatest ``reach`` (start or end) of the a and b parts up to it, and the least
+    start of those from it on, as struct(part, a, b, next_a, next_b). is_a and is_b are functions of a part."""
+
+    def run(rows: Column, start: int, value, better) -> Column:
+        empty = F.struct(F.lit(start).alias("a"), F.lit(start).alias("b"), F.expr(f"cast(array() as {PASS})").alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            a = F.when(is_a(x), better(acc["a"], value(x))).otherwise(acc["a"])
+            b = F.when(is_b(x), better(acc["b"], value(x))).otherwise(acc["b"])
+            return F.struct(a.alias("a"), b.alias("b"), F.concat(acc["out"], F.array(F.struct(a.alias("a"), b.alias("b")))).alias("out"))
+
+        return F.aggregate(rows, empty, step, lambda acc: acc["out"])
+
+    before = run(parts, NONE_BEFORE, lambda x: x[reach], F.greatest)
+    after = F.reverse(run(F.reverse(parts), NONE_AFTER, lambda x: x["start"], F.least))
+    first = F.zip_with(parts, before, lambda x, p: F.struct(x.alias("part"), p["a"].alias("a"), p["b"].alias("b")))
+    return F.zip_with(first, after, lambda x, n: F.struct(x["part"].alias("part"), x["a"].alias("a"), x["b"].alias("b"), n["a"].alias("next_a"), n["b"].alias("next_b")))
+
+
+def near(x: Column, which: str, scope: int, gaps: bool) -> Column:
+    """Whether a part of the kind a or b lies within the scope of x: by the starts, or (gaps) by what lies between."""
+    end = x["part"]["end"] if gaps else x["part"]["start"]
+    return (x["part"]["start"] - x[which] <= scope) | (x[f"next_{which}"] - end <= scope)
 
 
 def with_spans(docs: DataFrame, text_col: str = "text", scope: int = SCOPE, whole: bool = False) -> DataFrame:
@@ -97,17 +121,26 @@ def with_spans(docs: DataFrame, text_col: str = "text", scope: int = SCOPE, whol
     # Keys and addresses can only be findings beside an identifier part.
     df = df.withColumn("_key", gate(F.size("_ids") > 0, spans(F.col("_t"), KEY, "key", 32)))
     mixed = lambda x: F.substring(F.col("_t"), x["start"] + 1, x["end"] - x["start"]).rlike("[0-9]") & F.substring(F.col("_t"), x["start"] + 1, x["end"] - x["start"]).rlike("[A-Za-z]")
-    df = df.withColumn("_key", F.filter("_key", lambda x: mixed(x) & ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))))
-    df = df.withColumn("_secret", F.concat("_assign", "_hex", "_key"))
-    df = df.withColumn("_endpoint", gate((F.size("_ids") > 0) & (F.size("_secret") > 0), spans(F.col("_t"), ENDPOINT, "endpoint", 8)))
-    linked = F.concat(
-        F.filter("_id", lambda x: near(F.col("_secret"), x, scope, whole)),
-        F.filter("_key", lambda x: near(F.col("_ids"), x, scope, whole)),
-        F.filter("_endpoint", lambda x: near(F.col("_ids"), x, scope, whole) & near(F.col("_secret"), x, scope, whole)),
+    df = df.withColumn("_key", F.filter("_key", mixed))
+    kinds = {k: KINDS.index(k) for k in KINDS}
+    # Keys inside or across base spans are none: such a base span ends after the key's start, or starts before its end.
+    of_key, of_base = (lambda x: x["kind"] == kinds["key"]), (lambda x: x["kind"] <= kinds["hex"])
+    beside = F.filter(around(F.array_sort(F.concat("_base", "_key")), of_base, of_key, "end"), lambda x: of_key(x["part"]) & (x["a"] <= x["part"]["start"]) & (x["next_a"] >= x["part"]["end"]))
+    df = df.withColumn("_key", F.when((F.size("_key") > 0) & (F.size("_base") > 0), F.transform(beside, lambda x: x["part"])).otherwise(F.col("_key")))
+    df = df.withColumn("_secrets", F.size("_assign") + F.size("_hex") + F.size("_key"))
+    df = df.withColumn("_endpoint", gate((F.size("_ids") > 0) & (F.col("_secrets") > 0), spans(F.col("_t"), ENDPOINT, "endpoint", 8)))
+    is_secret = lambda x: x["kind"].isin(kinds["assign"], kinds["hex"], kinds["key"])
+    is_id = lambda x: x["kind"].isin(kinds["access"], kinds["id"])
+    parts = around(F.array_sort(F.concat("_base", "_id", "_key", "_endpoint")), is_secret, is_id, "end" if whole else "start")
+    kind = lambda x: x["part"]["kind"]
+    reported = lambda x: (
+        (kind(x) == kinds["id"]) & near(x, "a", scope, whole) | (kind(x) == kinds["key"]) & near(x, "b", scope, whole) | (kind(x) == kinds["endpoint"]) & near(x, "a", scope, whole) & near(x, "b", scope, whole)
     )
+    found = F.transform(F.filter(parts, reported), lambda x: x["part"])
+    linked = F.when((F.size("_ids") > 0) & (F.size("_id") + F.size("_key") + F.size("_endpoint") > 0), found).otherwise(none)
     order = lambda a: F.transform(F.array_sort(F.transform(a, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
     df = df.withColumn("_all", order(F.concat("_base", linked))).withColumn("_base", order(F.col("_base")))
-    return df.drop("_t", "_ids", "_key", "_secret", "_endpoint", "_id")
+    return df.drop("_t", "_ids", "_key", "_secrets", "_endpoint", "_id")
 
 
 def digest(found: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 from scriptorium.llm import secrets
 
@@ -72,3 +73,14 @@ def test_redaction_links_across_long_and_upper_case_parts(spark):
     rows = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert rows[0] == "[SECRET] [SECRET] [SECRET]" and rows[1] == "[SECRET] [SECRET]" and rows[2] == "[SECRET] [SECRET] [SECRET] b"
     assert rows[3] == f"[SECRET]{far}{key}" and rows[4] == texts[4] and rows[5] == f"[SECRET] {key}"
+
+
+def test_many_parts_in_one_text(spark):
+    """The links of 20,000 parts, against a sweep over their places."""
+    unit = "token=abcdef client_id=acme7 "
+    text = unit * 5_000 + " " * 600 + "client_id=alone " + " " * 600 + unit * 5_000
+    began = time.time()
+    spans = secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0].spans.split(",")
+    assert time.time() - began < 60
+    alone = text.index("client_id=alone")
+    assert len(spans) == 20_000 and f"id:{alone}:{alone + 15}" not in spans
