@@ -9,11 +9,16 @@ of each other. So per batch:
 2. shared q-grams are counted by text, item and overlapping diagonal bands of twice e + 1;
 3. bands that meet the bound are verified by banded alignment.
 
+q is ``Q``, or for a short item the greatest that leaves a bound of 1 or more: n // (e + 1). Shared q-grams are expanded to
+``PAIRS`` at a time and summed up, so that memory doesn't grow with their number. An item that repeats itself (``REPEATS`` places a distinct q-gram)
+would share each place of a text that repeats likewise with many of its own; for such items the places of a text whose q-gram the item
+has at all are counted in overlapping windows of twice n + e, by the same bound, and windows that meet it are verified.
+
 Q-grams that occur in very many items are left out of an item's counts only as far as its bound can be lowered by as many, so
 the filter loses nothing. Items are a stated query set against all rows: they are broadcast in blocks of
 ``BLOCK_BYTES``, one pass over the texts a block, so the broadcast is bounded however many items there are. Nothing is shuffled.
 
-Results for odd rows: a null or empty text has no hits; a null or blank item is never found; an item shorter than q
+Results for odd rows: a null or empty text has no hits; a null or blank item is never found; an item shorter than ``Q``
 characters is found where it stands verbatim between spaces or ends; items with equal texts are all reported; repeated rows
 repeat; empty tables give empty results; other columns pass through :func:`clean`. Very long texts are scanned whole.
 Positions are code points of the lower-cased text, the end is exclusive; of overlapping regions of one item the nearest is reported.
@@ -38,6 +43,8 @@ BLOCK_BYTES = 4 << 20
 #: A q-gram in more places of the items than this is common.
 COMMON = 16
 BITS = 20
+#: Shared q-grams that are counted at once, and places a distinct q-gram from which on an item counts as repetitive.
+PAIRS, REPEATS = 1_000_000, 4
 #: Characters that are searched at once.
 PIECE_CHARS = 1_000_000
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -70,58 +77,82 @@ def folded(points: np.ndarray) -> np.ndarray:
     return (points ^ points >> 8).astype(np.uint8)
 
 
-def grams(letters: np.ndarray) -> np.ndarray:
-    """All 8-letter windows as numbers."""
-    n = len(letters) - Q + 1
-    return np.ndarray((n,), "<u8", letters.tobytes(), strides=(1,)).astype(np.uint64) if n > 0 else np.zeros(0, np.uint64)
+def grams(letters: np.ndarray, q: int) -> np.ndarray:
+    """All windows of q (at most 8) letters as numbers."""
+    n = len(letters) - q + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    raw = np.append(letters, np.zeros(8, np.uint8)).tobytes()
+    return np.ndarray((n,), "<u8", raw, strides=(1,)).astype(np.uint64) & np.uint64((1 << 8 * q) - 1)
 
 
 def slot(codes: np.ndarray) -> np.ndarray:
     return (codes * SPREAD >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+@dataclass
+class Grams:
+    """The q-grams of one length of some items."""
+
+    q: int
+    bitmap: np.ndarray
+    codes: np.ndarray
+    starts: np.ndarray
+    owners: np.ndarray
+    places: np.ndarray
+
+
 @dataclass
 class Index:
-    """The q-grams of a block of items."""
+    """A block of items: their q-grams by length, those that are counted by windows, and those too short for q-grams."""
 
     ids: list
     items: list[np.ndarray]
     edits: np.ndarray
     bounds: np.ndarray
     short: list[int]
-    bitmap: np.ndarray
-    codes: np.ndarray
-    starts: np.ndarray
-    owners: np.ndarray
-    places: np.ndarray
+    levels: list[Grams]
+    windowed: list[Grams]
 
 
-def build(rows: list[tuple[object, str | None]], share: float) -> Index:
-    points, _, cuts = normal([text for _, text in rows])
-    items = [points[a:b] for a, b in zip(cuts, cuts[1:])]
-    long = [i for i, x in enumerate(items) if len(x) >= Q]
-    edits = np.array([min(int(share * len(x)), max(0, len(x) - Q) // Q) for x in items] or [0], np.int64)
-    bounds = np.array([len(x) - Q + 1 - Q * int(e) for x, e in zip(items, edits)] or [0], np.int64)
-    parts = [grams(folded(items[i])) for i in long]
-    none = np.zeros(0, np.int64)
-    codes = np.concatenate([np.zeros(0, np.uint64), *parts])
-    owners = np.concatenate([none, *[np.full(len(p), i, np.int64) for i, p in zip(long, parts)]])
-    places = np.concatenate([none, *[np.arange(len(p)) for p in parts]])
-    # Common grams go, the commonest first, while the item's bound stays at 1 or more.
-    _, inverse, counts = np.unique(codes, return_inverse=True, return_counts=True)
-    often = counts[inverse] if len(codes) else none
-    order = np.lexsort((-often, owners))
-    ranked = owners[order]
-    rank = np.arange(len(order)) - np.searchsorted(ranked, ranked)
-    drop = np.zeros(len(codes), bool)
-    drop[order] = (often[order] > COMMON) & (rank < bounds[ranked] * 3 // 4)
-    bounds = bounds - np.bincount(owners[drop], minlength=len(bounds))
-    codes, owners, places = codes[~drop], owners[~drop], places[~drop]
+def gathered(q: int, codes: np.ndarray, owners: np.ndarray, places: np.ndarray) -> Grams:
     order = np.argsort(codes, kind="stable")
     unique, starts = np.unique(codes[order], return_index=True)
     bitmap = np.zeros(1 << BITS, bool)
     bitmap[slot(unique)] = True
-    return Index([i for i, _ in rows], items, edits, bounds, [i for i, x in enumerate(items) if 0 < len(x) < Q], bitmap, unique, np.append(starts, len(order)), owners[order], places[order])
+    return Grams(q, bitmap, unique, np.append(starts, len(order)), owners[order], places[order])
+
+
+def build(rows: list[tuple[object, str | None]], share: float) -> Index:
+    points, _, cuts = normal([text for _, text in rows])
+    items = [points[a:b] for a, b in zip(cuts, cuts[1:])]
+    edits = np.array([int(share * len(x)) for x in items] or [0], np.int64)
+    # n - q + 1 - q * e is 1 or more up to q = n // (e + 1).
+    lengths = [min(Q, len(x) // (int(e) + 1)) if len(x) >= Q else 0 for x, e in zip(items, edits)]
+    bounds = np.array([len(x) - q + 1 - q * int(e) for x, e, q in zip(items, edits, lengths)] or [0], np.int64)
+    levels, windowed, none = [], [], np.zeros(0, np.int64)
+    for q in sorted({q for q in lengths if q}):
+        parts = {i: grams(folded(items[i]), q) for i, own in enumerate(lengths) if own == q}
+        repetitive = {i for i, p in parts.items() if len(p) >= REPEATS * len(np.unique(p))}
+        for i in repetitive:
+            distinct = np.unique(parts[i])
+            windowed.append(gathered(q, distinct, np.full(len(distinct), i, np.int64), np.zeros(len(distinct), np.int64)))
+        parts = {i: p for i, p in parts.items() if i not in repetitive}
+        codes = np.concatenate([np.zeros(0, np.uint64), *parts.values()])
+        owners = np.concatenate([none, *[np.full(len(p), i, np.int64) for i, p in parts.items()]])
+        places = np.concatenate([none, *[np.arange(len(p)) for p in parts.values()]])
+        # Common grams go, the commonest first, while the item's bound stays at 1 or more.
+        _, inverse, counts = np.unique(codes, return_inverse=True, return_counts=True)
+        often = counts[inverse] if len(codes) else none
+        order = np.lexsort((-often, owners))
+        ranked = owners[order]
+        rank = np.arange(len(order)) - np.searchsorted(ranked, ranked)
+        drop = np.zeros(len(codes), bool)
+        drop[order] = (often[order] > COMMON) & (rank < bounds[ranked] * 3 // 4)
+        bounds = bounds - np.bincount(owners[drop], minlength=len(bounds))
+        if len(codes):
+            levels.append(gathered(q, codes[~drop], owners[~drop], places[~drop]))
+    return Index([i for i, _ in rows], items, edits, bounds, [i for i, x in enumerate(items) if 0 < len(x) < Q], levels, windowed)
 
 
 def distances(item: np.ndarray, region: np.ndarray, low: int, high: int) -> np.ndarray:
@@ -160,41 +191,75 @@ def verify(item: np.ndarray, text: np.ndarray, low: int, high: int, edits: int)
     return max(0, end - size), end, int(ends[best])
 
 
+def shared(level: Grams, letters: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, number of the code) of the texts' q-grams that an item has; none over two texts."""
+    codes = grams(letters, level.q)
+    at = np.flatnonzero(level.bitmap[slot(codes)])
+    own = np.minimum(np.searchsorted(level.codes, codes[at]), len(level.codes) - 1)
+    same = (level.codes[own] == codes[at]) & (np.searchsorted(firsts, at, "right") == np.searchsorted(firsts, at + level.q - 1, "right"))
+    return at[same], own[same]
+
+
+def summed(text: np.ndarray, owner: np.ndarray, band: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The sizes by text, owner and band, ordered."""
+    order = np.lexsort((band, owner, text))
+    text, owner, band, size = text[order], owner[order], band[order], size[order]
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:] != text[:-1]) | (owner[1:] != owner[:-1]) | (band[1:] != band[:-1])
+    first = np.flatnonzero(new)
+    return text[first], owner[first], band[first], np.add.reduceat(size, first) if len(first) else size[:0]
+
+
+def banded(index: Index, level: Grams, letters: np.ndarray, firsts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(text, item, first diagonal, last diagonal) of the bands that meet the bound."""
+    at, own = shared(level, letters, firsts)
+    counts = level.starts[own + 1] - level.starts[own]
+    parts = []
+    cuts = np.flatnonzero(np.diff(np.cumsum(counts) // PAIRS)) + 1
+    for a, c, n in zip(np.split(at, cuts), np.split(own, cuts), np.split(counts, cuts)):
+        rows = np.repeat(level.starts[c] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        a = np.repeat(a, n)
+        text, owner = np.searchsorted(firsts, a, "right") - 1, level.owners[rows]
+        # Diagonals from the text's start; a region may start up to e before it.
+        band = (a - firsts[text] - level.places[rows] + firsts[-1]) // (index.edits[owner] + 1)
+        parts.append(summed(text, owner, band, np.ones(len(a), np.int64)))
+    text, owner, band, size = summed(*map(np.concatenate, zip(*parts)))
+    both = size.copy()
+    follows = (text[1:] == text[:-1]) & (owner[1:] == owner[:-1]) & (band[1:] == band[:-1] + 1)
+    both[:-1] += np.where(follows, size[1:], 0)
+    for k in np.flatnonzero(both >= index.bounds[owner]).tolist():
+        e = int(index.edits[owner[k]])
+        low = int(band[k]) * (e + 1) - int(firsts[-1])
+        yield int(text[k]), int(owner[k]), low, low + 2 * (e + 1) - 1
+
+
+def windows(index: Index, level: Grams, letters: np.ndarray, firsts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """The same for an item that repeats itself: windows in which enough places have one of its q-grams."""
+    at, _ = shared(level, letters, firsts)
+    if not len(at):
+        return
+    o = int(level.owners[0])
+    step = len(index.items[o]) + int(index.edits[o])
+    text = np.searchsorted(firsts, at, "right") - 1
+    text, _, number, size = summed(text, np.zeros(len(at), np.int64), (at - firsts[text]) // step, np.ones(len(at), np.int64))
+    # A region lies in the window it starts in and the next one; it may also start in a window without a shared place.
+    for t, n in sorted({(t, n - k) for t, n in zip(text.tolist(), number.tolist()) for k in (0, 1) if n - k >= 0}):
+        own = slice(*np.searchsorted(text, [t, t + 1]))
+        a, b = np.searchsorted(number[own], [n, n + 2])
+        if size[own][a:b].sum() >= index.bounds[o]:
+            yield t, o, n * step, (n + 1) * step - 1
+
+
 def search(index: Index, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
     """(text, item, start, end, distance) of all hits, ordered."""
     points, places, firsts = normal(texts)
     pairs = [points[a:b] for a, b in zip(firsts, firsts[1:])]
-    out = []
-    if len(index.codes) and len(points):
-        codes = grams(folded(points))
-        at = np.flatnonzero(index.bitmap[slot(codes)])
-        own = np.minimum(np.searchsorted(index.codes, codes[at]), len(index.codes) - 1)
-        # A window over two texts is none of either's.
-        same = (index.codes[own] == codes[at]) & (np.searchsorted(firsts, at, "right") == np.searchsorted(firsts, at + Q - 1, "right"))
-        at, own = at[same], own[same]
-        counts = index.starts[own + 1] - index.starts[own]
-        rows = np.repeat(index.starts[own] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        at = np.repeat(at, counts)
-        text = np.searchsorted(firsts, at, "right") - 1
-        owner = index.owners[rows]
-        # Diagonals from the text's start; a region may start up to e before it.
-        wide = index.edits[owner] + 1
-        band = (at - firsts[text] - index.places[rows] + len(points)) // wide
-        order = np.lexsort((band, owner, text))
-        text, owner, band = text[order], owner[order], band[order]
-        new = np.ones(len(text), bool)
-        new[1:] = (text[1:] != text[:-1]) | (owner[1:] != owner[:-1]) | (band[1:] != band[:-1])
-        first = np.flatnonzero(new)
-        size = np.diff(np.append(first, len(text)))
-        text, owner, band = text[first], owner[first], band[first]
-        both = size.copy()
-        follows = (text[1:] == text[:-1]) & (owner[1:] == owner[:-1]) & (band[1:] == band[:-1] + 1)
-        both[:-1] += np.where(follows, size[1:], 0)
-        for k in np.flatnonzero(both >= index.bounds[owner]).tolist():
-            t, o, e = int(text[k]), int(owner[k]), int(index.edits[owner[k]])
-            low = int(band[k]) * (e + 1) - len(points)
-            if hit := verify(index.items[o], pairs[t], low, low + 2 * (e + 1) - 1, e):
-                out.append((t, o, *hit))
+    out, letters = [], folded(points)
+    for find, levels in ((banded, index.levels), (windows, index.windowed)):
+        for level in levels if len(points) else ():
+            for t, o, low, high in find(index, level, letters, firsts):
+                if hit := verify(index.items[o], pairs[t], low, high, int(index.edits[o])):
+                    out.append((t, o, *hit))
     for o in index.short:
         want = f" {''.join(map(chr, index.items[o]))} "
         for t, own in enumerate(pairs):

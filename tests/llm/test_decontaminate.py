@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 from scriptorium.llm import decontaminate as d
 
@@ -81,3 +82,29 @@ def test_blocks_of_items(spark, monkeypatch):
     assert found == {(r.doc_id, r.item_id) for r in d.find_leaks(*tables).collect()}
     docs, items = [[(r[0], plain(r.text)) for r in t.collect()] for t in tables]
     assert found >= {(i, j) for i, t in docs for j, x in items if x in t}
+
+
+def test_short_items_have_their_whole_budget():
+    rng = random.Random(7)
+    for n in range(9, 41):
+        for _ in range(6):
+            item = "".join(rng.choice("abcdefghijkl") for _ in range(n))
+            text = "zz " + altered(item, rng.randrange(0, 2 + n // 10), rng) + " yy"
+            near = edits(plain(item), plain(text))
+            assert bool(d.search(d.build([(0, item)], d.EDITS), [text])) == (near <= int(d.EDITS * len(plain(item))))
+
+
+def test_repetitive_items():
+    """Items that repeat themselves, by windows, against brute force; and in bounded memory."""
+    rng = random.Random(8)
+    for _ in range(30):
+        item = rng.choice(["ha ", "abab ", "x", "lorem ipsum dolor "]) * rng.randrange(30, 60)
+        text = "an end " * rng.randrange(9) + altered(item, rng.randrange(0, 2 + int(0.14 * len(item))), rng) + " no end" * rng.randrange(9)
+        index = d.build([(0, item)], d.EDITS)
+        hits = d.search(index, [text])
+        assert bool(hits) == (edits(plain(item), plain(text)) <= index.edits[0])
+    index = d.build([(0, "ha " * 600)] + [(i, f"ha ha ha ha {i} " + "".join(rng.choice("abcdefgh ") for _ in range(60))) for i in range(1, 40)], d.EDITS)
+    tracemalloc.start()
+    assert {h[1] for h in d.search(index, ["ha " * 333_000])} == {0}
+    assert tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
