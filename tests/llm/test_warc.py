@@ -55,3 +55,20 @@ def test_empty_table(spark):
     path = new_dir(spark, "test-warc")
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path)
     assert warc.read_archives(spark, path).count() == 0
+
+
+def test_records_have_addresses_and_files_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RECORDS", 8)
+    monkeypatch.setattr(warc, "SMALL", 1000)
+    pages = [(i, f"https://x.example/{i}\nb" if i != 3 else None, "p" * (5 if i in (7, 8) else 300 + i)) for i in range(40)] + [(i, f"u{i}", str(i) * 2000) for i in range(40, 50)]
+    path = new_dir(spark, "test-warc")
+    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), path)
+    files = [(r.path, bytes(r.content)) for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(path).collect()]
+    counts = sorted(c.count(b"WARC-Record-ID") for p, c in files if "size=0" in p)
+    assert counts == [8] * 5 and {c.count(b"WARC-Record-ID") for p, c in files if "size=2" in p} == {2}
+    whole = b"".join(c for _, c in files)
+    again = whole[whole.index(b"WARC-Type: revisit") :].partition(b"\r\n\r\n")[0]
+    assert b"WARC-Refers-To: <urn:page:7>" in again and b"WARC-Refers-To-Target-URI: https://x.example/7%0Ab" in again
+    assert b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: 300\r\n\r\n" + b"p" * 300 + b"\r\n\r\n" in whole
+    targets = {r.page_id: r.target for r in warc.read_archives(spark, path).collect()}
+    assert targets["3"] is None and targets["4"] == "https://x.example/4%0Ab" and len(targets) == 50
