@@ -2,10 +2,11 @@
 
 1. Every task pre-tokenises its texts in blocks of about ``BLOCK_CHARS`` characters. A block keeps, for each text,
    the positions as a sequence of local word numbers, and lists each distinct word (pre-token) once.
-2. A block's words are dealt into buckets by their hash and shuffled by bucket, packed. All rows of a word meet in one
-   task, which encodes each distinct word once.
+2. A block's words are dealt into buckets by their hash, shuffled and sorted by bucket, packed. All rows of a word stand
+   together in one task, which holds the distinct words of one bucket at a time and encodes each once.
 3. The ids go back by block, where they meet the block's texts and are set in by position.
-4. Decoding looks ids up in the table of token bytes, which has the size of the vocabulary.
+4. Decoding joins ids with the table of token bytes by broadcast: it has the size of the vocabulary, and as ids are dense it is a list
+   (:func:`decode` is the same join for arrays of ids that are given).
 
 A word occurs once a block at most, so no word is hot: the commonest counts as often as there are blocks, and
 blocks and buckets are dealt out by hashes. A block's key is a hash over its word list and its place in the input (partition and
@@ -37,8 +38,8 @@ from pyspark.sql import functions as F
 from scriptorium.llm.common import table, tune
 
 BLOCK_CHARS = 6_000_000
-#: Words a task remembers while it encodes; beyond that it starts anew.
-MEMO = 200_000
+#: Buckets of words for each shuffle partition.
+BUCKETS = 8
 
 
 def vocabulary(path: str | None = None, pattern: str | None = None) -> tuple[dict[bytes, int], str]:
@@ -154,29 +155,31 @@ def text_rows(docs: DataFrame, key: str, text_col: str, pattern: str, chars: int
 
 
 def encoded_rows(words: DataFrame, ranks) -> DataFrame:
-    """(block, bucket, sizes, ids): the words' ids. Rows are dealt by bucket, so that each distinct word is encoded once."""
+    """(block, bucket, sizes, ids): the words' ids. Rows are dealt and sorted by bucket: a task remembers the words of one bucket
+    at a time, and each distinct word is encoded once."""
 
     def emit(batches):
         import tiktoken
 
         own = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks.value, special_tokens={})
         memo: dict[str, list[int]] = {}
+        last = None
         for batch in batches:
             sizes, out = [], []
-            for size, joined in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for bucket, size, joined in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 found = []
+                if bucket != last:
+                    memo, last = {}, bucket
                 for w in unpack_words(size, joined):
                     ids = memo.get(w)
                     if ids is None:
-                        if len(memo) >= MEMO:
-                            memo.clear()
                         ids = memo[w] = own.encode_ordinary(w)
                     found.append(ids)
                 sizes.append(pack(np.fromiter(map(len, found), np.uint32, len(found))))
                 out.append(pack(np.fromiter(chain.from_iterable(found), np.uint32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.binary()), pa.array(out, pa.binary())], names=["block", "bucket", "sizes", "ids"])
 
-    return words.repartition("bucket").mapInArrow(emit, "block long, bucket int, sizes binary, ids binary")
+    return words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(emit, "block long, bucket int, sizes binary, ids binary")
 
 
 def encode(docs: DataFrame, tokens_of, schema: str, key: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, chars: int = BLOCK_CHARS) -> DataFrame:
@@ -185,7 +188,7 @@ def encode(docs: DataFrame, tokens_of, schema: str, key: str = "doc_id", text_co
     docs has to give the same rows when read twice (as files do); if it doesn't, this raises."""
     ranks, pattern = vocabulary(path, pattern)
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # the size of the vocabulary
-    buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     words = encoded_rows(word_rows(docs, key, text_col, pattern, chars, buckets), shared)
     texts = text_rows(docs, key, text_col, pattern, chars, buckets)
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
