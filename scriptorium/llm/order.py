@@ -5,12 +5,12 @@
 2. A sequence's index is its row in that table: its place in its file plus the rows of the files before (one number a file).
 3. A keyed Feistel network over the next power of four permutes the indices; an index that leaves the range walks its cycle until it
    is back. That gives every sequence one global slot, without a sort and without state.
-4. Slots are range partitioned: shard ``slot // SHARD_ROWS``, rows in slot order, records of a fixed stride. A reader finds slot s at
+4. Slots are range partitioned by bounds that are known beforehand: shard ``slot // SHARD_ROWS``, whole shards to a task, rows in slot order, records of a fixed stride. A reader finds slot s at
    row ``s % SHARD_ROWS`` of its shard and can resume anywhere (:func:`read_from`). :func:`write_raw` writes the
    same records as bare bytes.
 
 The order depends on the seed and on the table's files, which follow the input's splits. Slots are spread evenly whatever the
-documents are, so no shard is hot. A task holds one Arrow batch.
+documents are, so no shard is hot. A task holds one Arrow batch and the ids of one text.
 
 Results for odd rows: a null or empty text has no sequence; very long texts have as many sequences as they need; null keys are kept;
 repeated rows give sequences of their own; an empty table gives an empty result; other columns are dropped.
@@ -19,7 +19,6 @@ repeated rows give sequences of their own; an empty table gives an empty result;
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from scriptorium.llm.bpe import vocabulary
-from scriptorium.llm.common import ROW_GROUP, join_sized, new_dir, pieces, table, tune, written
+from scriptorium.llm.common import ROW_GROUP, dropped, join_sized, new_dir, pieces, table, tune, written
 
 LENGTH, SHARD_ROWS, ROUNDS, SEED = 512, 16_384, 6, 20_240_101
-MEMO = 100_000
 #: Characters that are encoded at once.
 PIECE_CHARS = 1_000_000
 
@@ -55,18 +53,6 @@ def feistel(index: np.ndarray, n: int, seed: int = SEED) -> np.ndarray:
     return out.astype(np.int64)
 
 
-class WordIds(dict):
-    """Ids of words, each encoded when first met."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word: str) -> list[int]:
-        ids = self[word] = self.encode(word)
-        return ids
-
-
 def sequences(docs: DataFrame, key: str = "doc_id", text_col: str = "text", length: int = LENGTH, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(key, seq_no, n_tokens, record): the texts' ids in records of one stride."""
     ranks, pattern = vocabulary(path, pattern)
@@ -75,17 +61,14 @@ def sequences(docs: DataFrame, key: str = "doc_id", text_col: str = "text", leng
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # the size of the vocabulary
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
         import tiktoken
 
-        own = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=shared.value, special_tokens={})
-        find, words = regex.compile(pattern).findall, WordIds(own.encode_ordinary)
+        own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=shared.value, special_tokens={})
         for batch in pieces(batches, 1, PIECE_CHARS):
             rows, numbers, counts, records = [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                ids = np.fromiter(chain.from_iterable(map(words.__getitem__, find(text or ""))), kind)
-                if len(words) > MEMO:
-                    words.clear()
+                found = own.encode_ordinary(text or "")
+                ids = np.fromiter(found, kind, len(found))
                 n = -(-len(ids) // length)
                 raw = np.concatenate([ids, np.full(n * length - len(ids), pad, kind)]).astype(kind).tobytes()
                 stride = length * ids.itemsize
@@ -117,9 +100,15 @@ def with_slots(table_of_sequences: DataFrame, seed: int = SEED) -> DataFrame:
 
 def write_shards(docs: DataFrame, path: str, shard_rows: int = SHARD_ROWS, seed: int = SEED, **options) -> StructType:
     """Writes the sequences in training order, one file a shard, rows in slot order; the shards' schema."""
-    slots = with_slots(written(sequences(docs, **options), "order-sequences"), seed)
+    rows = written(sequences(docs, **options), "order-sequences")
+    slots = with_slots(rows, seed)
     shards = slots.withColumn("shard", F.floor(F.col("slot") / shard_rows).cast("long"))
-    shards.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
+    # Ranges of whole shards: slots are dense, so the bounds need no sample.
+    last = rows.count() - 1
+    parts = min(max(1, last // shard_rows + 1), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    part = F.floor(F.col("shard") * parts / (max(0, last) // shard_rows + 1)).cast("int")
+    shards.repartitionById(parts, part).sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
+    dropped(rows)
     return shards.schema
 
 
