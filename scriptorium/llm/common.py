@@ -44,8 +44,10 @@ def tune(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which the driver and all executors share.
 
-    Only where the session has none (as in tests) a local one is used."""
+    Where the session has none, a folder of this machine serves a local master (as in tests); on a cluster this raises."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (top or f"file://{tempfile.gettempdir()}/checkpoints").rstrip("/")
 
 
