@@ -1,11 +1,12 @@
 """Sequential folds within an entity: greedy chunks, paragraph windows, first-fit batches, text splitting.
 
-They reset an accumulator, so window sums can't say them. Chunks and windows fold an ordered array in the JVM; an entity's items are
-its own bounded list."""
+They reset an accumulator, so window sums can't say them. Rows are dealt by entity and sorted; a task folds them as they come and holds only
+the accumulator (an open chunk's size, a paragraph, a number for each batch), whatever an entity's size."""
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,17 +17,26 @@ from pyspark.sql import functions as F
 
 def greedy_chunks(df: DataFrame, key: str, order: str, size: str, limit: float) -> DataFrame:
     """(key, order, size, chunk): a chunk is closed when it isn't empty and the next item doesn't fit."""
-    items = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("double").alias("s")))).alias("items"))
-    kind = dict(df.dtypes)[order]
-    empty = F.struct(F.lit(0).alias("chunk"), F.lit(0.0).alias("sum"), F.expr(f"cast(array() as array<struct<o:{kind},s:double,chunk:int>>)").alias("out"))
+    rows = df.select(key, order, F.col(size).cast("double").alias(size)).repartition(key).sortWithinPartitions(key, order, size)
+    kinds = dict(rows.dtypes)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, chunk, total = object(), 0, 0.0
+        for batch in batches:
+            out = []
+            for k, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if k != own:
+                    own, chunk, total = k, 0, 0.0
+                s = s or 0.0
+                full = total > 0 and total + s > limit
+                chunk, total = (chunk + 1, s) if full else (chunk, total + s)
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], names=[*batch.schema.names, "chunk"])
+
+    return rows.mapInArrow(emit, f"{key} {kinds[key]}, {order} {kinds[order]}, {size} double, chunk int")
 
-    def step(acc, x):
-        full = (acc["sum"] > 0) & (acc["sum"] + x["s"] > limit)
-        chunk = F.when(full, acc["chunk"] + 1).otherwise(acc["chunk"])
-        return F.struct(chunk.alias("chunk"), F.when(full, x["s"]).otherwise(acc["sum"] + x["s"]).alias("sum"), F.concat(acc["out"], F.array(F.struct(x["o"].alias("o"), x["s"].alias("s"), chunk.alias("chunk")))).alias("out"))
 
-    packed = items.select(key, F.explode(F.aggregate("items", empty, step, lambda acc: acc["out"])).alias("x"))
-    return packed.select(key, F.col("x.o").alias(order), F.col("x.s").alias(size), F.col("x.chunk").alias("chunk"))
+ENDS = re.compile(r"""[.!?][\])}'"]*$""")
 
 
 def paragraph_windows(df: DataFrame, key: str, start: str, text: str, target: int = 800, most: int = 1200, seconds: float = 75.0) -> DataFrame:
@@ -34,27 +44,48 @@ def paragraph_windows(df: DataFrame, key: str, start: str, text: str, target: in
 
     A paragraph is closed before a cue that would make it too long or last too long, and behind a cue that ends a sentence once it has
     the target length; the cue that opens a paragraph after an overflow isn't tested for that."""
-    cues = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(start).cast("double").alias("t"), F.col(text).alias("x")))).alias("cues"))
-    empty = F.expr("named_struct('t', cast(null as double), 'x', '', 'out', cast(array() as array<struct<t:double,x:string>>))")
-    ends = lambda x: (F.length(x) >= target) & x.rlike(r"""[.!?][\])}'"]*$""")
-    state = lambda t, x, out: F.struct(t.alias("t"), x.alias("x"), out.alias("out"))
-    none = F.lit(None).cast("double")
-
-    def step(acc, c):
-        done = lambda t, x: F.concat(acc["out"], F.array(F.struct(t.alias("t"), x.alias("x"))))
-        joined = F.concat(acc["x"], F.lit(" "), c["x"])
-        over = (F.length(joined) > most) | (c["t"] - acc["t"] > seconds)
-        return (
-            F.when(acc["t"].isNull() & ends(c["x"]), state(none, F.lit(""), done(c["t"], c["x"])))
-            .when(acc["t"].isNull(), state(c["t"], c["x"], acc["out"]))
-            .when(over, state(c["t"], c["x"], done(acc["t"], acc["x"])))
-            .when(ends(joined), state(none, F.lit(""), done(acc["t"], joined)))
-            .otherwise(state(acc["t"], joined, acc["out"]))
-        )
-
-    last = lambda acc: F.when(acc["t"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(acc["t"].alias("t"), acc["x"].alias("x")))))
-    folded = cues.select(key, F.posexplode(F.aggregate("cues", empty, step, last)).alias("paragraph", "p"))
-    return folded.select(key, "paragraph", F.col("p.t").alias("start"), F.col("p.x").alias("text"))
+    cues = df.select(key, F.col(start).cast("double").alias("start"), F.col(text).alias("text")).repartition(key).sortWithinPartitions(key, F.col("start").asc_nulls_last(), "text")
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, number, since, open_text, rows = object(), 0, None, None, []
+
+        def close() -> None:
+            nonlocal number, open_text
+            if open_text is not None:
+                rows.append((own, number, since, open_text))
+                number, open_text = number + 1, None
+
+        def batch_of() -> pa.RecordBatch:
+            columns = list(zip(*rows)) or [()] * 4
+            out = pa.RecordBatch.from_arrays([pa.array(columns[0], kind), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.string())], names=[key, "paragraph", "start", "text"])
+            rows.clear()
+            return out
+
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for k, t, x in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != own:
+                    close()
+                    own, number = k, 0
+                x = x or ""
+                if open_text is None:
+                    since, open_text = t, x
+                else:
+                    joined = f"{open_text} {x}"
+                    if len(joined) > most or t is not None and since is not None and t - since > seconds:
+                        close()
+                        since, open_text = t, x
+                        continue
+                    open_text = joined
+                if len(open_text) >= target and ENDS.search(open_text):
+                    close()
+            yield batch_of()
+        close()
+        if rows:
+            yield batch_of()
+
+    return cues.mapInArrow(emit, f"{key} {dict(df.dtypes)[key]}, paragraph int, start double, text string")
 
 
 def split_text(text: str, most: int) -> list[str]:

@@ -35,6 +35,27 @@ def falls_behind(df: DataFrame, by: list[str], order: list[Column], value: Colum
     return df.withColumn("before", F.coalesce(F.last(valid, ignorenulls=True).over(w), F.lit(start))).where(valid < F.col("before"))
 
 
-def repeats_of(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    """Second and later rows of a key."""
-    return df.withColumn("occurrence", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("occurrence > 1")
+def numbered(df: DataFrame, by: list[str], rank: Column, order: list[Column], parts: int = 64) -> DataFrame:
+    """Adds position: the number of each row within its group, in an order whose first column rises with the number rank.
+
+    Rows are cut into ranges of rank (at most parts bounds, from approximate percentiles), numbered within a group's range, and moved up by
+    the counts of the ranges before: a group of any size is split over tasks."""
+    shares = [i / parts for i in range(1, parts)]
+    bounds = df.select(rank.cast("double").alias("r")).agg(F.percentile_approx("r", shares).alias("b")).first()["b"] or []  # one row
+    cuts = F.array(*[F.lit(float(b)) for b in sorted(set(bounds))]) if bounds else F.array(F.lit(0.0))
+    rows = df.withColumn("_range", F.size(F.filter(cuts, lambda c: c < F.coalesce(rank.cast("double"), F.lit(float("-inf"))))))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*by, "_range").count().withColumn("_start", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    inside = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order)))
+    return inside.join(starts, [*by, "_range"]).withColumn("position", F.col("_start") + F.col("_n")).drop("_range", "_start", "_n")
+
+
+def repeats_of(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(text, key, occurrence) of second and later rows of a text, in order of the (numeric) key.
+
+    Only hashes are dealt; the texts of the few keys that repeat are joined to them at the end."""
+    hashed = df.select(key, F.sha2(text, 256).alias("_h"))
+    again = hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("_h")
+    ranked = numbered(hashed.join(again, "_h"), ["_h"], F.col(key), [F.col(key)]).where("position > 1")
+    found = ranked.select(key, F.col("position").cast("int").alias("occurrence"))
+    return found.join(df.select(key, text), key).select(text, key, "occurrence")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,14 +23,25 @@ def index_hits(postings: DataFrame, asked: DataFrame, key: str, query_key: str,
     return found.where(F.col("found") == F.col("n")).select(query_key, key)
 
 
+#: Queries that are broadcast at once.
+BLOCK = 2_000
+
+
 def substring_hits(docs: DataFrame, asked: DataFrame, key: str, query_key: str, haystack: Column) -> DataFrame:
     """(key, query): documents that contain every term of a query as a substring.
 
-    The queries are a small stated set: each document filters them as an array, so that no pair is made that isn't a hit."""
-    queries = asked.agg(F.collect_list(F.struct(query_key, "terms")).alias("_queries"))
-    rows = docs.select(key, haystack.alias("_hay")).join(F.broadcast(queries))
-    hits = F.filter("_queries", lambda q: F.forall(q["terms"], lambda t: F.contains(F.col("_hay"), t)))
-    return rows.select(key, F.explode(hits).alias("q")).select(key, F.col(f"q.{query_key}").alias(query_key))
+    The queries are a stated set: each document filters them as an array, in blocks of about BLOCK, one pass a block, so that no pair is made that
+    isn't a hit and the broadcast is bounded."""
+    blocks = max(1, -(-asked.count() // BLOCK))
+    out = None
+    for b in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b) if blocks > 1 else asked
+        queries = part.agg(F.collect_list(F.struct(query_key, "terms")).alias("_queries"))
+        rows = docs.select(key, haystack.alias("_hay")).join(F.broadcast(queries))
+        hits = F.filter("_queries", lambda q: F.forall(q["terms"], lambda t: F.contains(F.col("_hay"), t)))
+        found = rows.select(key, F.explode(hits).alias("q")).select(key, F.col(f"q.{query_key}").alias(query_key))
+        out = found if out is None else out.unionAll(found)
+    return out
 
 
 def unique_phrases(docs: DataFrame, text: str, n: int) -> DataFrame:
@@ -49,8 +60,13 @@ def first_anchors(docs: DataFrame, key: str, text: str, needle: str, most: int,
 
 
 def unique_titles(df: DataFrame, key: str, base: str, more: str) -> DataFrame:
-    """Titles that are unique: a second field is added on a collision, the key if they still collide."""
-    rows = df.withColumn("n1", F.count(F.lit(1)).over(Window.partitionBy(base)))
-    candidate = F.when(F.col("n1") == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit(" ("), F.col(more), F.lit(")")))
-    rows = rows.withColumn("candidate", candidate).withColumn("n2", F.count(F.lit(1)).over(Window.partitionBy("candidate")))
-    return rows.select(key, F.when(F.col("n1") == 1, F.col(base)).when(F.col("n2") == 1, F.col("candidate")).otherwise(F.concat("candidate", F.lit("["), F.col(key).cast("string"), F.lit("]"))).alias("title"))
+    """Titles that are unique: a second field is added on a collision, the key if they still collide.
+
+    Collisions are counted by aggregation and joined back, so that a common title is only a hot join key, which can be split."""
+    counted = lambda rows, c: rows.groupBy(c).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select(c, F.lit(True).alias(f"_{c}"))
+    rows = df.join(counted(df, base), base, "left")
+    candidate = F.when(F.col(f"_{base}").isNull(), F.col(base)).otherwise(F.concat(F.col(base), F.lit(" ("), F.col(more), F.lit(")")))
+    rows = rows.withColumn("candidate", candidate)
+    rows = rows.join(counted(rows, "candidate"), "candidate", "left")
+    title = F.when(F.col(f"_{base}").isNull() | F.col("_candidate").isNull(), F.col("candidate")).otherwise(F.concat("candidate", F.lit("["), F.col(key).cast("string"), F.lit("]")))
+    return rows.select(key, title.alias("title"))

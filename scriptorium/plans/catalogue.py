@@ -126,7 +126,7 @@ def monotonic_violations(spark, sf_dir):
 
 @query("SELECT text, doc_id, CAST(n AS INT) AS occurrence FROM (SELECT text, doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents) WHERE n > 1")
 def duplicate_texts(spark, sf_dir):
-    return related.repeats_of(table(spark, sf_dir, "documents"), ["text"], [F.col("doc_id")]).select("text", "doc_id", "occurrence")
+    return related.repeats_of(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query("SELECT doc_id, CASE WHEN text = '' THEN 'none' ELSE 'available' END AS body, upper(lang) || ' ' || source AS card FROM documents")
@@ -138,8 +138,9 @@ def card_projection(spark, sf_dir):
 @query("""
 SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY strftime(ts, '%Y-%m-%d') DESC, event_id) AS position FROM events""")
 def archive_index(spark, sf_dir):
-    order = Window.partitionBy("event_type").orderBy(F.col("day").desc(), "event_id")
-    return dated(spark, sf_dir).select("event_id", "event_type", F.row_number().over(order).cast("long").alias("position"))
+    rows, day = dated(spark, sf_dir), F.unix_date(F.to_date("ts"))
+    found = related.numbered(rows.select("event_id", "event_type", "day", "ts"), ["event_type"], -day, [F.col("day").desc(), F.col("event_id")])
+    return found.select("event_id", "event_type", F.col("position").cast("long").alias("position"))
 
 
 @query("SELECT user_id, string_agg(DISTINCT strftime(ts, '%Y-%m'), ',' ORDER BY strftime(ts, '%Y-%m')) AS snapshots FROM events GROUP BY ALL")

@@ -35,7 +35,7 @@ def document_issues(spark, sf_dir):
         validate.Rule("quality", "not reviewed", F.col("quality").isNull(), "warning"),
         validate.Rule("toxic", "flagged", F.col("toxic") == 1, "warning"),
     ]
-    return validate.issues(rows, "doc_id", rules).unionByName(validate.absent(labels.select("doc_id"), docs, "doc_id")).unionByName(validate.repeated(docs, "text", ["doc_id"]).withColumn("id", F.sha2("id", 256)))
+    return validate.issues(rows, "doc_id", rules).unionByName(validate.absent(labels.select("doc_id"), docs, "doc_id")).unionByName(validate.repeated(docs.select(F.sha2("text", 256).alias("text")), "text", []))
 
 
 ISSUES = r"""

@@ -120,13 +120,26 @@ def greedy_chunks(spark, sf_dir):
     return packing.greedy_chunks(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_quantity", 60)
 
 
-@query()
+@query("""
+WITH RECURSIVE c AS (SELECT user_id, epoch(ts) AS t, event_type || ' ' || value || CASE WHEN value > 50 THEN '.' ELSE '' END AS x FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, x) AS i FROM c),
+f(user_id, i, paragraph, start, text, over) AS (SELECT user_id, i, 0, t, x, length(x) >= 40 AND regexp_matches(x, '[.!?]$') FROM r WHERE i = 1
+  UNION ALL SELECT r.user_id, r.i, CASE WHEN f.over OR length(f.text || ' ' || r.x) > 80 OR r.t - f.start > 86400 THEN f.paragraph + 1 ELSE f.paragraph END, CASE WHEN f.over OR length(f.text || ' ' || r.x) > 80 OR r.t - f.start > 86400 THEN r.t ELSE f.start END,
+    CASE WHEN f.over OR length(f.text || ' ' || r.x) > 80 OR r.t - f.start > 86400 THEN r.x ELSE f.text || ' ' || r.x END,
+    CASE WHEN f.over THEN length(r.x) >= 40 AND regexp_matches(r.x, '[.!?]$') WHEN length(f.text || ' ' || r.x) > 80 OR r.t - f.start > 86400 THEN false ELSE length(f.text || ' ' || r.x) >= 40 AND regexp_matches(r.x, '[.!?]$') END
+  FROM f JOIN r ON r.user_id = f.user_id AND r.i = f.i + 1)
+SELECT user_id, paragraph, min(start) AS start, arg_max(text, i) AS text FROM f GROUP BY user_id, paragraph""")
 def caption_windows(spark, sf_dir):
     cues = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").cast("double").alias("start"), F.concat("event_type", F.lit(" "), F.col("value").cast("string"), F.when(F.col("value") > 50, ".").otherwise("")).alias("text"))
     return packing.paragraph_windows(cues, "user_id", "start", "text", 40, 80, 86_400.0)
 
 
-@query()
+@query("""
+WITH RECURSIVE r AS (SELECT o_custkey, o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS size, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+f(o_custkey, i, o_orderkey, size, used, batch) AS (SELECT o_custkey, i, o_orderkey, size, [size], 1 FROM r WHERE i = 1
+  UNION ALL SELECT s.o_custkey, s.i, s.o_orderkey, s.size, CASE WHEN s.spot IS NULL OR s.spot = 0 THEN list_append(s.used, s.size) ELSE list_transform(s.used, lambda x, k: CASE WHEN k = s.spot THEN x + s.size ELSE x END) END, CASE WHEN s.spot IS NULL OR s.spot = 0 THEN len(s.used) + 1 ELSE s.spot END
+  FROM (SELECT r.o_custkey, r.i, r.o_orderkey, r.size, f.used, list_position(list_transform(f.used, lambda x: x + r.size <= 300000), true) AS spot FROM f JOIN r ON r.o_custkey = f.o_custkey AND r.i = f.i + 1) s)
+SELECT o_custkey, o_orderkey, size, CAST(batch - 1 AS INT) AS batch FROM f""")
 def first_fit_batches(spark, sf_dir):
     items = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").cast("long").alias("size"))
     return packing.first_fit(items, "o_custkey", "o_orderkey", "size", 300_000)
