@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
 from scriptorium.functions import urls
+from scriptorium.operators.related import numbered
 
 # The labels of kinds, contents and states, and the limits of a video sitemap.
 TYPES = {"interview": "访谈", "keynote": "主题演讲", "speech": "公开演讲", "earnings": "财报会议", "space": "线上对谈"}
@@ -148,3 +149,14 @@ def json_ld(df: DataFrame, site: str) -> Column:
         F.transform(citations(df), lambda c: F.struct(F.lit("CreativeWork").alias("@type"), c["name"].alias("name"), c["url"].alias("url"))).alias("citation"),
     )
     return T.json_ld_safe(F.to_json(node))
+
+
+def listing_parts(df: DataFrame, by: str, key: str, line: Column, size: int) -> DataFrame:
+    """(by, part, lines, listing): the listing of each group in parts of at most size lines, in order of the (numeric) key.
+
+    Positions come by ranges of the key, so a group of any size is split over tasks and no part holds more than its lines."""
+    placed = numbered(df.select(by, key, line.alias("_line")), [by], F.col(key), [F.col(key)])
+    part = F.floor((F.col("position") - 1) / size).cast("long").alias("part")
+    grouped = placed.groupBy(by, part).agg(F.count(F.lit(1)).alias("lines"), F.array_sort(F.collect_list(F.struct("position", "_line"))).alias("_x"))
+    head = F.concat(F.lit("## "), F.col(by), F.lit(" · "), (F.col("part") + 1).cast("string"), F.lit("\n"))
+    return grouped.select(by, "part", "lines", F.concat(head, F.array_join(F.transform("_x", lambda r: r["_line"]), "\n")).alias("listing"))

@@ -42,8 +42,8 @@ def numbered(df: DataFrame, by: list[str], rank: Column, order: list[Column], pa
     the counts of the ranges before: a group of any size is split over tasks."""
     shares = [i / parts for i in range(1, parts)]
     bounds = df.select(rank.cast("double").alias("r")).agg(F.percentile_approx("r", shares).alias("b")).first()["b"] or []  # one row
-    cuts = F.array(*[F.lit(float(b)) for b in sorted(set(bounds))]) if bounds else F.array(F.lit(0.0))
-    rows = df.withColumn("_range", F.size(F.filter(cuts, lambda c: c < F.coalesce(rank.cast("double"), F.lit(float("-inf"))))))
+    at = F.coalesce(rank.cast("double"), F.lit(float("-inf")))
+    rows = df.withColumn("_range", sum(((at > float(b)).cast("int") for b in sorted(set(bounds))), F.lit(0)))
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy(*by, "_range").count().withColumn("_start", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     inside = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order)))

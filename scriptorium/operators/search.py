@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: w != "")
+#: What stands between words: all but a to z, or all but letters, marks and digits of any script.
+NOT_LATIN, NOT_WORD = "[^a-z]+", r"[^\p{L}\p{M}\p{N}]+"
+
+
+def words(text: Column, between: str = NOT_LATIN) -> Column:
+    return F.filter(F.split(F.lower(text), between), lambda w: w != "")
 
 
 def index(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -23,6 +27,28 @@ def index_hits(postings: DataFrame, asked: DataFrame, key: str, query_key: str,
     return found.where(F.col("found") == F.col("n")).select(query_key, key)
 
 
+def word_counts(docs: DataFrame, text: str) -> DataFrame:
+    """(token, documents): in how many documents each word of any language is; one shuffle, of partial counts."""
+    tokens = docs.select(F.explode(F.array_distinct(words(F.col(text), NOT_WORD))).alias("token"))
+    return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("documents"))
+
+
+def rarest_hits(docs: DataFrame, asked: DataFrame, key: str, query_key: str, text: str) -> DataFrame:
+    """(query, key): the documents, of any language, that hold all words of a query. Keys are unique; a query without words finds nothing.
+
+    A query meets only the documents that hold its rarest word, so a common word makes no rows; the others are then
+    verified in the document's word set."""
+    terms = asked.select(query_key, F.array_distinct(words(F.col(text), NOT_WORD)).alias("terms"))
+    each = terms.select(query_key, F.explode("terms").alias("token"))
+    held = docs.select(key, F.array_distinct(words(F.col(text), NOT_WORD)).alias("held"))
+    counts = held.select(F.explode("held").alias("token")).join(each.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    # A word that no document holds is the rarest, and finds nothing.
+    rarest = each.join(counts, "token", "left").groupBy(query_key).agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "token"))["token"].alias("token"))
+    found = held.select(key, F.explode("held").alias("token")).join(rarest, "token").select(key, query_key)
+    whole = found.join(terms, query_key).join(held, key)
+    return whole.where(F.size(F.array_except("terms", "held")) == 0).select(query_key, key)
+
+
 #: Queries that are broadcast at once.
 BLOCK = 2_000
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions import numbers
 from scriptorium.functions import text as T
 from scriptorium.functions import urls
-from scriptorium.operators import enrich, validate
+from scriptorium.operators import enrich, exports, validate
 from scriptorium.sources.tables import table
 from scriptorium.streaming import ingest
 
@@ -131,3 +131,12 @@ def text_listing(spark, sf_dir):
     line = F.concat(F.lit("- ["), F.col("doc_id").cast("string"), F.lit("](/documents/"), F.col("doc_id").cast("string"), F.lit(")"))
     grouped = table(spark, sf_dir, "documents").groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("doc_id", line.alias("l")))).alias("x"))
     return grouped.select("lang", F.concat(F.lit("## "), "lang", F.lit("\n"), F.array_join(F.transform("x", lambda r: r["l"]), "\n")).alias("listing"))
+
+
+@query("""
+SELECT lang, part, count(*) AS lines, '## ' || lang || ' · ' || (part + 1) || chr(10) || string_agg('- [' || doc_id || '](/documents/' || doc_id || ')', chr(10) ORDER BY doc_id) AS listing FROM (
+  SELECT lang, doc_id, (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) // 1000 AS part FROM (SELECT coalesce(lang, '') AS lang, doc_id FROM documents)) GROUP BY lang, part""")
+def text_listing_parts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("")).alias("lang"), "doc_id")
+    line = F.concat(F.lit("- ["), F.col("doc_id").cast("string"), F.lit("](/documents/"), F.col("doc_id").cast("string"), F.lit(")"))
+    return exports.listing_parts(docs, "lang", "doc_id", line, 1000)

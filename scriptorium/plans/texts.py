@@ -161,6 +161,22 @@ def search_index_hits(spark, sf_dir):
     return search.index_hits(search.index(docs, "doc_id", "text"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", "text")
 
 
+def token_list(text: str) -> str:
+    return rf"list_distinct(list_filter(regexp_split_to_array(lower({text}), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda w: w <> ''))"
+
+
+@query(f"SELECT token, count(*) AS documents FROM (SELECT unnest({token_list('text')}) AS token FROM documents) GROUP BY ALL")
+def word_index_counts(spark, sf_dir):
+    return search.word_counts(table(spark, sf_dir, "documents"), "text")
+
+
+@query(f"""
+SELECT item_id, doc_id FROM (SELECT item_id, unnest(q) AS token, len(q) AS n FROM (SELECT item_id, {token_list('text')} AS q FROM benchmark))
+JOIN (SELECT doc_id, unnest({token_list('text')}) AS token FROM documents) USING (token) GROUP BY item_id, doc_id, n HAVING count(*) = n""")
+def word_index_hits(spark, sf_dir):
+    return search.rarest_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", "text")
+
+
 @query(r"""
 SELECT phrase FROM (SELECT doc_id, unnest(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3])) AS phrase FROM (
   SELECT doc_id, regexp_split_to_array(trim(lower(text), E' \n'), '[ \n]+') AS w FROM documents)) GROUP BY phrase HAVING count(*) = 1""".replace("'[ \\n]+'", "E'[ \\n]+'"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import numbers, pages, urls
 from scriptorium.functions import text as T
-from scriptorium.operators import catalog, enrich, packing, snapshots, validate
+from scriptorium.operators import catalog, enrich, exports, packing, search, snapshots, validate
 from scriptorium.streaming import ingest
 
 
@@ -220,3 +220,22 @@ def test_first_fit_takes_a_large_key_in_one_pass(spark):
     assert {r.i: r.batch for r in df.collect()} == want
     # The large key's items are not handed to Python as one group.
     assert "FlatMapGroups" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_listing_parts(spark):
+    rows = [(g, k) for g, n in (("a", 7), ("b", 3), ("", 1)) for k in range(n)]
+    df = spark.createDataFrame(rows, "g string, k long").repartition(3)
+    found = {(r.g, r.part): (r.lines, r.listing) for r in exports.listing_parts(df, "g", "k", F.col("k").cast("string"), 3).collect()}
+    assert found == {
+        ("a", 0): (3, "## a · 1\n0\n1\n2"), ("a", 1): (3, "## a · 2\n3\n4\n5"), ("a", 2): (1, "## a · 3\n6"),
+        ("b", 0): (3, "## b · 1\n0\n1\n2"), ("", 0): (1, "##  · 1\n0"),
+    }
+    assert exports.listing_parts(df.limit(0), "g", "k", F.col("k").cast("string"), 3).count() == 0
+
+
+def test_words_of_any_language(spark):
+    docs = spark.createDataFrame([(1, "La señal llegó; la señal."), (2, "señal, la 芯片 42"), (3, None), (4, ""), (5, "the the the")], "d long, text string")
+    asked = spark.createDataFrame([(1, "La SEÑAL"), (2, "芯片 la"), (3, "absent la"), (4, " . "), (5, None), (6, "the")], "q long, text string")
+    assert {tuple(r) for r in search.rarest_hits(docs, asked, "d", "q", "text").collect()} == {(1, 1), (1, 2), (2, 2), (6, 5)}
+    assert {tuple(r) for r in search.word_counts(docs, "text").collect()} == {("la", 2), ("señal", 2), ("llegó", 1), ("芯片", 1), ("42", 1), ("the", 1)}
+    assert search.rarest_hits(docs.limit(0), asked, "d", "q", "text").count() == 0
