@@ -12,7 +12,7 @@ suffixes. Every level is a beta prior for the next one:
     suffix = (bad + k1 * global) / (n + k1)    domain = (bad + k2 * suffix) / (n + k2)    host ~ Beta(bad + k3 * domain, n - bad + k3 * (1 - domain))
 
 k is a level's prior strength, by the method of moments for beta-binomial counts: the spread of its rates around their priors beyond the binomial
-spread. A page is blocked if the host's bad rate is above BAD_RATE with probability 1 - RISK at least: the lower bound is ``mean - sd * sqrt((1 - RISK) /
+spread; but a prior counts for no more labelled pages than stand behind it. A page is blocked if the host's bad rate is above BAD_RATE with probability 1 - RISK at least: the lower bound is ``mean - sd * sqrt((1 - RISK) /
 RISK)`` (Cantelli's inequality, which holds for every beta posterior). Hosts without labels have their domain's posterior as prior, and so on up.
 
 Scale. Labels meet narrow (page, host) counts; all later tables have a row a host at most, and a host with a third of all pages is one row after
@@ -124,15 +124,17 @@ def reputation(pages: DataFrame, labels: DataFrame, key: str = "page_id", label_
     rate = (float(total["bad"] or 0) + 0.5) / (float(total["n"] or 0) + 1)
     hosts = pages.select("host").distinct().join(counts, "host", "left").na.fill(0, ["n", "bad"])
     tree = written(hosts.withColumn("suffix", suffix_of(F.col("host"))).withColumn("domain", domain_of(F.col("host"))), "host-tree")
-    prior = F.lit(rate)
+    # prior: the mean from the level above; weight: the labelled pages that stand behind it.
+    prior, weight = F.lit(rate), F.lit(float(total["n"] or 0) + 1)
     above = tree
     for level in ("suffix", "domain"):
         # A level's groups know the prior from the level above by their own rows.
-        groups = above.withColumn("prior", prior).groupBy(level).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.max("prior").alias("prior"))
-        k = strength(groups.where("n > 0"), F.col("prior"))
-        means = groups.select(level, ((F.col("bad") + k * F.col("prior")) / (F.col("n") + k)).alias(f"{level}_mean"))
-        above, prior = written(join_sized(above, means, [level]), f"host-{level}"), F.col(f"{level}_mean")
-    k = strength(above.where("n > 0"), prior)
+        groups = above.withColumns({"prior": prior, "weight": weight}).groupBy(level).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.max("prior").alias("prior"), F.max("weight").alias("weight"))
+        k = F.least(F.lit(strength(groups.where("n > 0"), F.col("prior"))), "weight")
+        means = groups.select(level, ((F.col("bad") + k * F.col("prior")) / (F.col("n") + k)).alias(f"{level}_mean"), (F.col("n") + k).alias(f"{level}_weight"))
+        above = written(join_sized(above, means, [level]), f"host-{level}")
+        prior, weight = F.col(f"{level}_mean"), F.col(f"{level}_weight")
+    k = F.least(F.lit(strength(above.where("n > 0"), prior)), weight)
     a, b = F.col("bad") + k * prior, F.col("n") - F.col("bad") + k * (1 - prior)
     mean, sd = a / (a + b), F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
     bound = F.greatest(F.lit(0.0), mean - sd * F.lit(((1 - RISK) / RISK) ** 0.5))
@@ -181,19 +183,19 @@ fits AS (SELECT a.host, a.path, r.h || r.p AS rule, r.v, row_number() OVER (PART
   FROM (SELECT DISTINCT host, path FROM adr) a JOIN rules r ON (a.host = r.h OR suffix(a.host, '.' || r.h)) AND prefix(a.path, r.p)),
 known AS (SELECT doc_id, CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN coalesce(quality, toxic) IS NOT NULL THEN 0 END AS bad FROM labels),
 counts AS (SELECT a.host, count(*) AS n, sum(k.bad) AS bad FROM adr a JOIN known k ON a.page_id = k.doc_id WHERE k.bad IS NOT NULL GROUP BY a.host),
-rate AS (SELECT (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1) AS m FROM counts),
+rate AS (SELECT (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1) AS m, coalesce(sum(n), 0) + 1.0 AS mw FROM counts),
 hosts AS (SELECT h.host, coalesce(c.n, 0) AS n, coalesce(c.bad, 0) AS bad, string_split(h.host, '.') AS parts FROM (SELECT DISTINCT host FROM adr) h LEFT JOIN counts c ON h.host = c.host),
 sized AS (SELECT *, CASE WHEN len(parts) < 2 OR regexp_matches(host, '^[0-9.:]+$') THEN len(parts) WHEN len(parts) > 2 AND length(parts[-1]) = 2 AND parts[-2] IN ({_SECOND}) THEN 2 ELSE 1 END AS own FROM hosts),
 named AS (SELECT host, n, bad, array_to_string(list_slice(parts, len(parts) - own + 1, len(parts)), '.') AS suf, array_to_string(list_slice(parts, greatest(1, len(parts) - own), len(parts)), '.') AS dom FROM sized),
-suf AS (SELECT suf, sum(n) AS n, sum(bad) AS bad, max(m) AS prior FROM named, rate GROUP BY suf),
+suf AS (SELECT suf, sum(n) AS n, sum(bad) AS bad, max(m) AS prior, max(mw) AS weight FROM named, rate GROUP BY suf),
 k1 AS ({_strength_sql("suf", "prior")}),
-sufm AS (SELECT suf, (bad + k * prior) / (n + k) AS sm FROM suf, k1),
-dom AS (SELECT dom, sum(n) AS n, sum(bad) AS bad, max(sm) AS prior FROM named JOIN sufm USING (suf) GROUP BY dom),
+sufm AS (SELECT suf, (bad + least(k, weight) * prior) / (n + least(k, weight)) AS sm, n + least(k, weight) AS sw FROM suf, k1),
+dom AS (SELECT dom, sum(n) AS n, sum(bad) AS bad, max(sm) AS prior, max(sw) AS weight FROM named JOIN sufm USING (suf) GROUP BY dom),
 k2 AS ({_strength_sql("dom", "prior")}),
-domm AS (SELECT dom, (bad + k * prior) / (n + k) AS dm FROM dom, k2),
-full_hosts AS (SELECT host, n, bad, dm AS prior FROM named JOIN domm USING (dom)),
+domm AS (SELECT dom, (bad + least(k, weight) * prior) / (n + least(k, weight)) AS dm, n + least(k, weight) AS dw FROM dom, k2),
+full_hosts AS (SELECT host, n, bad, dm AS prior, dw AS weight FROM named JOIN domm USING (dom)),
 k3 AS ({_strength_sql("full_hosts", "prior")}),
-ab AS (SELECT host, n, bad, bad + k * prior AS a, n - bad + k * (1 - prior) AS b FROM full_hosts, k3),
+ab AS (SELECT host, n, bad, bad + least(k, weight) * prior AS a, n - bad + least(k, weight) * (1 - prior) AS b FROM full_hosts, k3),
 rep AS (SELECT host, n, bad, a / (a + b) AS mean, greatest(0.0, a / (a + b) - sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) * sqrt({1 - RISK} / {RISK})) AS bound FROM ab)
 SELECT a.page_id, a.host, a.path, f.rule, coalesce(f.v, CASE WHEN r.bound > {BAD_RATE} THEN 'block' ELSE 'allow' END) AS verdict,
   CAST(r.n AS BIGINT) AS n_labelled, CAST(r.bad AS BIGINT) AS n_bad, round(r.mean, 6) AS bad_rate, round(r.bound, 6) AS bound
