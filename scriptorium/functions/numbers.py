@@ -1,35 +1,53 @@
 """Numeric integrity of a translation: the numbers an English and a Chinese text name, as multisets, and how they compare.
 
-Tokens are ``number:<decimal>`` and ``quarter:<1-4>``. Every rule reads one kind of expression, emits its tokens and blanks the text it read, so
-that later rules don't see it; the rules' order is part of their meaning. Decimals are exact (no floats)."""
+Tokens are ``number:<decimal>``, ``quarter:<1-4>`` and ``identifier:<name>``. The tables of :mod:`numerals` say in which order expressions are read. Each
+line passes over the text once, from left to right; what it reads is taken out, so that later lines don't read it again. So the work grows with the text's
+length. Decimals are exact (no floats)."""
 
 from __future__ import annotations
 
-import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from decimal import Decimal
+from functools import cache
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-# Names of months, ordinals, number words and scales in both languages.
-MONTHS = {m: i + 1 for i, m in enumerate("january february march april may june july august september october november december".split())}
-ORDINALS = {"first": 1, "second": 2, "third": 3, "fourth": 4}
-WORDS = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
-TENS = {w: 10 * (i + 2) for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split())}
-SCALES = {"hundred": 2, "thousand": 3, "million": 6, "billion": 9, "trillion": 12, "k": 3, "m": 6, "mn": 6, "bn": 9, "b": 9, "tn": 12}
-HAN_DIGITS = {c: i for i, c in enumerate("零一二三四五六七八九")} | {"〇": 0, "两": 2, "俩": 2}
-HAN_UNITS = {"十": 10, "百": 100, "千": 1000}
-HAN_SCALES = {"万亿": 12, "百万": 6, "千万": 7, "亿": 8, "万": 4, "千": 3, "百": 2}
+from scriptorium.functions import numerals as t
 
-NUMBER = r"(?<![A-Za-z0-9_.])[-+−]?\d+(?:,\d{3})*(?:\.\d+)?"
-SPELLED = "|".join([*TENS, *sorted(WORDS, key=len, reverse=True)])
-SCALE = "hundred|thousand|million|billion|trillion"
-HAN_NUMBER = "[零〇一二两三四五六七八九十百千]+(?:点[零〇一二三四五六七八九]+)?"
-HAN_SCALE = "万亿|百万|千万|亿|万"
+UNITS = t.WORDS[1:11]
+WORD_VALUE = {w: i for i, w in enumerate(t.WORDS)} | {w: 10 * (i + 2) for i, w in enumerate(t.TENS)}
+either = "|".join
+#: A sign counts where no digit, per cent, dash or name stands before it: else it is a range or part of a name.
+SIGN = rf"(?:(?<![A-Za-z{t.ELEMENTS}])(?<![\d%–—-]\s*)[-+])?"
+DIGITS = rf"{SIGN}\d+(?:,\d{{3}})*(?:\.\d+)?"
+SCALE, HAN_SCALE = either(t.SCALES), either(sorted(t.HAN_SCALES, key=len, reverse=True))
+SMALL = either(sorted([*WORD_VALUE], key=len, reverse=True))
+#: Cardinals of two words and more, or above ten, with scales: "twenty six", "one hundred and five", "five million".
+CARDINAL = rf"(?:(?:{either(UNITS)}|a) hundred(?: (?:and )?(?:{SMALL})(?:[- ](?:{either(UNITS[:9])}))?)?|(?:{either(t.TENS)})[- ](?:{either(UNITS[:9])})|(?:{either([*t.TENS, *t.WORDS[11:]])}))(?: (?:{SCALE}))?|(?:{either(UNITS)}) (?:{SCALE})".replace(" ", r"\s+")
+HAN_ONES = "[一二两三四五六七八九]"
+HAN_NUMERAL = rf"(?<![零〇一二两三四五六七八九十百千万亿几数多第])(?:{HAN_ONES}?十{HAN_ONES}|{HAN_ONES}[十百千](?:[零〇一二两三四五六七八九十百千])*)(?:万亿|[万亿])?|(?<![零〇一二两三四五六七八九十百千万亿几数多第])(?!一万个?一){HAN_ONES}(?:百万|千万|万亿|[万亿])"
+VALUES = {
+    "w": either(UNITS),
+    "o": either(t.ORDINALS),
+    "q": either([*UNITS[:4], "[1-4]"]),
+    "f": either([*t.ORDINALS[:4], "1st", "2nd", "3rd", "4th"]),
+    "y": either(t.DECADES),
+    "r": either(sorted(t.ROMANS, key=len, reverse=True)),
+    "p": either([*t.PARTS, "fourth"]),
+    "d": DIGITS,
+    "c": CARDINAL,
+    "s": SCALE,
+    "l": either(sorted(t.LETTER_SCALES, key=len, reverse=True)),
+    "h": r"[一二两三四五六七八九十]+|\d+",
+    "k": "[一二两三四五六七八九十]",
+    "z": "万亿|千亿|百亿|十亿|亿|千万|百万|十万|万|千|百|十",
+    "u": HAN_NUMERAL,
+}
 
 
 def plain(value: Decimal) -> str:
@@ -37,95 +55,256 @@ def plain(value: Decimal) -> str:
     return "0" if text in ("-0", "") else text
 
 
-def spelled(text: str) -> Decimal:
-    total = Decimal(0)
-    for word in re.split(r"[\s-]+", text.lower()):
-        total += TENS.get(word, WORDS.get(word, 0))
-    return total
+def number(value: Decimal | int | str, power: int = 0) -> str:
+    value = Decimal(value.replace(",", "").lstrip("+")) if isinstance(value, str) else Decimal(value)
+    return f"number:{plain(value.scaleb(power) if value else value)}"
+
+
+def cardinal(words: str) -> Decimal:
+    total = part = Decimal(0)
+    for word in regex.split(r"[\s-]+", words.lower()):
+        if word == "hundred":
+            part *= 100
+        elif word in t.SCALES:
+            total, part = total + part.scaleb(t.SCALES[word]), Decimal(0)
+        elif word != "and":
+            part += 1 if word == "a" else WORD_VALUE[word]
+    return total + part
 
 
 def han(text: str) -> Decimal:
-    whole, _, part = text.partition("点")
+    """A Chinese numeral, or digits."""
+    if text.isdigit() and text.isascii():
+        return Decimal(text)
+    power = next((p for s, p in (("万亿", 12), ("亿", 8), ("万", 4)) if text.endswith(s)), 0)
+    text = text.removesuffix("万亿").removesuffix("亿").removesuffix("万") if power else text
     total, digit = 0, None
-    if not set(whole) & set(HAN_UNITS):
-        total = int("".join(str(HAN_DIGITS[c]) for c in whole) or 0)
-    else:
-        for c in whole:
-            if c in HAN_UNITS:
-                total += (1 if digit is None else digit) * HAN_UNITS[c]
-                digit = 0
-            else:
-                digit = HAN_DIGITS[c]
-        total += digit or 0
-    return Decimal(f"{total}.{''.join(str(HAN_DIGITS[c]) for c in part) or 0}")
-
-
-def scaled(text: str, power: int) -> str:
-    return plain(Decimal(text.replace(",", "").replace("−", "-").lstrip("+")).scaleb(power))
-
-
-def number(text: str, power: int = 0) -> str:
-    return f"number:{scaled(text, power)}"
-
-
-#: (pattern, tokens of a match) in reading order.
-RULES: list[tuple[re.Pattern, object]] = [
-    (re.compile(r"(?<![A-Za-z0-9])Q([1-4])(?![A-Za-z0-9])|(?<![A-Za-z0-9])([1-4])Q(?![A-Za-z0-9])", re.I), lambda m: [f"quarter:{m[1] or m[2]}"]),
-    (re.compile(r"\b(first|second|third|fourth)[\s-]+quarter\b", re.I), lambda m: [f"quarter:{ORDINALS[m[1].lower()]}"]),
-    (re.compile("第?([一二三四1-4])季度?"), lambda m: [f"quarter:{HAN_DIGITS.get(m[1], m[1])}"]),
-    (re.compile(rf"\b({'|'.join(m.title() for m in MONTHS)})\b(?=\s+\d|,)"), lambda m: [f"number:{MONTHS[m[1].lower()]}"]),
-    (re.compile(rf"百分之({HAN_NUMBER}|\d+(?:\.\d+)?)"), lambda m: [number(m[1]) if m[1][0].isdigit() else f"number:{plain(han(m[1]))}"]),
-    (re.compile(rf"({HAN_NUMBER}|\d+)分之({HAN_NUMBER}|\d+)"), lambda m: [f"number:{plain(han(x)) if not x[0].isdigit() else x}" for x in (m[2], m[1])]),
-    (re.compile(rf"({NUMBER})\s*({SCALE}|bn|tn|mn)\b", re.I), lambda m: [number(m[1], SCALES[m[2].lower()])]),
-    (re.compile(rf"({NUMBER})([kKMB])(?![A-Za-z0-9])"), lambda m: [number(m[1], SCALES[m[2].lower()])]),
-    (re.compile(rf"({NUMBER})\s*({HAN_SCALE})"), lambda m: [number(m[1], HAN_SCALES[m[2]])]),
-    (re.compile(rf"({HAN_NUMBER})({HAN_SCALE})({HAN_NUMBER})?"), lambda m: [f"number:{plain(han(m[1]).scaleb(HAN_SCALES[m[2]]) + (han(m[3]) if m[3] else 0))}"]),
-    (re.compile(rf"\b((?:{SPELLED})(?:[\s-](?:{SPELLED}))?)\s+({SCALE})\b", re.I), lambda m: [f"number:{plain(spelled(m[1]).scaleb(SCALES[m[2].lower()]))}"]),
-    (re.compile(rf"\b((?:{'|'.join(TENS)})-(?:{SPELLED})|(?:{SPELLED}))\b", re.I), lambda m: [f"number:{plain(spelled(m[1]))}"]),
-    (re.compile(r"\b(half|半)\b|半"), lambda m: []),
-    (re.compile(rf"(?<!第)({HAN_NUMBER})(?=[个年月日天名位家种次倍%项条件岁小分秒])"), lambda m: [f"number:{plain(han(m[1]))}"]),
-    (re.compile(rf"第({HAN_NUMBER})"), lambda m: [f"number:{plain(han(m[1]))}"]),
-    (re.compile(NUMBER), lambda m: [number(m[0])]),
-]
-#: Expressions whose reading is open: a difference is then a warning, not an error.
-OPEN = re.compile(r"\b(?:dozens?|couple|several|tens of|hundreds of|thousands of|millions of|billions of|a few|half|quarter of|double[ds]?|triple[ds]?|twice|percentage points?)\b|[数几多]十|[数几多][百千万亿]|翻[一两]?番|翻倍|加倍|半", re.I)
+    for c in text:
+        if c in t.HAN_UNITS:
+            total += (1 if digit is None else digit) * 10 ** t.HAN_UNITS[c]
+            digit = 0
+        else:
+            digit = t.HAN_DIGITS[c]
+    return Decimal(total + (digit or 0)).scaleb(power)
+
+
+def value_of(kind: str, text: str) -> Decimal:
+    low = text.lower()
+    if kind in "wc":
+        return cardinal(text)
+    if kind == "o":
+        return Decimal(t.ORDINALS.index(low) + 1)
+    if kind in "qf":
+        return Decimal(low[0] if low[0].isdigit() else t.ORDINALS.index(low) + 1 if low in t.ORDINALS else WORD_VALUE[low])
+    if kind == "y":
+        return Decimal(10 * (t.DECADES.index(low) + 2))
+    if kind == "r":
+        return Decimal(t.ROMANS[text.upper()])
+    if kind == "p":
+        return Decimal(4 if low in ("quarter", "fourth") else {"half": 2}.get(low) or t.ORDINALS.index(low) + 1)
+    if kind == "z":
+        return Decimal(10) ** t.HAN_SCALES.get(text, t.HAN_UNITS.get(text, 0))
+    return han(text) if kind in "hku" or not regex.match(r"[-+\d.]", text) else Decimal(text.replace(",", "").lstrip("+"))
+
+
+def compiled(template: str, english: bool, flags: int = regex.I) -> tuple[regex.Pattern, list[str]]:
+    """The pattern of a template, and the kinds of its groups ('' for plain ones)."""
+    template = template.replace("&amp;", "\0")
+    read, _, ahead = template.partition("&")
+    kinds = [m[1] or "" for m in regex.finditer(r"<(\w)>|\((?!\?)", read) if not read[: m.start()].endswith("\\")]
+    out = read + (f"(?={ahead}{r'(?!\w)' if english else ''})" if ahead else r"(?!\w)" if english else "")
+    out = regex.sub(r"<(\w)>", lambda m: f"({VALUES[m[1]]})", out.replace("~", r"\s*").replace(" ", r"\s+").replace("[-\\s+]", r"[-\s]"))
+    out = f"(?<![\\w.])(?:{out})" if english and not read.startswith(("[", "\\d", "(?:\\d", "(\\d", "<d>")) else out
+    return regex.compile(out.replace("\0", "&"), flags), kinds
+
+
+def lines(table: str) -> list[list[str]]:
+    return [[x.strip() for x in line.split(" | ", 1)] for line in table.strip().splitlines()]
+
+
+def reader(what: str, kinds: list[str]) -> Callable[[regex.Match], list[str]]:
+    """What a match of a line gives."""
+    name, _, given = what.partition("=")
+
+    def read(m: regex.Match) -> list[str]:
+        found = [(kind, text) for kind, text in zip(kinds, m.groups()) if text is not None]
+        power = sum(t.SCALES[x.lower()] if k == "s" else t.LETTER_SCALES[x.lower()] for k, x in found if k in ("s", "l"))
+        values = [value_of(k or "d", x) for k, x in found if k not in ("s", "l")]
+        if name == "id":
+            return [f"identifier:{given}"]
+        if given:
+            return [number(v, power) for v in given.split(",")]
+        if name == "q":
+            return [f"quarter:{plain(v)}" for v in values]
+        if name == "n.":
+            return [number(f"{plain(values[0])}.{plain(values[1])}", power)]
+        if name == "n*tens":
+            return [number(10, power)]
+        if name == "over":
+            values.reverse()
+        if name == "twice":
+            values *= 2
+        step = name.partition("*")[2]
+        return [number(v + (name == "n+1"), power + int(step or 0)) for v in values]
+
+    return read
+
+
+def month(m: regex.Match, text: str) -> int | None:
+    """The number of a month's name where a date is meant: May and March are verbs and names too, and short names need a day or year beside them."""
+    name, before, after = m[1].lower(), text[max(0, m.start() - 28) : m.start()], text[m.end() : m.end() + 28]
+    leads = regex.search(rf"\b(?:{DATE_LEADS})\s+$", before, regex.I)
+    if name == "may":
+        modal = m[1] == "may" and (regex.search(r"\b(?:this|it|that|we|you|they|i|he|she|who|which)\s+$", before, regex.I) and not regex.match(r"\s*[,./\d-]", after) or regex.match(r"\s+\d", after) and not leads)
+        if modal or regex.match(r"\s+(?:Musk|be|have|not)\b", after, regex.I):
+            return None
+    if m[1] == "march" and regex.search(r"\bto\s+$", before, regex.I):
+        return None
+    beside = regex.search(r"\d{1,2}(?:st|nd|rd|th)?(?:\s+of)?\s*$", before, regex.I) or regex.match(r"\s*(?:of\s+)?\d{1,4}(?:st|nd|rd|th)?\b", after, regex.I)
+    full = name in t.MONTHS
+    if beside or full and (leads or regex.match(r"\s*(?:last|next|this)\b", after, regex.I)):
+        return t.SHORT_MONTHS.index(name[:3]) + 1
+    return None
+
+
+# Words before a date.
+DATE_LEADS = "in|on|since|by|until|through|during|from|to|last|next|this|early|late|mid|of|after|before"
+MONTH = regex.compile(rf"\b({either([*t.MONTHS, 'sept', *t.SHORT_MONTHS])})\b\.?", regex.I)
+THOUSANDS_3 = regex.compile(r"(?<![\d,])\b(\d{1,3})(?:\s*(?:or|and|或|和|、)\s*|,\s+)(\d{1,3})(?:\s*(?:or|and|或|和|、)\s*|,\s+)(\d{1,3}),000\b", regex.I)
+THOUSANDS_2 = regex.compile(r"(?<![\d,])\b(\d{1,3})\s*(?:(?:or|to|and|或|至|到|和)\s*|,\s+)(\d{1,3}),000\b(?!\s*(?:%|percent\b|美元|欧元|英镑|日元|元))", regex.I)
+LABEL = regex.compile(r"\b([A-Za-z]+)(\d+)(?![A-Za-z0-9])")
+SPLIT_COMMA = regex.compile(r"\b(\d{1,3}),\s+(\d{3})\b")
+FINAL = regex.compile(rf"(?:{SIGN}\d+(?:,\d{{3}})*(?:\.\d+)?|{SIGN}\.\d+)\s*({SCALE}|(?!千[{t.PREFIXED}])(?:{HAN_SCALE}))?", regex.I)
+
+
+@cache
+def rules() -> tuple[list, list]:
+    """The compiled lines: wordings as (pattern, text), readings as (pattern, reader, family)."""
+    wordings = [(compiled(x, english)[0], " " if what == "-" else what[1:].strip() + " " * what.startswith(("> 同", "> \\1个"))) for table, english in ((t.WORDINGS, True), (t.HAN_WORDINGS, False)) for what, x in lines(table)]
+    readings = []
+    for table, english in ((t.READINGS, True), (t.HAN_READINGS, False)):
+        for what, template in lines(table):
+            pattern, kinds = compiled(template, english)
+            readings.append((pattern, reader(what, kinds)))
+    return wordings, readings
+
+
+@cache
+def open_readings() -> list[regex.Pattern]:
+    return [compiled(x, True)[0] for x in t.OPEN.strip().splitlines()] + [regex.compile(r"[’']\d{2}\b")]
+
+
+@cache
+def evidence(table: str) -> list[tuple[int, regex.Pattern]]:
+    """Patterns with the times that each match counts."""
+    out = []
+    for line in table.strip().splitlines():
+        times = 2 if line.startswith("2x ") else 1
+        out.append((times, regex.compile(rf"\b(?:{line.removeprefix('2x ').replace(' ', r'\s+')})\b", regex.I)))
+    return out
+
+
+LEFT_OVER = regex.compile(rf"\b(?:{either(sorted({*t.LEFT_OVER, *t.MONTHS}, key=len, reverse=True))})\b", regex.I)
+
+
+def analysed(text: str | None) -> tuple[list[str], str]:
+    """(sorted tokens, rest of the text that nothing has read)."""
+    rest, found = text or "", []
+    if not regex.search(r"[\d零〇一二两三四五六七八九十百千万亿半双倍翻数A-Za-z]", rest):
+        return [], rest
+
+    def over(pattern: regex.Pattern, read: Callable[[regex.Match], list[str] | None], keep: Callable[[regex.Match], str] = lambda m: " ") -> None:
+        nonlocal rest
+
+        def put(m: regex.Match) -> str:
+            values = read(m)
+            if values is None:
+                return m[0]
+            found.extend(values)
+            return keep(m)
+
+        rest = pattern.sub(put, rest)
+
+    whole = rest
+    if SPLIT_COMMA.search(rest):
+        rest = SPLIT_COMMA.sub(lambda m: joined if (joined := f"{m[1]},{m[2]}") in whole else m[0], rest)
+    wordings, readings = rules()
+    for pattern, text_of in wordings:
+        rest = pattern.sub(text_of, rest)
+    months = rest
+    over(MONTH, lambda m: [f"number:{n}"] if (n := month(m, months)) else None)
+    over(THOUSANDS_3, lambda m: [number(m[1]), number(m[2]), number(m[3], 3)])
+    over(THOUSANDS_2, lambda m: [number(m[1], 3), number(m[2], 3)])
+    for pattern, read in readings:
+        over(pattern, read)
+    over(LABEL, lambda m: [f"identifier:co{int(m[2])}" if m[1].lower() == "co" else number(m[2])], lambda m: f"{m[1]} ")
+    scale = lambda s: t.SCALES.get(s.lower(), t.HAN_SCALES.get(s, 0)) if s else 0
+    over(FINAL, lambda m: [number(regex.match(r"[-+\d.,]+", m[0])[0].rstrip(","), scale(m[1]))])
+    return sorted(found), rest
 
 
 def tokens(text: str | None) -> list[str]:
     """The sorted multiset of a text's numeric tokens."""
-    rest, found = text or "", []
-    for pattern, emit in RULES:
-        while m := pattern.search(rest):
-            found += emit(m)
-            rest = rest[: m.start()] + "\0" * (m.end() - m.start()) + rest[m.end() :]
-    return sorted(found)
+    return analysed(text)[0]
+
+
+def ambiguity(text: str, rest: str) -> str:
+    """``all`` if an expression's reading is open, ``extras`` if words of number are left unread, else ``none``."""
+    if any(p.search(text) for p in open_readings()):
+        return "all"
+    return "extras" if LEFT_OVER.search(rest) else "none"
+
+
+# Wordings of a request for detail, and of clicks that are meant.
+ELABORATE = regex.compile("(?:详细|具体|展开|深入|仔细)地?(?:说|讲|谈|聊|解释|探讨|讨论|分析)")
+CLICKS = regex.compile(r"双击|双点击|[两二2]\s*次\s*点击|点击\s*[两二2]\s*次")
+CLICK_ON_IT = regex.compile(r"\bdouble[-\s]+click\s+on\s+(?:it|this|that)\b(?=\s*(?:[.!?]|$))", regex.I)
+OR_MORE = regex.compile(rf"\bprobably\s+({DIGITS})\s+or\s+more\b", regex.I)
+
+
+def kept(source: str, a: Counter, b: Counter) -> tuple[bool, bool, Counter]:
+    """(whether b holds all of a, whether a scale left out in "probably N or more" was needed for it, what b adds)."""
+    lost, added = a - b, b - a
+    guess = OR_MORE.search(source)
+    if guess and sum(lost.values()) == 1 and number(guess[1]) in lost:
+        for power in (3, 6, 9, 12):
+            if added[scaled := number(guess[1], power)]:
+                return True, True, added - Counter([scaled])
+    return not lost, False, added
 
 
 def compare(source: str | None, target: str | None) -> tuple[str, list[str], list[str]]:
     """(level, source tokens, target tokens); level: ok, warning or error.
 
-    Equal multisets are ok. Different quarters are an error. If the target has all of the source and only adds 0, 1 or 2, which
-    Chinese writes out where English implies them, it is a warning, and so is any difference beside an expression with an open reading."""
-    a, b = tokens(source), tokens(target)
+    Equal multisets are ok; other quarters are an error. A warning is due if the target holds all of the source and needs a left-out scale for it or adds only as
+    many 0, 1 and 2 as the source's wording implies; if the source has an open reading; and if it holds all of the source, which has words of number left
+    unread. Everything else is an error."""
+    source, target = source or "", target or ""
+    if ELABORATE.search(target) and not CLICKS.search(target):
+        source = CLICK_ON_IT.sub("elaborate", source)
+    (a, rest), (b, _) = analysed(source), analysed(target)
     if a == b:
         return "ok", a, b
-    quarters = lambda x: [t for t in x if t.startswith("quarter:")]
+    quarters = lambda x: [v for v in x if v.startswith("quarter:")]
     if quarters(a) != quarters(b):
         return "error", a, b
-    lost, added = Counter(a) - Counter(b), Counter(b) - Counter(a)
-    if not lost and set(added) <= {"number:0", "number:1", "number:2"} or OPEN.search(f"{source} {target}"):
-        return "warning", a, b
-    return "error", a, b
+    holds, by_scale, added = kept(source, Counter(a), Counter(b))
+    implied = {"number:0": t.ZERO, "number:1": t.ONE, "number:2": t.TWO}
+    if holds and set(added) <= set(implied) and (by_scale or added):
+        if all(n <= sum(times * len(p.findall(source)) for times, p in evidence(implied[v])) for v, n in added.items()):
+            return "warning", a, b
+    found = ambiguity(source, rest)
+    return ("warning" if found == "all" or found == "extras" and holds else "error"), a, b
 
 
-VALUES = ArrayType(StringType())
-COMPARISON = StructType([StructField("level", StringType()), StructField("source_values", VALUES), StructField("target_values", VALUES)])
+VALUES_TYPE = ArrayType(StringType())
+COMPARISON = StructType([StructField("level", StringType()), StructField("source_values", VALUES_TYPE), StructField("target_values", VALUES_TYPE)])
 
 
 @F.pandas_udf(COMPARISON)
 def integrity(source: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for s, t in source:
-        yield pd.DataFrame([compare(x, y) for x, y in zip(s, t)], columns=["level", "source_values", "target_values"])
+    for s, z in source:
+        yield pd.DataFrame([compare(x, y) for x, y in zip(s, z)], columns=["level", "source_values", "target_values"])
 
 
 def scan(text: Column) -> Column:

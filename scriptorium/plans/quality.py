@@ -86,6 +86,39 @@ def numeric_integrity(spark, sf_dir):
     return docs.select("doc_id", numbers.integrity(F.col("text"), F.upper("text")).alias("r")).select("doc_id", "r.level", F.size("r.source_values").alias("n"))
 
 
+#: Pairs made of an order's numbers, by family: source, translation, and what their comparison has to be. In the templates k is the order's
+#: key, q a quarter, p a price in whole units, m and d month and day, y the year.
+PAIRS = [
+    ("'Q' || q || ' ' || y || ' revenue was ' || p || ' million'", "y || '年第' || substr('一二三四', q, 1) || '季度收入' || p || '00万'", "ok"),
+    ("'In the ' || element_at(ords, q) || ' quarter we sold ' || p", "'第' || (q % 4 + 1) || '季度我们卖出' || p", "error"),
+    ("'On ' || element_at(mons, m) || ' ' || d || ', ' || y", "y || '年' || m || '月' || d || '日'", "ok"),
+    ("'On ' || element_at(mons, m) || ' ' || d || ', ' || y", "y || '年' || (m % 12 + 1) || '月' || d || '日'", "error"),
+    ("p || '-' || (p + 7) || '% of the cars'", "'汽车的' || p || '%至' || (p + 7) || '%'", "ok"),
+    ("'The change was -' || p", "'变化是' || p", "error"),
+    ("'Output ' || element_at(array('doubled', 'tripled', 'quadrupled'), 1 + q % 3) || ' to ' || p", "'产量增长' || (1 + q % 3) || '倍，达到' || p", "ok"),
+    ("'It ran ' || p || ' km between flights'", "'它在两次飞行之间跑了' || p || '公里'", "warning"),
+    ("'They cost $' || q || '-' || (q + 5) || ' billion'", "'耗资' || q || '0亿至' || (q + 5) || '0亿美元'", "warning"),
+    ("'We have a gigawatt and ' || p || ' cells'", "'我们有1吉瓦和' || p || '个电芯'", "warning"),
+    ("'We have power and ' || p || ' cells'", "'我们有1吉瓦和' || p || '个电芯'", "error"),
+    ("'Tens of thousands paid ' || p || 'k'", "'数万人付了' || p || '000'", "ok"),
+    ("'probably ' || p || ' or more'", "'可能有' || p || '000以上'", "warning"),
+    ("'about ' || element_at(array('twenty-three', 'one hundred and five', 'forty'), 1 + q % 3) || ' of ' || p", "p || '中约' || element_at(array('23', '105', '40'), 1 + q % 3)", "ok"),
+    ("'CO2 fell by ' || p || '.5%'", "'二氧化碳下降百分之' || p", "error"),
+    ("'no numbers here'", "'这里没有'", "ok"),
+]
+_ORDS, _MONS = "array('first', 'second', 'third', 'fourth')", "array('January', 'February', 'March', 'April', 'May', 'June', 'July', 'August', 'September', 'October', 'November', 'December')"
+
+
+@query(f"SELECT o_orderkey, CAST(o_orderkey % {len(PAIRS)} AS INTEGER) AS family, CASE o_orderkey % {len(PAIRS)} " + " ".join(f"WHEN {i} THEN '{level}'" for i, (_, _, level) in enumerate(PAIRS)) + " END AS level FROM orders")
+def numeric_pairs(spark, sf_dir):
+    """Translations that keep or change an order's numbers, one family of expressions each, and how they compare."""
+    o = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", f"cast(o_orderkey % {len(PAIRS)} as int) as family", f"{_ORDS} as ords", f"{_MONS} as mons", "quarter(o_orderdate) as q", "month(o_orderdate) as m", "day(o_orderdate) as d", "year(o_orderdate) as y", "cast(floor(o_totalprice) as bigint) % 90000 + 11 as p",
+    )
+    pick = lambda i: F.expr("CASE family " + " ".join(f"WHEN {n} THEN {x[i]}" for n, x in enumerate(PAIRS)) + " END")
+    return o.select("o_orderkey", "family", numbers.integrity(pick(0), pick(1))["level"].alias("level"))
+
+
 @query("SELECT 'd-' || doc_id AS id, CASE WHEN text = '' THEN 'failed' WHEN quality = 1 THEN 'reviewed' ELSE 'translated' END AS status FROM documents LEFT JOIN labels USING (doc_id)")
 def translate_resume(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
