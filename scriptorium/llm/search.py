@@ -10,9 +10,9 @@ Search. The items' terms meet the index by term, so a search reads only the bloc
 frequencies are sums over the block rows, without their bytes. Blocks are dealt by segment, segments pass a task one after another, and every item keeps
 its best documents from one to the next. In a segment, an item's lists are moved by block bounds alone (shallow moves): the bounds of all lists divide the
 documents into stretches, the sum of the largest impacts over a stretch is what a document of it can reach, and stretches that stay below the item's
-threshold are passed by with their blocks still packed. The stretch with the highest sum comes first, so that the threshold is high from the start. In a
-live stretch the lists are taken by falling bound; only documents of the first lists can be pivots, once what the others may add stays below the
-threshold, and a list's blocks are unpacked only where a document can still pass. Tasks give k rows an item, the best k of which remain.
+threshold are passed by with their blocks still packed. The stretch with the highest sum comes first, so that the threshold is high from the start. In the
+live stretches the lists are taken by falling bound; once what the lists left may add stays below the threshold, only documents that have been met are pivots, and a list's
+blocks are unpacked only where a pivot can still pass. Tasks give k rows an item, the best k of which remain.
 
 Scale. Postings aren't shuffled one by one: blocks are made where the texts are read. A segment is bounded in characters (or is one
 document), so no term, source or group of copies is hot; items are asked in batches of about BATCH_TERMS terms, each of which
@@ -36,9 +36,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.common import dropped, join_sized, table, tune, written
 
-SEGMENT_CHARS, BLOCK, BATCH_TERMS, TOP = 16_000_000, 128, 100_000, 10
-#: Documents that are scored at once.
-STRETCH = 1024
+SEGMENT_CHARS, BLOCK, BATCH_TERMS, TASK_SEGMENTS, TOP = 16_000_000, 128, 100_000, 64, 10
 #: Terms are runs of digits, letters of ASCII (lower-cased) and bytes beyond ASCII; all else separates them.
 TERM_BYTES = bytes(b | 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 INDEX_SCHEMA = "segment long, term string, first int, last int, postings int, tokens long, tops array<int>, packed binary"
@@ -67,11 +65,19 @@ def from_var_bytes(raw: np.ndarray) -> np.ndarray:
     return np.add.reduceat((raw & 127).astype(np.int64) << 7 * place, starts)
 
 
+class Numbers(dict):
+    """Numbers words in order of appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class Segment:
     """Documents that are gathered in a task, until they are given out as rows of blocks."""
 
     def __init__(self) -> None:
-        self.numbers: dict[bytes, int] = {}
+        self.numbers = Numbers()
         self.ids: list[int | None] = []
         self.words: list[np.ndarray] = []
         self.chars = 0
@@ -79,9 +85,8 @@ class Segment:
     def add(self, key: int | None, text: str | None) -> None:
         found = terms_of(text)
         if found:
-            numbers = self.numbers
             self.ids.append(key)
-            self.words.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in found), np.int32, len(found)))
+            self.words.append(np.fromiter(map(self.numbers.__getitem__, found), np.int32, len(found)))
             self.chars += len(text)
 
     def rows(self, segment: int) -> pa.RecordBatch:
@@ -108,8 +113,9 @@ class Segment:
 
         # A pair is on the skyline if all pairs of its block with more occurrences are longer.
         length = lengths[doc]
-        by = np.lexsort((length, -times, block))
-        falling = length[by] - block[by] * (int(lengths.max()) + 1)
+        wide, tall = int(lengths.max()) + 1, int(times.max()) + 1
+        by = np.argsort((block * tall + (tall - times)) * wide + length) if len(heads) * tall * wide < 1 << 62 else np.lexsort((length, -times, block))
+        falling = length[by] - block[by] * wide
         least = np.minimum.accumulate(falling)
         top = by[np.diff(least, prepend=least[0] + 1) < 0]
         tops = np.column_stack([times[top], length[top]]).reshape(-1)
@@ -217,15 +223,13 @@ class Lists:
     def impact(times: np.ndarray, share: np.ndarray) -> np.ndarray:
         return 1_000_000_000 * times // (1000 * times + share)
 
-    def postings(self, a: int, b: int, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Documents and impacts of the list of block rows a to b, right in the given blocks (rising numbers within the list)."""
+    def postings(self, a: int, b: int, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+        """Documents and impacts of blocks i to before j of the list that has the block rows a to b."""
         if a not in self.open:
             n = int(self.count[a:b].sum())
             self.open[a] = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(b - a, bool)
         docs, impacts, done = self.open[a]
-        new = blocks[~done[blocks]]
-        for run in np.split(new, np.flatnonzero(np.diff(new) > 1) + 1) if len(new) else []:
-            i, j = int(run[0]), int(run[-1]) + 1
+        if not done[i:j].all():
             raw = b"".join(x.as_py() for x in self.packed[a + i : a + j])
             gaps, times = from_var_bytes(np.frombuffer(raw, np.uint8)).reshape(-1, 2).T
             counts = self.count[a + i : a + j]
@@ -235,7 +239,8 @@ class Lists:
             docs[at] = walked - np.repeat(walked[heads] - self.first[a + i : a + j], counts)
             impacts[at] = self.impact(times, self.rest[docs[at]])
             done[i:j] = True
-        return docs, impacts
+        at = slice(i * BLOCK, min(j * BLOCK, len(docs)))
+        return docs[at], impacts[at]
 
     def search(self, query: list[tuple[str, int]], best: Best) -> None:
         """Brings the segment's documents for weighted terms into best."""
@@ -244,51 +249,62 @@ class Lists:
             return
         rows = np.concatenate([np.arange(a, b) for _, a, b in lists])
         caps = np.concatenate([weight * self.most[a:b] for weight, a, b in lists])
-        edges = np.unique(np.concatenate([self.first[rows], self.last[rows] + 1]))
+        edges, at = np.unique(np.concatenate([self.first[rows], self.last[rows] + 1]), return_inverse=True)
         steps = np.zeros(len(edges), np.int64)
-        np.add.at(steps, np.searchsorted(edges, self.first[rows]), caps)
-        np.subtract.at(steps, np.searchsorted(edges, self.last[rows] + 1), caps)
+        np.add.at(steps, at, np.concatenate([caps, -caps]))
         bounds = np.cumsum(steps)[:-1]
         highest = int(np.argmax(bounds))
-        self.stretch(lists, int(edges[highest]), int(edges[highest + 1]), best)
-        bounds[highest] = 0
-        live = np.flatnonzero(bounds >= best.least)
-        # Neighbouring live stretches go together, up to STRETCH documents.
-        cut = (np.diff(live) > 1) | (np.diff(edges[live] // STRETCH) > 0)
-        for run in np.split(live, np.flatnonzero(cut) + 1) if len(live) else []:
-            lo, hi = int(edges[run[0]]), int(edges[run[-1] + 1])
-            if best.open_to(int(bounds[run].max()), int(self.ids[lo])):
-                self.stretch(lists, lo, hi, best)
-
-    def stretch(self, lists: list[tuple[int, int, int]], lo: int, hi: int, best: Best) -> None:
-        """Scores the documents from lo to before hi that can enter."""
+        if best.open_to(int(bounds[highest]), int(self.ids[edges[highest]])):
+            self.score(lists, edges[highest : highest + 1], edges[highest + 1 : highest + 2], best)
+            bounds[highest] = 0
+            live = np.flatnonzero(bounds >= best.least)
+            if len(live):
+                # Neighbouring live stretches go together.
+                cut = np.flatnonzero(np.diff(live) > 1)
+                self.score(lists, edges[live[np.concatenate([[0], cut + 1])]], edges[live[np.concatenate([cut, [len(live) - 1]])] + 1], best)
+
+    def score(self, lists: list[tuple[int, int, int]], lows: np.ndarray, highs: np.ndarray, best: Best) -> None:
+        """Scores the documents of the stretches from lows to before highs that can enter."""
         here = []
         for weight, a, b in lists:
-            i, j = int(np.searchsorted(self.last[a:b], lo)), int(np.searchsorted(self.first[a:b], hi))
-            if i < j:
-                here.append((weight * int(self.most[a + i : a + j].max()), weight, a, b, i, j))
-        here.sort(reverse=True)
+            # A block is wanted if the first stretch that ends behind its first document begins before its end.
+            near = np.searchsorted(highs, self.first[a:b], "right")
+            wanted = (near < len(highs)) & (lows[np.minimum(near, len(lows) - 1)] <= self.last[a:b])
+            if wanted.any():
+                here.append((weight * int(self.most[a:b][wanted].max()), weight, a, b, wanted))
+        here.sort(key=lambda x: -x[0])
         more = sum(x[0] for x in here)
-        scores, pivots = np.zeros(hi - lo, np.int64), None
-        for cap, weight, a, b, i, j in here:
-            if best.open_to(more, int(self.ids[lo])):
-                blocks = np.arange(i, j)  # documents of this list may be pivots
-            else:
+        low, high, first_id = int(lows[0]), int(highs[-1]), int(self.ids[lows[0]])
+        scores, pivots, least = np.zeros(high - low, np.int64), None, best.least
+        for cap, weight, a, b, wanted in here:
+            if best.k < len(scores) and more < int(scores.max()):
+                # What documents have so far is below what they will have, so the k-th of it is a threshold too.
+                least = max(least, int(np.partition(scores, -best.k)[-best.k]))
+            if more < least or not best.open_to(more, first_id):  # from here on, no document is a pivot that isn't one already
                 if pivots is None:
-                    pivots = np.flatnonzero(scores)
-                pivots = pivots[scores[pivots] + more >= best.least]
+                    pivots = self.inside(np.flatnonzero(scores), lows - low, highs - low)
+                pivots = pivots[scores[pivots] + more >= least]
                 if not len(pivots):
                     return
-                wanted = i + np.unique(np.searchsorted(self.last[a + i : a + j], pivots + lo))
-                blocks = wanted[wanted < j]
-            docs, impacts = self.postings(a, b, blocks)
-            for run in np.split(blocks, np.flatnonzero(np.diff(blocks) > 1) + 1) if len(blocks) else []:
-                p, q = int(run[0]) * BLOCK, min((int(run[-1]) + 1) * BLOCK, len(docs))
-                p, q = p + int(np.searchsorted(docs[p:q], lo)), p + int(np.searchsorted(docs[p:q], hi))
-                scores[docs[p:q] - lo] += weight * impacts[p:q]
+                near = np.searchsorted(self.last[a:b], pivots + low)
+                near = near[near < b - a]
+                wanted = np.zeros(b - a, bool)
+                wanted[near[self.first[a:b][near] <= pivots[: len(near)] + low]] = True
+            blocks = np.flatnonzero(wanted)
+            cuts = np.flatnonzero(np.diff(blocks) > 1) if len(blocks) and blocks[-1] - blocks[0] >= len(blocks) else ()
+            for i, j in zip([0, *(c + 1 for c in cuts)], [*(c + 1 for c in cuts), len(blocks)]) if len(blocks) else ():
+                docs, impacts = self.postings(a, b, int(blocks[i]), int(blocks[j - 1]) + 1)
+                p, q = docs.searchsorted((low, high))
+                scores[docs[p:q] - low] += weight * impacts[p:q]
             more -= cap
-        found = np.flatnonzero(scores >= best.least) if pivots is None else pivots[scores[pivots] >= best.least]
-        best.add(scores[found], self.ids[lo + found])
+        found = self.inside(np.flatnonzero(scores), lows - low, highs - low) if pivots is None else pivots
+        found = found[scores[found] >= least]
+        best.add(scores[found], self.ids[low + found])
+
+    @staticmethod
+    def inside(docs: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
+        """The documents within the stretches."""
+        return docs[docs >= lows[np.minimum(np.searchsorted(highs, docs, "right"), len(lows) - 1)]]
 
 
 def by_segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,8 +326,10 @@ def by_segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def ranked(blocks: DataFrame, items: DataFrame, item: str = "item_id", text_col: str = "text", k: int = TOP, batch_terms: int = BATCH_TERMS) -> DataFrame:
     """(item, own, rank, doc_id, score): the k best documents of each item, from the block rows of :func:`index`."""
     spark = blocks.sparkSession
-    size = blocks.where("term = ''").agg(F.sum("postings"), F.sum("tokens")).first()
+    size = blocks.where("term = ''").agg(F.sum("postings"), F.sum("tokens"), F.count(F.lit(1))).first()
     documents, tokens = int(size[0] or 0), int(size[1] or 0)
+    # Many segments a task share their thresholds; a task has TASK_SEGMENTS at most, about.
+    tasks = max(1, min(size[2], max(int(spark.conf.get("spark.sql.shuffle.partitions")), size[2] // TASK_SEGMENTS)))
     asked = written(item_terms(items, item, text_col), "search-items")
     held = join_sized(blocks.select("term", "postings").where("term != ''"), asked.select("term").distinct(), ["term"], "left_semi").groupBy("term").agg(F.sum("postings").alias("df"))
     weight = F.floor(1000 * F.log(F.lit(2.0 * documents + 2) / (2 * F.col("df") + 1)))
@@ -341,7 +359,7 @@ def ranked(blocks: DataFrame, items: DataFrame, item: str = "item_id", text_col:
 
         pa_type = pa.int64() if kind in ("bigint", "int", "smallint", "tinyint") else pa.string()
         own_blocks = join_sized(blocks, part.select("term").distinct().union(spark.createDataFrame([("",)], "term string")), ["term"], "left_semi").select(*blocks.columns)
-        rows = own_blocks.repartition("segment").sortWithinPartitions("segment", "term", "first")
+        rows = own_blocks.repartition(tasks, "segment").sortWithinPartitions("segment", "term", "first")
         one = rows.mapInArrow(look, f"{item} {'long' if pa_type == pa.int64() else 'string'}, own long, doc_id long, score long")
         found = one if found is None else found.unionByName(one)
     order = Window.partitionBy(item, "own").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
