@@ -107,7 +107,8 @@ def complete_draft(text: Column, speaker_en: Column, speaker_zh: Column) -> Colu
 
 
 def reviewable(status: Column, draft: Column, force: bool = False, resume: bool = True) -> Column:
-    return (status == "translated") | (F.lit(force and resume) & (status == "reviewed")) | (F.lit(resume) & (status == "failed") & draft)
+    """Whether a record can be reviewed: a forced run that resumes takes any state."""
+    return F.lit(force and resume) | F.coalesce(status == "translated", F.lit(False)) | (F.lit(resume) & F.coalesce((status == "failed") & draft, F.lit(False)))
 
 
 def change_of(df: DataFrame) -> Column:
@@ -131,9 +132,10 @@ def evidence(x: Column, patterns: list[str]) -> Column:
     return sum((F.regexp_count(x, F.lit(p)) for p in patterns), F.lit(0))
 
 
-def parameter(x: Column, known: DataFrame, default: str) -> Column:
-    """A value of a facet if it is one of the few known, else the default; the known values are a facet's, so they fit on the driver."""
-    return F.when(x.isin([r[0] for r in known.limit(1000).collect()]), x).otherwise(default)
+def with_parameter(rows: DataFrame, name: str, asked: Column, known: DataFrame, default: str) -> DataFrame:
+    """Adds a facet's value: the asked one if it is among the known ones (one column, however many rows), else the default."""
+    values = known.select(F.col(known.columns[0]).alias("_known")).where("_known is not null").distinct()
+    return rows.withColumn(name, asked).join(values, F.col(name) == F.col("_known"), "left").withColumn(name, F.coalesce("_known", F.lit(default))).drop("_known")
 
 
 def page_number(x: Column) -> Column:

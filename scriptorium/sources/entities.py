@@ -46,6 +46,41 @@ SEGMENT = {
 }
 
 
+#: Records and segments for the audit: nulls, repeated ids, addresses of other records, texts that break each rule.
+AUDIT_RECORD = {
+    "id": f"CASE n % 23 WHEN 5 THEN NULL WHEN 6 THEN ' ' WHEN 9 THEN 'r-' || CAST(n - 1 AS STRING) WHEN 10 THEN 'r-' || CAST(n - 2 AS STRING) ELSE 'r-' || {N} END",
+    "slug": f"CASE n % 29 WHEN 3 THEN NULL WHEN 8 THEN 'shared' ELSE 't-' || {N} END",
+    "snapshot": "CASE n % 31 WHEN 4 THEN NULL WHEN 5 THEN '' WHEN 6 THEN 'older' ELSE 's1' END",
+    "type": "CASE n % 37 WHEN 1 THEN NULL WHEN 2 THEN 'other' ELSE 'speech' END",
+    "kind": "CASE n % 19 WHEN 1 THEN NULL WHEN 2 THEN 'none' WHEN 3 THEN 'poem' ELSE 'dialogue' END",
+    "day": "CASE n % 41 WHEN 1 THEN NULL WHEN 2 THEN '2023-02-30' WHEN 3 THEN '2023-2-3' ELSE '2023-02-03' END",
+    "title_en": "CASE n % 17 WHEN 1 THEN NULL WHEN 2 THEN ' ' ELSE 'A talk about rivers' END",
+    "title_zh": "CASE n % 13 WHEN 1 THEN NULL WHEN 2 THEN ' ' WHEN 3 THEN 'about rivers' ELSE '关于河流的谈话' END",
+    "summary_en": "CASE n % 11 WHEN 1 THEN NULL WHEN 2 THEN '' ELSE 'It cost 12 dollars' END",
+    "summary_zh": "CASE n % 7 WHEN 1 THEN NULL WHEN 2 THEN '价格是13美元' ELSE '价格是12美元' END",
+    "source_url": f"CASE n % 43 WHEN 1 THEN NULL WHEN 2 THEN 'ftp://x.example/a' ELSE 'https://x.example/' || {N} END",
+    "archive_url": f"CASE n % 47 WHEN 1 THEN NULL WHEN 2 THEN 'no address' WHEN 3 THEN 'https://archive.example/items/r-0' WHEN 4 THEN 'https://other.example/items/r-' || {N} ELSE 'https://archive.example/items/r-' || {N} || CASE WHEN n % 2 = 0 THEN '/' ELSE '' END END",
+    "embed_url": "CASE n % 15 WHEN 1 THEN 'https://youtube-nocookie.com/embed/a' WHEN 2 THEN 'https://www.youtube.com/embed/a' WHEN 3 THEN 'data:x' WHEN 4 THEN 'https://www.youtube-nocookie.com/embed/a' END",
+    "thumbnail_url": "CASE n % 14 WHEN 1 THEN 'data:x' WHEN 2 THEN 'https://i.example/a.jpg' END",
+    "duration": "CAST(CASE n % 16 WHEN 1 THEN NULL WHEN 2 THEN -1 ELSE 60 END AS DOUBLE)",
+    "fetched_at": "CASE n % 18 WHEN 1 THEN NULL WHEN 2 THEN 'soon' ELSE '2024-01-02T03:04:05Z' END",
+    "status": "CASE n % 9 WHEN 1 THEN NULL WHEN 2 THEN 'lost' WHEN 3 THEN 'translated' ELSE 'reviewed' END",
+    "reviewed_at": "CASE n % 10 WHEN 1 THEN NULL WHEN 2 THEN 'x' ELSE '2024-04-01T00:00:00Z' END",
+    "model": "CASE n % 12 WHEN 1 THEN NULL WHEN 2 THEN ' ' ELSE 'm1' END",
+    "source_missing": "CASE n % 20 WHEN 1 THEN NULL WHEN 2 THEN true ELSE false END",
+    "hash": "CASE n % 21 WHEN 1 THEN NULL WHEN 2 THEN '' WHEN 3 THEN 'x' ELSE 'h1' END",
+    "has_segments": "CASE n % 22 WHEN 1 THEN NULL WHEN 2 THEN false ELSE true END",
+}
+AUDIT_SEGMENT = {
+    "sid": "CASE (n + turn) % 11 WHEN 1 THEN NULL WHEN 2 THEN '' WHEN 3 THEN 'same' WHEN 4 THEN 'same' ELSE 's' || CAST(turn AS STRING) END",
+    "speaker_en": "CASE (n + turn) % 13 WHEN 1 THEN NULL WHEN 2 THEN 'ADA Lovelace (host)' WHEN 3 THEN 'Grace' WHEN 4 THEN 'Twenty and a half' ELSE 'Ada Lovelace' END",
+    "speaker_zh": "CASE (n + turn) % 5 WHEN 1 THEN NULL WHEN 2 THEN 'Ada Lovelace' ELSE '埃达' END",
+    "start": "CAST(CASE (n + turn) % 12 WHEN 1 THEN NULL WHEN 2 THEN -1 WHEN 3 THEN 0 ELSE turn * 10 END AS DOUBLE)",
+    "text_en": "CASE (n + turn) % 9 WHEN 1 THEN NULL WHEN 2 THEN ' ' WHEN 3 THEN 'The river runs by the old town and people walk along it every day of the year.' WHEN 4 THEN 'The Falcon Heavy and NASA Ames' WHEN 5 THEN 'See https://x.example/a and example.com' WHEN 6 THEN 'Seven of them came' ELSE 'Boats pass by the old bridge' END",
+    "text_zh": "CASE (n + turn * 2) % 9 WHEN 1 THEN NULL WHEN 2 THEN '' WHEN 3 THEN '河' WHEN 4 THEN 'the boats that pass by here are old' WHEN 5 THEN 'Falcon Heavy NASA Ames 一 see the other of the boats' ELSE '船从古老的桥下驶过，人们沿着河边散步，每天都能看见同样的景色，年年如此，从不改变，直到今天。' END",
+}
+
+
 def _list(fields: dict[str, str]) -> str:
     return ", ".join(f"{sql} AS {name}" for name, sql in fields.items())
 
@@ -55,6 +90,17 @@ WITH = f"""records AS (SELECT n, {_list(RECORD)} FROM (SELECT DISTINCT conv_id A
 segs AS (SELECT n, turn, {_list(SEGMENT)} FROM (SELECT conv_id AS n, turn, role, text FROM conversations))"""
 
 
+AUDIT_WITH = f"""r AS (SELECT n AS place, {_list(AUDIT_RECORD)} FROM (SELECT DISTINCT conv_id AS n FROM conversations)),
+s AS (SELECT n AS place, turn, {_list(AUDIT_SEGMENT)} FROM (SELECT conv_id AS n, turn FROM conversations))"""
+
+
+def audited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(records, segments) of the audit."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("n"), "turn")
+    pick = lambda fields: [F.expr(sql).alias(name) for name, sql in fields.items()]
+    return turns.select("n").distinct().select(F.col("n").alias("place"), *pick(AUDIT_RECORD)), turns.select(F.col("n").alias("place"), "turn", *pick(AUDIT_SEGMENT))
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("n")).distinct()
     return ids.select("n", *[F.expr(sql).alias(name) for name, sql in RECORD.items()])
