@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -70,6 +70,66 @@ def substring_hits(docs: DataFrame, asked: DataFrame, key: str, query_key: str,
     return out
 
 
+#: Words of an excerpt, and results of a page.
+EXCERPT, PAGE = 30, 20
+
+
+def positions(segments: DataFrame, doc: str, segment: str, text: str) -> DataFrame:
+    """(token, doc, segment, at): where each word stands in its segment, as an array of places; one row a word and segment."""
+    rows = segments.select(doc, segment, F.posexplode(words(F.col(text), NOT_WORD)).alias("_at", "token"))
+    return rows.groupBy("token", doc, segment).agg(F.array_sort(F.collect_list("_at")).alias("at"))
+
+
+def covering(found: Column, terms: Column) -> Column:
+    """The length in words of the smallest stretch that holds all terms, null if there is none.
+
+    found: array of (at, token) by place. One pass: the last place of each term so far is kept, and a stretch that ends here begins at the least of them."""
+    start = F.struct(F.lit(None).cast("int").alias("best"), F.transform(terms, lambda t: F.lit(None).cast("int")).alias("last"))
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.transform(terms, lambda t, i: F.when(t == x["token"], x["at"]).otherwise(F.get(acc["last"], i)))
+        whole = F.forall(last, lambda p: p.isNotNull())
+        return F.struct(F.when(whole, F.least(acc["best"], x["at"] - F.array_min(last) + 1)).otherwise(acc["best"]).alias("best"), last.alias("last"))
+
+    return F.aggregate(found, start, step)["best"]
+
+
+def ranked_hits(segments: DataFrame, asked: DataFrame, doc: str, segment: str, query: str, text: str, page: int = PAGE, excerpt: int = EXCERPT) -> DataFrame:
+    """(query, rank, doc, score, anchor, span): the best documents that hold all words of a query, each with the segment to open.
+
+    Ranking. score = sum over the words of w * ((22000 tf) div (10 tf + 3 + (9 n N) div L)), with w = floor(1000 ln((2 N + 2) / (2 df + 1))) and n words in the
+    document, N documents, L words in all: collection statistics over all documents, in whole numbers. Equal scores go by the document's key.
+    Anchor. The first segment, in order, with an excerpt (a stretch of at most ``excerpt`` words) that holds all words; else the first
+    with any of them. span is the smallest such stretch of the anchor's segment, null if it has none.
+
+    A query meets only the documents of its rarest word; the other words are then looked up in these documents by equi-joins, so that a common
+    word makes no rows of its own. Arrays hold one segment's places."""
+    postings = positions(segments, doc, segment, text)
+    terms = asked.select(query, F.array_distinct(words(F.col(text), NOT_WORD)).alias("terms")).where(F.size("terms") > 0)
+    each = terms.select(query, F.size("terms").alias("_n"), F.explode("terms").alias("token"))
+    held = postings.join(each.select("token").distinct(), "token", "left_semi")
+    by_doc = held.groupBy("token", doc).agg(F.sum(F.size("at")).alias("tf"), F.min(segment).alias("_seg"))
+    frequency = by_doc.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    lengths = segments.groupBy(doc).agg(F.sum(F.size(words(F.col(text), NOT_WORD))).alias("_len")).where("_len > 0")
+    size = lengths.agg(F.count(F.lit(1)).alias("_docs"), F.sum("_len").alias("_words"))  # one row
+    known = each.join(frequency, "token", "left")
+    rarest = known.groupBy(query).agg(F.min(F.struct(F.coalesce("df", F.lit(0)), "token"))["token"].alias("token"))
+    candidates = rarest.join(by_doc.select("token", doc), "token").select(query, doc)
+    met = candidates.join(known, query).join(by_doc.select("token", doc, "tf"), ["token", doc])
+    weight = F.floor(1000 * F.log((2.0 * F.col("_docs") + 2) / (2 * F.col("df") + 1)))
+    share = 10 * F.col("tf") + 3 + F.floor(9 * F.col("_len") * F.col("_docs") / F.col("_words")).cast("long")
+    impact = F.floor(F.lit(22000) * F.col("tf") / share).cast("long")
+    scored = met.join(lengths, doc).join(F.broadcast(size)).groupBy(query, doc).agg(F.sum(weight * impact).alias("score"), F.count(F.lit(1)).alias("_found"), F.max("_n").alias("_n")).where("_found = _n")
+    rank = F.row_number().over(Window.partitionBy(query).orderBy(F.col("score").desc(), F.col(doc).asc()))
+    best = scored.withColumn("rank", rank).where(F.col("rank") <= page).select(query, doc, "score", "rank")
+    hits = best.select(query, doc).join(each.select(query, "token"), query).join(held, ["token", doc])
+    places = F.array_sort(F.flatten(F.collect_list(F.transform("at", lambda p: F.struct(p.alias("at"), F.col("token").alias("token"))))))
+    subs = hits.groupBy(query, doc, segment).agg(places.alias("_found")).join(terms, query).withColumn("span", covering(F.col("_found"), F.col("terms")))
+    anchors = subs.groupBy(query, doc).agg(F.min(F.when(F.col("span") <= excerpt, F.struct(segment, "span"))).alias("_a"), F.min(F.struct(segment, "span")).alias("_b"))
+    pick = F.coalesce("_a", "_b")
+    return best.join(anchors, [query, doc]).select(query, F.col("rank").cast("int").alias("rank"), doc, "score", pick[segment].alias("anchor"), pick["span"].cast("int").alias("span"))
+
+
 def unique_phrases(docs: DataFrame, text: str, n: int) -> DataFrame:
     """Runs of n words that occur once in the corpus."""
     split = F.split(F.regexp_replace(F.lower(text), "^[ \n]+|[ \n]+$", ""), "[ \n]+")

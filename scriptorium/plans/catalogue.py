@@ -95,7 +95,9 @@ def transcript_stats(spark, sf_dir):
 SELECT event_id, lag(event_id) OVER w AS previous, lead(event_id) OVER w AS next FROM events
 WINDOW w AS (PARTITION BY user_id ORDER BY strftime(ts, '%Y-%m-%d') DESC, event_id)""")
 def neighbours(spark, sf_dir):
-    return related.neighbours(dated(spark, sf_dir), "event_id", [F.col("day").desc(), F.col("event_id").asc()], ["user_id"]).select("event_id", "previous", "next")
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.to_date("ts").alias("day"))
+    rank = F.col("event_id") - F.unix_date("day") * F.lit(1 << 36)
+    return related.beside(rows, "event_id", ["user_id"], rank, [F.col("day").desc(), F.col("event_id").asc()]).select("event_id", "previous", "next")
 
 
 @query("""
@@ -121,7 +123,39 @@ def lag_duplicate_text(spark, sf_dir):
 SELECT event_id, before FROM (SELECT event_id, value, coalesce(last_value(CASE WHEN value >= 0 THEN value END IGNORE NULLS) OVER (
   PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1.0) AS before FROM events) WHERE value >= 0 AND value < before""")
 def monotonic_violations(spark, sf_dir):
-    return related.falls_behind(table(spark, sf_dir, "events"), ["user_id"], [F.col("event_id")], F.col("value")).select("event_id", "before")
+    return related.drops(table(spark, sf_dir, "events").select("event_id", "user_id", "value"), ["user_id"], F.col("event_id"), [F.col("event_id").asc()], F.col("value")).select("event_id", "before")
+
+
+@query("SELECT event_id, lag(event_id) OVER w AS previous, lead(event_id) OVER w AS next FROM events WINDOW w AS (ORDER BY strftime(ts, '%Y-%m-%d') DESC, event_id)")
+def archive_neighbours(spark, sf_dir):
+    """The records before and after in one order of the whole archive, split into ranges of it."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.to_date("ts").alias("day"))
+    rank = F.col("event_id") - F.unix_date("day") * F.lit(1 << 36)
+    return related.beside(rows, "event_id", [], rank, [F.col("day").desc(), F.col("event_id").asc()]).select("event_id", "previous", "next")
+
+
+@query("""
+SELECT event_id, event_type, lag(event_id) OVER w AS previous, lead(event_id) OVER w AS next, b AS before FROM (SELECT *, coalesce(last_value(CASE WHEN value >= 10 THEN value END IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1.0) AS b FROM events)
+WINDOW w AS (PARTITION BY event_type ORDER BY event_id)""")
+def kind_neighbours(spark, sf_dir):
+    """Neighbours within few large groups, and the last value of 10 and more before each row."""
+    rows, order = table(spark, sf_dir, "events").select("event_id", "event_type", "value"), [F.col("event_id").asc()]
+    known = related.carried(rows, ["event_type"], F.col("event_id"), order, F.when(F.col("value") >= 10, F.col("value")), "before")
+    return related.beside(known, "event_id", ["event_type"], F.col("event_id"), order).select("event_id", "event_type", "previous", "next", F.coalesce("before", F.lit(-1.0)).alias("before"))
+
+
+@query("""
+WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+a AS (SELECT doc_id, n, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n) - length(line) - 1 AS top FROM l), q AS (SELECT doc_id, quality * 400 + toxic * 90 + doc_id % 50 AS place FROM labels)
+SELECT q.doc_id, CAST(q.place AS BIGINT) AS place, CAST(max(a.n) AS BIGINT) AS line FROM q LEFT JOIN a ON a.doc_id = q.doc_id AND a.top <= q.place GROUP BY q.doc_id, q.place""")
+def reading_positions(spark, sf_dir):
+    """The line that a reader at some offset of a text is in: the last one that begins at or before it."""
+    lines = F.split("text", "\n")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(lines).alias("n", "line")).select("doc_id", (F.col("n") + 1).cast("long").alias("n"), (F.length("line") + 1).cast("long").alias("size"))
+    w = Window.partitionBy("doc_id").orderBy("n")
+    anchors = rows.select("doc_id", (F.sum("size").over(w) - F.col("size")).alias("place"), F.col("n").alias("line"))
+    asked = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * 400 + F.col("toxic") * 90 + F.col("doc_id") % 50).cast("long").alias("place"), F.col("doc_id").alias("asked"))
+    return related.last_before(anchors, asked, ["doc_id"], "place", "line", "asked").select("doc_id", "place", "line")
 
 
 @query("SELECT text, doc_id, CAST(n AS INT) AS occurrence FROM (SELECT text, doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents) WHERE n > 1")

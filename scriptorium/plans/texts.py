@@ -177,6 +177,32 @@ def word_index_hits(spark, sf_dir):
     return search.rarest_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", "text")
 
 
+#: Queries of two words: the first and third of every turn of each 20th conversation.
+_WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '')"
+
+
+@query(f"""
+WITH w AS (SELECT conv_id, turn, unnest(l) AS token, generate_subscripts(l, 1) - 1 AS pl FROM (SELECT conv_id, turn, {_WORDS} AS l FROM conversations)),
+q AS (SELECT DISTINCT conv_id * 1000 + turn AS q, token FROM w WHERE conv_id % 20 = 0 AND pl IN (0, 2)), n AS (SELECT q, count(*) AS n FROM q GROUP BY q),
+len AS (SELECT conv_id, count(*) AS len FROM w GROUP BY conv_id), total AS (SELECT count(*) AS docs, sum(len) AS words FROM len),
+tf AS (SELECT token, conv_id, count(*) AS tf FROM w GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
+scores AS (SELECT q.q, tf.conv_id, sum(CAST(floor(1000 * ln((2.0 * docs + 2) / (2 * df + 1))) AS BIGINT) * ((22000 * tf) // (10 * tf + 3 + (9 * len * docs) // words))) AS score
+  FROM q JOIN tf USING (token) JOIN df USING (token) JOIN len USING (conv_id), total GROUP BY q.q, tf.conv_id HAVING count(*) = (SELECT n FROM n WHERE n.q = q.q)),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, conv_id) AS rank FROM scores) WHERE rank <= 20),
+h AS (SELECT b.q, b.conv_id, w.turn, w.token, w.pl FROM best b JOIN q ON q.q = b.q JOIN w ON w.token = q.token AND w.conv_id = b.conv_id),
+ends AS (SELECT s.q, s.conv_id, s.turn, s.pl, e.token, min(e.pl) AS upto FROM h s JOIN h e ON s.q = e.q AND s.conv_id = e.conv_id AND s.turn = e.turn AND e.pl >= s.pl GROUP BY ALL),
+spans AS (SELECT q, conv_id, turn, min(span) AS span FROM (SELECT q, conv_id, turn, max(upto) - pl + 1 AS span FROM ends GROUP BY q, conv_id, turn, pl HAVING count(*) = (SELECT n FROM n WHERE n.q = ends.q)) GROUP BY ALL),
+subs AS (SELECT DISTINCT h.q, h.conv_id, h.turn, span FROM h LEFT JOIN spans s ON h.q = s.q AND h.conv_id = s.conv_id AND h.turn = s.turn),
+pick AS (SELECT *, row_number() OVER (PARTITION BY q, conv_id ORDER BY coalesce(span <= 30, false) DESC, turn) AS place FROM subs)
+SELECT b.q, CAST(b.rank AS INTEGER) AS rank, b.conv_id, CAST(b.score AS BIGINT) AS score, p.turn AS anchor, CAST(p.span AS INTEGER) AS span FROM best b JOIN pick p ON p.q = b.q AND p.conv_id = b.conv_id AND p.place = 1""")
+def ranked_search(spark, sf_dir):
+    """Ranked conversations for a set of queries, each with the turn to open."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    w = search.words(F.col("text"), search.NOT_WORD)
+    asked = rows.where("conv_id % 20 = 0").select((F.col("conv_id") * 1000 + F.col("turn")).alias("q"), F.array_join(F.array_compact(F.array(*[F.get(w, i) for i in (0, 2)])), " ").alias("text"))
+    return search.ranked_hits(rows, asked, "conv_id", "turn", "q", "text")
+
+
 @query(r"""
 SELECT phrase FROM (SELECT doc_id, unnest(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3])) AS phrase FROM (
   SELECT doc_id, regexp_split_to_array(trim(lower(text), E' \n'), '[ \n]+') AS w FROM documents)) GROUP BY phrase HAVING count(*) = 1""".replace("'[ \\n]+'", "E'[ \\n]+'"))
