@@ -244,3 +244,32 @@ def sitemap_rows(spark, sf_dir):
 def html_detail_parse(spark, sf_dir):
     found = P.details(table(spark, sf_dir, "pages"), "page_id", "html")
     return found.select("id", "kind", "title", F.size("segments").alias("segments"))
+
+
+def _clean(x: str) -> str:
+    """One line without what markup and JSON escape: letters, digits, spaces and full stops of a text's first 200 characters."""
+    return f"trim(regexp_replace(regexp_replace(substring({x}, 1, 200), '[^A-Za-z0-9. ]', ' '{{0}}), ' +', ' '{{0}}))"
+
+
+#: Pages of six shapes, from a record's first two turns a and b: payload script, play buttons, transcript section, article block, mirror on a player, nothing.
+DETAIL_PAGES = """CASE k
+WHEN 0 THEN '<h1>Talk ' || n || '</h1><script>self.__next_f.push([1,"x:{\\\\"dialogue\\\\":[{\\\\"speaker\\\\":\\\\"Ada\\\\",\\\\"paras\\\\":[{\\\\"t\\\\":' || n || '.5,\\\\"text\\\\":\\\\"' || a || '\\\\"}]},{\\\\"paras\\\\":[{\\\\"content\\\\":\\\\"' || b || '\\\\"}]}],\\\\"transcriptSource\\\\":\\\\"made\\\\"}"])</script><article><p>not this</p></article>'
+WHEN 1 THEN '<h1>Talk <b>' || n || '</b></h1><div><div class=speaker>Ada</div><div><button><span class="x whitespace-pre-wrap"><i>' || a || '</i></span></button></div></div><div><div><button><span class=''whitespace-pre-wrap''>' || b || '</button></div></div><section><h2>Transcript</h2><p class="whitespace-pre-wrap">not this</section>'
+WHEN 2 THEN '<meta name=description content="About ' || n || '"><h1>Talk ' || n || '</h1><article><section><h2>The transcript</h2><p class="whitespace-pre-wrap">' || a || '<p class="lead">no<p class="whitespace-pre-wrap">' || b || '</section></article>'
+WHEN 3 THEN '<main><article><h1>Talk ' || n || '</h1><div class="mt whitespace-pre-wrap">' || a || '\n\n' || b || '</div></article></main>'
+WHEN 4 THEN '<meta property="og:image" content="https://i.ytimg.com/vi/abcdef' || n || '/hq.jpg"><h1>Talk ' || n || '</h1>'
+ELSE '<article><h1>Talk ' || n || '</h1></article>' END"""
+
+
+@query(f"""
+WITH t AS (SELECT conv_id AS n, CAST(conv_id % 6 AS INT) AS k, max({_clean("text").format(", 'g'")}) FILTER (turn = 0) AS a, max({_clean("text").format(", 'g'")}) FILTER (turn = 1) AS b FROM conversations GROUP BY conv_id)
+SELECT n, CASE WHEN k IN (0, 1) THEN 'dialogue' WHEN k IN (2, 3) THEN 'article' ELSE 'none' END AS kind, CASE k WHEN 0 THEN 'payload' WHEN 1 THEN 'buttons' WHEN 2 THEN 'section' WHEN 3 THEN 'article' ELSE 'none' END AS origin,
+  'Talk ' || n AS title, CASE WHEN k = 2 THEN 'About ' || n END AS summary, CASE WHEN k = 4 THEN 'https://www.youtube.com/embed/abcdef' || n END AS embed, CASE WHEN k = 0 THEN 'made' END AS transcript_source,
+  CASE WHEN k < 2 THEN 'Ada' END AS speaker, CAST(CASE WHEN k = 0 THEN n + 0.5 END AS DOUBLE) AS start, CASE WHEN k < 4 THEN a || '|' || b ELSE '' END AS texts FROM t WHERE length(a) > 20 AND length(b) > 20""")
+def detail_sources(spark, sf_dir):
+    """Detail pages of every source that a text may come from."""
+    clean = F.expr(_clean("text").format(""))
+    rows = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("n")).agg(F.max(F.when(F.col("turn") == 0, clean)).alias("a"), F.max(F.when(F.col("turn") == 1, clean)).alias("b")).where("length(a) > 20 and length(b) > 20")
+    made = rows.selectExpr("n", "cast(n % 6 as int) as k", "a", "b").selectExpr("n", f"{DETAIL_PAGES} AS html")
+    found = P.details(made, "n", "html")
+    return found.select(F.col("id").cast("long").alias("n"), "kind", "origin", "title", "summary", "embed", "transcript_source", F.get("segments.speaker", 0).alias("speaker"), F.get("segments.start", 0).alias("start"), F.array_join("segments.text", "|").alias("texts"))
