@@ -76,6 +76,44 @@ def index_entries(payloads: DataFrame, column: str) -> DataFrame:
     return joined.select("place", "id", "type", "date", "title", "url", F.when(F.col("durationSec") >= 0, F.col("durationSec")).alias("duration"), fault.alias("fault"))
 
 
+def index_report(payloads: DataFrame, key: str, column: str, fewest: int = FEWEST) -> DataFrame:
+    """(key, place, id, fault): every entry of every index payload with the first rule that it breaks (null: none), and a row without a place for each
+    payload that breaks one as a whole: unreadable (no JSON object), no entries (no list of them), total (another number than it says), too few.
+
+    So no payload goes without a row: a good one has its entries, a bad one its fault."""
+    known = F.try_parse_json(column)
+    is_object = known.isNotNull() & F.startswith(F.trim(column), F.lit("{"))
+    rows = payloads.select(key, F.from_json(column, INDEX.replace("total:bigint,", "")).alias("p"), is_object.alias("_object"), F.when(F.schema_of_variant(F.try_variant_get(known, "$.total", "variant")).rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.try_variant_get(known, "$.total", "double")).alias("total"))
+    entries, size = F.col("p.entries"), F.coalesce(F.size("p.entries"), F.lit(0))
+    rows = rows.withColumn("whole", F.coalesce(
+        F.when(~F.coalesce("_object", F.lit(False)), F.lit("unreadable")), F.when(entries.isNull(), F.lit("no entries")),
+        F.when(F.col("total") != size, F.lit("total")), F.when(size < fewest, F.lit("too few")),
+    ))
+    wide = rows.select(key, "whole", F.posexplode_outer("p.entries").alias("place", "e"))
+    each = wide.where("place is not null").select(key, "place", "e.*")
+    # The first entry with an id is sound, later ones repeat it.
+    seen = each.where("id is not null").groupBy(key, "id").agg(F.min("place").alias("_first"))
+    met = each.alias("a").join(seen.alias("b"), F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}")) & (F.col("a.id") == F.col("b.id")), "left").select("a.*", "_first")
+    web = lambda c: F.coalesce(urls.is_web(F.col(c)), F.lit(False))
+    rules = [
+        ("not an object", F.coalesce(*[F.col(c).cast("string") for c in ("id", "type", "date", "title", "url", "source")]).isNull()),
+        ("id", ~F.coalesce(F.trim("id").rlike("^[a-z0-9][a-z0-9-]*$"), F.lit(False))), ("duplicate", F.col("place") != F.col("_first")), ("type", ~F.coalesce(F.trim("type").isin(KINDS), F.lit(False))),
+        ("date", ~F.coalesce(F.trim("date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False))), ("address or title", non_empty(F.col("title")).isNull() | ~web("url") | ~web("source")),
+    ]
+    fault = F.coalesce(*[F.when(test, F.lit(name)) for name, test in rules])
+    faults = rows.where("whole is not null").select(key, F.lit(None).cast("int").alias("place"), F.lit(None).cast("string").alias("id"), F.col("whole").alias("fault"))
+    return met.select(key, "place", "id", fault.alias("fault")).unionByName(faults)
+
+
+def accepted_index(payloads: DataFrame, key: str, column: str, fewest: int = FEWEST) -> DataFrame:
+    """The entries of index payloads, or an error that names the first faults: an index that is broken or short must not make records vanish."""
+    report = index_report(payloads, key, column, fewest)
+    bad = report.where("fault is not null").orderBy(F.col("place").asc_nulls_first()).limit(5).collect()
+    if bad:
+        raise ValueError("the index is not accepted: " + "; ".join(f"{r[key]}{'' if r['place'] is None else '[%d]' % r['place']}: {r['fault']}" for r in bad))
+    return report.select(key, "place", "id")
+
+
 def transcript_parts(payloads: DataFrame, key: str, column: str) -> DataFrame:
     """(key, error, title, kind, segments) of a transcript payload: its dialogue, else its text, else the text in English."""
     p = F.from_json(column, TRANSCRIPT)

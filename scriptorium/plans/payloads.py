@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scriptorium.functions import urls
+from scriptorium.operators import build as B
 from scriptorium.operators import ingest as I
 from scriptorium.sources.entities import WITH, records, segments
 from scriptorium.sources.tables import table
@@ -177,3 +178,63 @@ def manifest_ids(spark, sf_dir):
     listed = I.manifest(rows.where("page_id % 2 = 0").select(F.to_json(F.array("loc", F.lit(None).cast("string"))).alias("p")), "p")
     mapped = I.sitemap_locations(rows.where("page_id % 3 = 0").select(F.concat(F.lit("<url><loc>"), "loc", F.lit("</loc></url><url><loc>"), "loc", F.lit("</loc></url>")).alias("t")), "t")
     return listed.unionByName(mapped.withColumnRenamed("loc", "id")).distinct()
+
+
+#: Index payloads of a record's turns, in twelve shapes.
+_ENTRY = """'{"id":"' || lower(role) || '-' || turn || '","type":"speech","date":"2024-01-0' || (1 + turn % 9) || '","title":"T","url":"https://a.example/' || turn || '","source":"https://b.example/"}'"""
+INDEXES = """CASE n % 12 WHEN 0 THEN 'no json' WHEN 1 THEN '[]' WHEN 2 THEN '[' || es || ']' WHEN 3 THEN '{}' WHEN 4 THEN '{"entries":"x"}' WHEN 5 THEN '' WHEN 6 THEN '{"total":99,"entries":[' || es || ']}' WHEN 7 THEN '{"total":"2","entries":[' || es || ']}'
+WHEN 8 THEN '{"entries":[' || es || ',' || es || ']}' WHEN 9 THEN NULL WHEN 10 THEN '{"entries":[null,{"id":"A b"},{"id":"a","type":"x"},{"id":"b","type":"speech","date":"soon"},{"id":"c","type":"speech","date":"2024-01-01","title":" ","url":"https://a.example","source":"https://b.example"},{"id":"d","type":"speech","date":"2024-01-01","title":"t","url":"ftp://a","source":"https://b.example"}]}'
+ELSE '{"total":' || c || ',"entries":[' || es || ']}' END"""
+
+
+@query(f"""
+WITH p AS (SELECT conv_id AS n, count(*) AS c FROM conversations GROUP BY conv_id), e AS (SELECT conv_id AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, lower(role) || '-' || turn AS id FROM conversations)
+SELECT n, CAST(NULL AS INTEGER) AS place, CAST(NULL AS VARCHAR) AS id, CASE WHEN n % 12 IN (0, 1, 2, 5, 9) THEN 'unreadable' WHEN n % 12 IN (3, 4) THEN 'no entries' WHEN n % 12 = 6 THEN 'total' ELSE 'too few' END AS fault
+  FROM p WHERE n % 12 IN (0, 1, 2, 3, 4, 5, 6, 9) OR n % 12 IN (7, 11) AND c < 3 OR n % 12 = 8 AND 2 * c < 3
+UNION ALL SELECT n, CAST(place AS INTEGER), id, NULL FROM e WHERE n % 12 IN (6, 7, 8, 11)
+UNION ALL SELECT e.n, CAST(e.place + p.c AS INTEGER), id, 'duplicate' FROM e JOIN p USING (n) WHERE n % 12 = 8
+UNION ALL SELECT n, CAST(v.place AS INTEGER), v.id, v.fault FROM p, (VALUES (0, NULL, 'not an object'), (1, 'A b', 'id'), (2, 'a', 'type'), (3, 'b', 'date'), (4, 'c', 'address or title'), (5, 'd', 'address or title')) v(place, id, fault) WHERE n % 12 = 10""")
+def index_faults(spark, sf_dir):
+    """Index payloads of every shape: the entries of the good ones, and what is wrong with the others."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("n"), "turn", F.expr(_ENTRY).alias("e"))
+    rows = turns.groupBy("n").agg(F.count(F.lit(1)).alias("c"), F.array_sort(F.collect_list(F.struct("turn", "e"))).alias("x")).select("n", "c", F.array_join("x.e", ",").alias("es"))
+    return I.index_report(rows.select("n", F.expr(INDEXES).alias("body")), "n", "body", 3)
+
+
+#: A conversation as a record: what was fetched now, and the snapshot before, in which turns, speakers, titles and days differ by turns.
+_NOW = "CASE WHEN n % 5 = 1 THEN 'none' WHEN n % 3 = 0 THEN 'article' ELSE 'dialogue' END"
+_DAY, _OLD_TITLE, _OLD_TEXT, _OLD_ROLE = "CASE WHEN n % 7 = 2 THEN '2024-02-02' ELSE '2024-01-01' END", "CASE WHEN n % 4 = 1 THEN 'Old ' ELSE 'Talk ' END || CAST(n AS STRING)", "CASE WHEN (n + turn) % 6 = 5 THEN upper(text) ELSE text END", "CASE WHEN (n + turn) % 9 = 4 THEN 'other' ELSE role END"
+
+
+@query(f"""
+WITH c AS (SELECT conv_id AS n, turn, role, text FROM conversations),
+now AS (SELECT n, turn, 's' || turn AS sid, role, text FROM c WHERE NOT (n % 5 = 1) AND NOT (n % 11 = 3 AND turn = 0)), old AS (SELECT n, turn, 's' || turn AS sid, {_OLD_ROLE} AS role, {_OLD_TEXT} AS text, '译' || turn AS zh FROM c WHERE n % 8 <> 7),
+ids AS (SELECT DISTINCT n FROM c), r AS (SELECT n, n % 10 <> 9 AS listed, n % 8 <> 7 AS known, n % 30 = 19 AS marked, {_NOW} AS kind, {_DAY} AS day, {_OLD_TITLE} AS old_title, 'Talk ' || n AS title FROM ids),
+m AS (SELECT coalesce(a.n, b.n) AS n, bool_and(a.sid IS NOT NULL AND b.sid IS NOT NULL AND a.role = b.role AND a.text = b.text) AS same, count(a.sid) AS segments, count(*) FILTER (a.sid IS NOT NULL AND b.sid IS NOT NULL AND a.role = b.role AND a.text = b.text) AS kept FROM now a FULL JOIN old b ON a.n = b.n AND a.sid = b.sid GROUP BY ALL),
+x AS (SELECT r.*, coalesce(m.same, true) AS same, coalesce(m.segments, 0) AS segments, coalesce(m.kept, 0) AS kept, (SELECT count(*) FROM old o WHERE o.n = r.n) AS before FROM r LEFT JOIN m USING (n)),
+y AS (SELECT *, CASE WHEN NOT listed AND NOT known THEN NULL WHEN NOT listed AND marked THEN 'gone' WHEN NOT listed THEN 'missing' WHEN known AND same AND title = old_title AND day = '2024-01-01' AND kind = 'dialogue' AND NOT marked THEN 'unchanged' ELSE 'written' END AS outcome FROM x)
+SELECT 'r-' || n AS id, outcome, CASE WHEN outcome = 'written' THEN CASE WHEN known AND same AND title = old_title THEN 'reviewed' ELSE 'pending' END ELSE 'reviewed' END AS status,
+  CASE WHEN outcome = 'written' THEN CASE WHEN known AND title = old_title THEN '题' ELSE '' END ELSE '题' END AS title_zh, CASE WHEN outcome = 'written' AND NOT known THEN 's2' ELSE 's1' END AS snapshot,
+  CAST(CASE WHEN outcome = 'written' THEN segments ELSE before END AS INTEGER) AS segments, CAST(CASE WHEN outcome = 'written' THEN kept ELSE before END AS INTEGER) AS kept, outcome IN ('missing', 'gone') AS source_missing FROM y WHERE outcome IS NOT NULL""")
+def built_records(spark, sf_dir):
+    """Records built from what was fetched and merged into the snapshot before, with segments, states and outcomes."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("n"), "turn", "role", "text")
+    gather = lambda df, fields: df.groupBy("n").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", *[e.alias(k) for k, e in fields.items()]))), lambda s: F.struct(*[s[k].alias(k) for k in fields])).alias("segments"))
+    sid, start = F.concat(F.lit("s"), "turn"), (F.col("turn") * 10).cast("double")
+    ids = c.select("n").distinct()
+    now = gather(c.where("not (n % 11 = 3 and turn = 0)"), {"sid": sid, "speaker_en": F.col("role"), "start": start, "text_en": F.col("text")})
+    name, day = F.concat(F.lit("r-"), "n").alias("id"), F.expr(_DAY)
+    title = F.concat(F.lit("Talk "), "n")
+    index = ids.where("n % 10 <> 9").select(name, F.lit("speech").alias("type"), day.alias("day"), F.lit("unused").alias("title"), F.concat(F.lit("https://x.example/"), "n").alias("source_url"))
+    parts = ids.join(now, "n", "left").select(name, title.alias("title"), F.lit("About").alias("summary"), F.lit(None).cast("string").alias("embed_url"), F.expr(_NOW).alias("kind"), "segments", F.lit(None).cast("string").alias("transcript_source"), "n")
+    transcripts, details = parts.where("n % 2 = 0").drop("n"), parts.where("n % 2 = 1").drop("n")
+    old = gather(c.where("n % 8 <> 7"), {"sid": sid, "speaker_en": F.expr(_OLD_ROLE), "start": start, "text_en": F.expr(_OLD_TEXT), "text_zh": F.concat(F.lit("译"), "turn"), "speaker_zh": F.lit("人")})
+    # The snapshot before was itself built, from the older texts, so that its hashes are those of a build.
+    empty = spark.createDataFrame([], B.RECORD)
+    older = old.select(name, F.expr(_OLD_TITLE).alias("title"), F.lit("About").alias("summary"), F.lit(None).cast("string").alias("embed_url"), F.lit("dialogue").alias("kind"), F.expr("transform(segments, s -> struct(s.sid as sid, s.speaker_en as speaker_en, s.start as start, s.text_en as text_en))").alias("segments"), F.lit(None).cast("string").alias("transcript_source"))
+    listed = ids.where("n % 8 <> 7").select(name, F.lit("speech").alias("type"), F.lit("2024-01-01").alias("day"), F.lit("unused").alias("title"), F.concat(F.lit("https://x.example/"), "n").alias("source_url"))
+    first = B.build(listed, older, older.limit(0), empty, "s1", "then").drop("outcome", "segments", "title_zh", "summary_zh", "status", "source_missing")
+    before = first.join(old.select(name, "segments", (F.col("n") % 30 == 19).alias("source_missing")), "id").withColumns({"title_zh": F.lit("题"), "summary_zh": F.lit("要"), "status": F.lit("reviewed")}).select(*B.COLUMNS)
+    out = B.build(index, transcripts, details, before, "s2", "now")
+    kept = F.size(F.filter("segments", lambda s: s["text_zh"] != ""))
+    return out.select("id", "outcome", "status", "title_zh", "snapshot", F.size("segments").alias("segments"), kept.alias("kept"), "source_missing")
