@@ -5,7 +5,9 @@
    than its article: navigation, headers and footers outside the article, asides, dialogs, and elements
    whose class, id or role names a menu, sidebar, notice, advert, share bar or reader comments. A name that only mentions such a word
    (as ``has-sidebar`` or ``share-price``) may be that of a wrapper: the element stays if it holds the page's only content
-   containers, or ``WRAPS`` times the text that stands outside all elements named so.
+   containers, or ``WRAPS`` times the text that stands outside all elements named so. Inside an article names decide little: headings, paragraphs, items and cells stay whatever
+   they are called; a division called an advert, a notice to sign up or reader comments goes, one called anything else only if half of
+   its text or more is in links.
 2. The text lengths of the lines are summed over a sliding window. The distribution surges where the main text starts
    and dives where it ends; the stretches between a surge and its dive are the article's core. Text in links weighs nothing, and
    a line counts at most LINE_CAP characters here, so that one very long line doesn't hide the others.
@@ -41,10 +43,10 @@ LINE_CAP, PURE = 240, 0.8
 WRAPS = 4
 #: A tag ends before the next "<" outside its quoted values, so that a broken one costs no more than its own length.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^<>])*+)>|<[!?][^<>]*>", re.S)
-RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "noframes", "xmp")}
-BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
+RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "object", "canvas", "noframes", "xmp")}
+BLOCKS = frozenset("xmp address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("nav footer aside form button select dialog menu head script style label fieldset".split())
+DROPPED = frozenset("nav footer aside form button select dialog menu head script style".split())
 CONTENT = frozenset(["article", "main"])
 DIVISIONS = frozenset(["div", "section", "td"])
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -61,6 +63,13 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 SCOPES = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table"]), "td": frozenset(["tr", "table"]), "th": frozenset(["tr", "table"]), "option": frozenset(["select"])}
 
 
+#: Names that stand for the same inside an article, for its divisions; and those that do for all its elements but headings.
+UNWANTED = frozenset("comment comments commentlist disqus respond reply replies cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login".split())
+ADVERTS = frozenset("ad ads advert adverts advertisement advertisements adsense sponsor sponsored promo promotion".split())
+BOXES = frozenset("div section ul ol dl table center details".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
 def attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): references.unescape((m[2] or "").strip("\"'")) for m in ATTRIBUTE.finditer(raw)} if "=" in raw or raw.strip() else {}
 
@@ -77,18 +86,24 @@ def is_noise(tag: str, attrs: dict[str, str], in_content: bool) -> int:
     for name in (attrs.get("class", "") + " " + attrs.get("id", "")).split():
         words = [w.lower() for w in WORDS.findall(name)]
         if NOISE.intersection(words) and not (words[0] in OWN and words[-1] in ("header", "content")):
-            found = max(found, 2 if NOISE.union(PLAIN).issuperset(words) else 1)
+            level = 2 if NOISE.union(PLAIN).issuperset(words) else 1
+            if in_content:
+                # Inside an article a name counts for divisions, and that of an advert for paragraphs and items too.
+                sure = level == 2 and (tag in BOXES and UNWANTED.intersection(words) or tag not in HEADINGS and ADVERTS.intersection(words))
+                sure = sure or tag in BOXES and words[0] in ADVERTS and len(words) == 2  # as in "ad-slot"
+                level = 2 if sure else 1 if tag in BOXES else 0
+            found = max(found, level)
     return found
 
 
 def lines(page: str) -> tuple[list[tuple[str, int, int, int]], list[int]]:
-    """(text, characters outside links, numbers of the innermost content container and of the innermost division around it, 0
+    """(text, characters that weigh, numbers of the innermost content container and of the innermost division around it, 0
     for none) of each block outside boilerplate; and by a container's number that of the next one of its kind around it.
     Containers are numbered from outside in."""
-    out: list[tuple[str, int, int, int, int]] = []
+    out: list[tuple[str, int, int, int, int, int]] = []
     parents = [0]
-    #: By a doubtful element's number: the doubtful one around it, and whether a content container lies in it.
-    doubts, holding = [0], [False]
+    #: By a doubtful element's number: the doubtful one around it, whether a content container lies in it, and whether it lies in one.
+    doubts, holding, inside = [0], [False], [False]
     stack: list[tuple[str, bool, list[int] | None]] = []  # tag, noise, where it is noted
     count: dict[str, int] = {}
     endless: set[str] = set()
@@ -109,7 +124,8 @@ def lines(page: str) -> tuple[list[tuple[str, int, int, int]], list[int]]:
     def flush() -> None:
         line = " ".join("".join(parts).split())
         if line:
-            out.append((line, min(state["free"], len(line)), content[-1] if content else 0, divisions[-1] if divisions else 0, doubtful[-1] if doubtful else 0))
+            # Links weigh nothing but inside an article.
+            out.append((line, len(line) if content else min(state["free"], len(line)), min(state["free"], len(line)), content[-1] if content else 0, divisions[-1] if divisions else 0, doubtful[-1] if doubtful else 0))
         parts.clear()
         state["free"] = 0
 
@@ -134,6 +150,12 @@ def lines(page: str) -> tuple[list[tuple[str, int, int, int]], list[int]]:
         tag = m[2].lower()
         if not m[1] and tag in RAW and not m[3].rstrip().endswith("/"):
             end = None if tag in endless else RAW[tag].search(page, at)
+            if tag == "xmp":
+                flush()
+                text(references.escape(page[at : end.start() if end else len(page)]))
+                flush()
+                at = end.end() if end else len(page)
+                continue
             if not end:
                 endless.add(tag)
             at = end.end() if end else len(page) if tag in ("script", "style", "textarea", "title") else at
@@ -168,6 +190,7 @@ def lines(page: str) -> tuple[list[tuple[str, int, int, int]], list[int]]:
             flush()
             doubts.append(doubtful[-1] if doubtful else 0)
             holding.append(False)
+            inside.append(bool(content))
             doubtful.append(len(doubts) - 1)
             noted = doubtful
         else:
@@ -186,27 +209,30 @@ def lines(page: str) -> tuple[list[tuple[str, int, int, int]], list[int]]:
             noted.append(len(parents) - 1)
     text(page[at:])
     flush()
-    return told(out, doubts, holding, state["outside"]), parents
+    return told(out, doubts, holding, inside, state["outside"]), parents
 
 
-def told(found: list[tuple], doubts: list[int], holding: list[bool], outside: bool) -> list[tuple[str, int, int, int]]:
-    """The lines without those in doubtful elements that are no wrappers."""
+def told(found: list[tuple], doubts: list[int], holding: list[bool], inside: list[bool], outside: bool) -> list[tuple[str, int, int, int]]:
+    """The lines without those in doubtful elements that are no wrappers and, inside an article, mostly links."""
     if len(doubts) == 1:
-        return [row[:4] for row in found]
-    weights, free = [0] * len(doubts), 0
+        return [(*row[:2], *row[3:5]) for row in found]
+    weights, sizes, frees, free = [0] * len(doubts), [0] * len(doubts), [0] * len(doubts), 0
     for row in found:
-        weights[row[4]] += row[1]
-        free += 0 if row[4] else row[1]
+        weights[row[5]] += row[1]
+        sizes[row[5]] += len(row[0])
+        frees[row[5]] += row[2]
+        free += 0 if row[5] else row[1]
     holds = list(holding)
     for i in range(len(doubts) - 1, 0, -1):
         if doubts[i]:
-            weights[doubts[i]] += weights[i]
+            for sums in (weights, sizes, frees):
+                sums[doubts[i]] += sums[i]
             holds[doubts[i]] |= holds[i]
     kept = [True]
     for i in range(1, len(doubts)):
-        wraps = holds[i] and not outside or weights[i] >= WRAPS * max(free, 1)
-        kept.append(kept[doubts[i]] and wraps)
-    return [row[:4] for row in found if kept[row[4]]]
+        own = 2 * frees[i] > sizes[i] if inside[i] else holds[i] and not outside or weights[i] >= WRAPS * max(free, 1)
+        kept.append(kept[doubts[i]] and own)
+    return [(*row[:2], *row[3:5]) for row in found if kept[row[5]]]
 
 
 def stretches(sizes: list[int]) -> list[tuple[int, int]]:

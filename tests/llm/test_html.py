@@ -113,3 +113,71 @@ def test_broken_markup_costs_its_length(page):
     began = time.time()
     html.main_text(page)
     assert time.time() - began < 10
+
+
+INSIDE = [
+    ('<section id="related"><h2>Related work</h2><p>Many have written on this before us, at length.</p></section>', ["Related work", "Many have written on this before us, at length."]),
+    ('<div class="header"><h1>The title</h1></div>', ["The title"]),
+    ('<div class="alert">Mind the step at the door.</div>', ["Mind the step at the door."]),
+    ('<p class="comment">This is a remark of the author.</p>', ["This is a remark of the author."]),
+    ('<div class="copyright-law"><p>Copyright law protects works.</p></div>', ["Copyright law protects works."]),
+    ('<section class="share-price"><p>The share price rose.</p></section>', ["The share price rose."]),
+    ('<h2 id="comments">Comments on the text</h2>', ["Comments on the text"]),
+    ('<h2 id="navigation">How birds navigate</h2>', ["How birds navigate"]),
+    ('<h3 id="advertisement">On advertisement</h3>', ["On advertisement"]),
+    ('<h3 class="social-comment">Social comment</h3>', ["Social comment"]),
+    ("<p>Tick the <label>box</label> here.</p>", ["Tick the box here."]),
+    ("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p>", ["Let x=2 be."]),
+    ("<xmp><b>code</b> &amp;</xmp>", ["<b>code</b> &amp;"]),
+    ('<div class="related"><a href=1>Another story</a> <a href=2>One more</a></div>', []),
+    ('<div class="share-buttons"><a href=1>Tweet</a></div>', []),
+    ('<div class="ad-slot">Buy now</div><p class="advertisement">Buy this</p><div id="newsletter">Sign up to our letters today</div>', []),
+    ('<section class="comments"><h3>Comments</h3><p>A reader says very much about this text.</p></section>', []),
+    ("<aside>Side</aside><nav>Menu</nav><footer>Foot</footer><form>Ask <label>name</label></form>", []),
+]
+
+
+@pytest.mark.parametrize("piece, kept", INSIDE)
+def test_names_decide_little_inside_an_article(piece, kept):
+    first, last = "The first sentence of a text that goes on for a while.", "The last sentence of a text that went on for a while."
+    page = f"<nav><a href=1>Home</a></nav><article><p>{first}</p>{piece}<p>{last}</p></article><footer>Foot of the page</footer>"
+    assert html.main_text(page).split("\n") == [first, *kept, last]
+
+
+def test_an_article_of_links_keeps_its_text():
+    body = "".join(f"<p><a href={i}>Entry number {i} of the list of all things</a></p>" for i in range(6))
+    assert len(html.main_text(f"<div><a href=1>menu</a></div><article>{body}</article>").split("\n")) == 6
+    assert len(html.main_text(f"<p>Welcome to this site, dear reader.</p><article>{body}</article>").split("\n")) >= 6
+
+
+def line_blocks(texts, window=html.WINDOW):
+    """Surge and dive by definition: windows of at least a share of the largest one, and the lines that they cover."""
+    sizes = [min(len(t), html.LINE_CAP) for t in texts]
+    sums = [sum(sizes[i : i + window]) for i in range(len(sizes))]
+    least, kept, i = html.SURGE * max(sums), set(), 0
+    while i < len(texts):
+        if sums[i] >= least and sizes[i]:
+            j = i
+            while j < len(texts) and sums[j] >= least:
+                j += 1
+            kept |= set(range(i, j))
+            i = j
+        i += 1
+    return [t for i, t in enumerate(texts) if i in kept]
+
+
+def test_pages_without_marks_equal_line_blocks(monkeypatch):
+    import random
+
+    rng, differs = random.Random(8), 0
+    for _ in range(60):
+        texts = []
+        for _ in range(rng.randrange(2, 5)):
+            texts += [f"t{rng.randrange(10)}" for _ in range(rng.randrange(6, 12))] + [" ".join(["word"] * rng.randrange(25, 60)) for _ in range(rng.randrange(3, 8))]
+        texts += ["x"] * 8
+        page = "<body>" + "".join(f"<p>{t}</p>" for t in texts) + "</body>"
+        assert html.main_text(page).split("\n") == line_blocks(texts)
+        with monkeypatch.context() as m:
+            m.setattr(html, "stretches", lambda sizes: [(0, len(sizes))])
+            differs += html.main_text(page).split("\n") != line_blocks(texts)
+    assert differs == 60
