@@ -12,11 +12,12 @@ Weak kinds are candidates; a weak candidate is a finding only if complementary p
   endpoint  an http(s) address                  needs an identifier part and a secret part
 
 :func:`redact` links more: it measures the gap between the spans, so that a long part doesn't hide the one beside it, and takes
-identifier names in either case. :func:`find_secrets` keeps to its SQL: distance of the starts, lower-case identifier names.
+identifier names in either case. :func:`find_secrets` reports both: ``spans`` by the distance of the starts and with lower-case identifier
+names, ``linked_spans`` as they are masked.
 
 Every text is the scope boundary, so the interval join runs inside the row: all parts of a text stand in one array in text order, and
-two cumulative passes (:func:`around`) give each part the nearest secret and identifier before and after it. So the work grows with
-a text's parts, not with their pairs. Nothing is shuffled, and a hot source or group of copies has no effect.
+two cumulative passes (:func:`around`) give each part the nearest secret and identifier before and after it. The passes go by chunks
+(:func:`scanned`), so that n parts cost n * sqrt(n) copies, not n * n. Nothing is shuffled, and a hot source or group of copies has no effect.
 
 Results for odd rows: a null or empty text has no spans; ties in start are ordered by kind in the
 order above; repeated rows give repeated results; an empty table gives an empty result; other columns
@@ -45,32 +46,68 @@ ENDPOINT = r"https?://[A-Za-z0-9.-]+[^\s\"'<>]*"
 SPAN = "array<struct<start:int,end:int,kind:int>>"
 
 
-def spans(text: Column, pattern: str, kind: str, least: int, group: int = 0) -> Column:
-    """Leftmost non-overlapping matches whose group has at least so many characters.
+def let(value: Column, body) -> Column:
+    """body(value) with the value evaluated once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def cut(rows: Column) -> Column:
+    """An array in about sqrt(n) chunks of as many rows; an empty one is one empty chunk."""
+    size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(rows))).cast("int"))
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(rows) / size).cast("int") - 1)), lambda i: F.slice(rows, i * size + 1, size))
+
+
+def scanned(rows: Column, start: Column, total, step, kind: str) -> Column:
+    """The outputs of a running fold over an array, as one array.
+
+    An array that grows by one is copied each time, so n rows in one fold would cost n * n. Rows are cut into chunks of about sqrt(n):
+    ``total(state, x)`` folds each chunk to a state, the states are folded over the chunks, and each chunk then folds from its own state.
+    step(state, x) is (next state, array of outputs); kind is the outputs' type. That costs n * sqrt(n) copies of references."""
+
+    def whole(c: Column) -> Column:
+        empty = F.struct(start.alias("s"), F.slice(F.array(start), 1, 0).alias("out"))
+        before = F.aggregate(c, empty, lambda acc, x: F.struct(F.aggregate(x, acc["s"], total).alias("s"), F.concat(acc["out"], F.array(acc["s"])).alias("out")), lambda acc: acc["out"])
+        none = F.expr(f"cast(array() as {kind})")
+
+        def inner(x: Column, s: Column) -> Column:
+            def one(acc: Column, row: Column) -> Column:
+                after, found = step(acc["s"], row)
+                return F.struct(after.alias("s"), F.concat(acc["out"], found).alias("out"))
+
+            return F.aggregate(x, F.struct(s.alias("s"), none.alias("out")), one, lambda acc: acc["out"])
+
+        return F.flatten(F.zip_with(c, before, inner))
+
+    return let(rows, lambda r: let(cut(r), whole))
+
+
+def spans(text: Column, pattern: str, kind: str, least: int, group: int = 0, mixed: bool = False) -> Column:
+    """Leftmost non-overlapping matches whose group has at least so many characters (mixed: and a digit and a letter).
 
     Splitting by the pattern gives the gaps between the matches; the running sum of the lengths of
     gaps and matches gives the positions."""
     n = F.lit(KINDS.index(kind))
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     group_hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    good = lambda g: (F.length(g) >= least) & g.rlike("[0-9]") & g.rlike("[A-Za-z]") if mixed else F.length(g) >= least
     lengths = F.zip_with(
         F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda a, b: F.struct(F.length(a).alias("gap"), F.length(b).alias("hit"))),
         group_hits,
-        lambda x, g: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), (F.length(g) >= least).alias("keep")),
+        lambda x, g: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), good(g).alias("keep")),
     )
-    empty = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start, end = acc["at"] + x["gap"], acc["at"] + x["gap"] + x["hit"]
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start, end = at + x["gap"], at + x["gap"] + x["hit"]
         found = F.array(F.struct(start.alias("start"), end.alias("end"), n.alias("kind")))
-        return F.struct(end.alias("at"), F.when(x["keep"], F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
+        return end, F.when(x["keep"], found).otherwise(F.expr(f"cast(array() as {SPAN})"))
 
-    return F.aggregate(lengths, empty, step, lambda acc: acc["out"])
+    return scanned(lengths, F.lit(0), lambda at, x: at + x["gap"] + x["hit"], step, SPAN)
 
 
 #: Stands for no part before, and for none after.
 NONE_BEFORE, NONE_AFTER = -(1 << 30), 1 << 30
 PASS = "array<struct<a:int,b:int>>"
+HIDDEN = "array<struct<from:int,start:int,end:int>>"
 
 
 def around(parts: Column, is_a: Column, is_b: Column, reach: str) -> Column:
@@ -78,14 +115,10 @@ def around(parts: Column, is_a: Column, is_b: Column, reach: str) -> Column:
     start of those from it on, as struct(part, a, b, next_a, next_b). is_a and is_b are functions of a part."""
 
     def run(rows: Column, start: int, value, better) -> Column:
-        empty = F.struct(F.lit(start).alias("a"), F.lit(start).alias("b"), F.expr(f"cast(array() as {PASS})").alias("out"))
-
-        def step(acc: Column, x: Column) -> Column:
-            a = F.when(is_a(x), better(acc["a"], value(x))).otherwise(acc["a"])
-            b = F.when(is_b(x), better(acc["b"], value(x))).otherwise(acc["b"])
-            return F.struct(a.alias("a"), b.alias("b"), F.concat(acc["out"], F.array(F.struct(a.alias("a"), b.alias("b")))).alias("out"))
+        def total(s: Column, x: Column) -> Column:
+            return F.struct(F.when(is_a(x), better(s["a"], value(x))).otherwise(s["a"]).alias("a"), F.when(is_b(x), better(s["b"], value(x))).otherwise(s["b"]).alias("b"))
 
-        return F.aggregate(rows, empty, step, lambda acc: acc["out"])
+        return scanned(rows, F.struct(F.lit(start).alias("a"), F.lit(start).alias("b")), total, lambda s, x: (total(s, x), F.array(total(s, x))), PASS)
 
     before = run(parts, NONE_BEFORE, lambda x: x[reach], F.greatest)
     after = F.reverse(run(F.reverse(parts), NONE_AFTER, lambda x: x["start"], F.least))
@@ -119,9 +152,7 @@ def with_spans(docs: DataFrame, text_col: str = "text", scope: int = SCOPE, whol
     df = df.withColumn("_base", F.array_sort(F.concat("_assign", "_access", "_hex")))
     df = df.withColumn("_ids", F.concat("_access", "_id"))
     # Keys and addresses can only be findings beside an identifier part.
-    df = df.withColumn("_key", gate(F.size("_ids") > 0, spans(F.col("_t"), KEY, "key", 32)))
-    mixed = lambda x: F.substring(F.col("_t"), x["start"] + 1, x["end"] - x["start"]).rlike("[0-9]") & F.substring(F.col("_t"), x["start"] + 1, x["end"] - x["start"]).rlike("[A-Za-z]")
-    df = df.withColumn("_key", F.filter("_key", mixed))
+    df = df.withColumn("_key", gate(F.size("_ids") > 0, spans(F.col("_t"), KEY, "key", 32, mixed=True)))
     kinds = {k: KINDS.index(k) for k in KINDS}
     # Keys inside or across base spans are none: such a base span ends after the key's start, or starts before its end.
     of_key, of_base = (lambda x: x["kind"] == kinds["key"]), (lambda x: x["kind"] <= kinds["hex"])
@@ -150,14 +181,18 @@ def digest(found: Column) -> Column:
 
 
 def find_secrets(docs: DataFrame, key: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
-    df = with_spans(docs.select(key, text_col), text_col, scope)
+    """(key, n_assign, n_access, n_hex, base_sha256, spans, linked_spans): the spans linked by the distance of their starts, and those that
+    :func:`redact` masks, linked by the gaps between them and with identifier names in either case."""
+    df = with_spans(docs.select(key, text_col), text_col, scope).select(key, text_col, "_assign", "_access", "_hex", "_base", F.col("_all").alias("_near"))
+    df = with_spans(df, text_col, scope, whole=True)
     return df.select(
         key,
         F.size("_assign").cast("long").alias("n_assign"),
         F.size("_access").cast("long").alias("n_access"),
         F.size("_hex").cast("long").alias("n_hex"),
         F.sha2(digest(F.col("_base")), 256).alias("base_sha256"),
-        digest(F.col("_all")).alias("spans"),
+        digest(F.col("_near")).alias("spans"),
+        digest(F.col("_all")).alias("linked_spans"),
     )
 
 
@@ -167,12 +202,18 @@ def redact(docs: DataFrame, text_col: str = "text", scope: int = SCOPE, mask: st
     A null text stays null; n_chars, where there is one, follows the new text."""
     df = with_spans(docs.select(text_col, F.struct(*docs.columns).alias("_row")), text_col, scope, whole=True)
     t = F.col(text_col)
-
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(t, acc["at"] + 1, x["start"] - acc["at"])
-        return F.when(x["start"] >= acc["at"], F.struct(x["end"].alias("at"), F.concat(acc["out"], gap, F.lit(mask)).alias("out"))).otherwise(F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out")))
-
-    masked = F.aggregate(F.col("_all"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
+    upto = lambda at, x: F.greatest(at, x["end"])
+    hidden = scanned(F.col("_all"), F.lit(0), upto, lambda at, x: (upto(at, x), F.array(F.struct(at.alias("from"), x["start"].alias("start"), upto(at, x).alias("end")))), HIDDEN)
+
+    def piece(chunk: Column) -> Column:
+        """A chunk's stretch of the text, with its spans masked; a span that begins within one before it adds to that one's mask."""
+        begin = F.get(chunk, 0)["from"]
+        part = F.substring(t, begin + 1, F.get(chunk, F.size(chunk) - 1)["end"] - begin)
+        one = lambda p, x: F.when(x["start"] >= x["from"], F.concat(F.substring(p, x["from"] - begin + 1, x["start"] - x["from"]), F.lit(mask))).otherwise("")
+        return let(part, lambda p: F.array_join(F.transform(chunk, lambda x: one(p, x)), ""))
+
+    # Finding a place in a text costs its length, so that the text is cut by chunks of spans first.
+    masked = let(hidden, lambda h: F.concat(F.array_join(F.transform(cut(h), piece), ""), F.substring(t, F.get(h, F.size(h) - 1)["end"] + 1, F.length(t))))
     found = F.size("_all") > 0
     new = {text_col: F.when(found, masked).otherwise(t)}
     if "n_chars" in docs.columns:
@@ -192,18 +233,25 @@ def _sql_spans(pattern: str, kind: str, least: int, group: int) -> str:
         'least': length(regexp_extract_all(t, '{p}', {group})[i])}}), lambda x: x.least >= {least}), lambda x: {{'start': x.start, 'kind': x.kind, 'end': CAST(x.start + x.size AS INT)}})"""
 
 
-_NEAR = "len(list_filter({}, lambda p: abs(p.start - x.start) <= " + str(SCOPE) + ")) > 0"
+_BY_STARTS = f"abs(p.start - x.start) <= {SCOPE}"
+_BY_GAPS = f"greatest(x.start - p.end, p.start - x.end) <= {SCOPE}"
 _JOINED = "array_to_string(list_transform(list_sort({}), lambda x: ['" + "','".join(KINDS) + "'][x.kind + 1] || ':' || x.start || ':' || x.end), ',')"
-ORACLE = f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-a AS (SELECT doc_id, t, {_sql_spans(ASSIGN, "assign", 6, 2)} AS assign, {_sql_spans(ACCESS, "access", 20, 0)} AS access, {_sql_spans(HEX, "hex", 24, 0)} AS hex, {_sql_spans(ID, "id", 4, 2)} AS id FROM d),
+
+
+def _oracle(names: str, within: str) -> str:
+    near = "len(list_filter({}, lambda p: " + within + ")) > 0"
+    return f"""(WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+a AS (SELECT doc_id, t, {_sql_spans(ASSIGN, "assign", 6, 2)} AS assign, {_sql_spans(ACCESS, "access", 20, 0)} AS access, {_sql_spans(HEX, "hex", 24, 0)} AS hex, {_sql_spans(names, "id", 4, 2)} AS id FROM d),
 b AS (SELECT *, list_concat(list_concat(assign, access), hex) AS base, list_concat(access, id) AS ids FROM a),
 c AS (SELECT *, list_filter(CASE WHEN len(ids) > 0 THEN {_sql_spans(KEY, "key", 32, 0)} ELSE [] END, lambda x: regexp_matches(substring(t, x.start + 1, x.end - x.start), '[0-9]') AND regexp_matches(substring(t, x.start + 1, x.end - x.start), '[A-Za-z]') AND len(list_filter(base, lambda b: b.start < x.end AND x.start < b.end)) = 0) AS keys FROM b),
 e AS (SELECT *, list_concat(list_concat(assign, hex), keys) AS secrets FROM c),
 f AS (SELECT *, CASE WHEN len(ids) > 0 AND len(secrets) > 0 THEN {_sql_spans(ENDPOINT, "endpoint", 8, 0)} ELSE [] END AS endpoints FROM e),
-g AS (SELECT *, list_concat(base, list_concat(list_filter(id, lambda x: {_NEAR.format("secrets")}), list_concat(list_filter(keys, lambda x: {_NEAR.format("ids")}), list_filter(endpoints, lambda x: {_NEAR.format("ids")} AND {_NEAR.format("secrets")})))) AS found FROM f)
+g AS (SELECT *, list_concat(base, list_concat(list_filter(id, lambda x: {near.format("secrets")}), list_concat(list_filter(keys, lambda x: {near.format("ids")}), list_filter(endpoints, lambda x: {near.format("ids")} AND {near.format("secrets")})))) AS found FROM f)
 SELECT doc_id, CAST(len(assign) AS BIGINT) AS n_assign, CAST(len(access) AS BIGINT) AS n_access, CAST(len(hex) AS BIGINT) AS n_hex,
-  sha256({_JOINED.format("base")}) AS base_sha256, {_JOINED.format("found")} AS spans FROM g"""
+  sha256({_JOINED.format("base")}) AS base_sha256, {_JOINED.format("found")} AS spans FROM g)"""
+
+
+ORACLE = f"SELECT s.*, l.spans AS linked_spans FROM {_oracle(ID, _BY_STARTS)} s JOIN {_oracle(ANY_ID, _BY_GAPS)} l ON s.doc_id = l.doc_id"
 
 QUERIES = {"op8_secret_linking": op8_secret_linking}
 SQL = {"op8_secret_linking": ORACLE}
