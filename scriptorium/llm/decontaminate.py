@@ -12,7 +12,8 @@ of each other. So per batch:
 q is ``Q``, or for a short item the greatest that leaves a bound of 1 or more: n // (e + 1). Shared q-grams are expanded to
 ``PAIRS`` at a time and summed up, so that memory doesn't grow with their number. An item that repeats itself (``REPEATS`` places a distinct q-gram)
 would share each place of a text that repeats likewise with many of its own; for such items the places of a text whose q-gram the item
-has at all are counted in overlapping windows of twice n + e, by the same bound, and windows that meet it are verified.
+has at all are counted in overlapping windows of twice n + e, by the same bound, and windows that meet it are verified. All such items of one q share
+one index of distinct q-grams, with a bitmap of its own. Items below ``Q`` characters are looked up by runs of words.
 
 Q-grams that occur in very many items are left out of an item's counts only as far as its bound can be lowered by as many, so
 the filter loses nothing. Items are a stated query set against all rows: they are broadcast in blocks of
@@ -110,7 +111,7 @@ class Index:
     items: list[np.ndarray]
     edits: np.ndarray
     bounds: np.ndarray
-    short: list[int]
+    short: dict[str, list[int]]
     levels: list[Grams]
     windowed: list[Grams]
 
@@ -133,10 +134,11 @@ def build(rows: list[tuple[object, str | None]], share: float) -> Index:
     levels, windowed, none = [], [], np.zeros(0, np.int64)
     for q in sorted({q for q in lengths if q}):
         parts = {i: grams(folded(items[i]), q) for i, own in enumerate(lengths) if own == q}
-        repetitive = {i for i, p in parts.items() if len(p) >= REPEATS * len(np.unique(p))}
-        for i in repetitive:
-            distinct = np.unique(parts[i])
-            windowed.append(gathered(q, distinct, np.full(len(distinct), i, np.int64), np.zeros(len(distinct), np.int64)))
+        distinct = {i: np.unique(p) for i, p in parts.items()}
+        repetitive = {i: d for i, d in distinct.items() if len(parts[i]) >= REPEATS * len(d)}
+        if repetitive:
+            owners = np.concatenate([np.full(len(d), i, np.int64) for i, d in repetitive.items()])
+            windowed.append(gathered(q, np.concatenate([*repetitive.values()]), owners, np.zeros(len(owners), np.int64)))
         parts = {i: p for i, p in parts.items() if i not in repetitive}
         codes = np.concatenate([np.zeros(0, np.uint64), *parts.values()])
         owners = np.concatenate([none, *[np.full(len(p), i, np.int64) for i, p in parts.items()]])
@@ -152,7 +154,15 @@ def build(rows: list[tuple[object, str | None]], share: float) -> Index:
         bounds = bounds - np.bincount(owners[drop], minlength=len(bounds))
         if len(codes):
             levels.append(gathered(q, codes[~drop], owners[~drop], places[~drop]))
-    return Index([i for i, _ in rows], items, edits, bounds, [i for i, x in enumerate(items) if 0 < len(x) < Q], levels, windowed)
+    short: dict[str, list[int]] = {}
+    for i, x in enumerate(items):
+        if 0 < len(x) < Q:
+            short.setdefault(string(x), []).append(i)
+    return Index([i for i, _ in rows], items, edits, bounds, short, levels, windowed)
+
+
+def string(points: np.ndarray) -> str:
+    return points.tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def distances(item: np.ndarray, region: np.ndarray, low: int, high: int) -> np.ndarray:
@@ -210,8 +220,9 @@ def summed(text: np.ndarray, owner: np.ndarray, band: np.ndarray, size: np.ndarr
     return text[first], owner[first], band[first], np.add.reduceat(size, first) if len(first) else size[:0]
 
 
-def banded(index: Index, level: Grams, letters: np.ndarray, firsts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """(text, item, first diagonal, last diagonal) of the bands that meet the bound."""
+def counted(level: Grams, letters: np.ndarray, firsts: np.ndarray, number) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, item, number, size): how many shared q-grams each text and item have by the number that ``number(place, text, item, place in the item)``
+    gives them. They are expanded and summed PAIRS at a time."""
     at, own = shared(level, letters, firsts)
     counts = level.starts[own + 1] - level.starts[own]
     parts = []
@@ -220,10 +231,14 @@ def banded(index: Index, level: Grams, letters: np.ndarray, firsts: np.ndarray)
         rows = np.repeat(level.starts[c] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         a = np.repeat(a, n)
         text, owner = np.searchsorted(firsts, a, "right") - 1, level.owners[rows]
-        # Diagonals from the text's start; a region may start up to e before it.
-        band = (a - firsts[text] - level.places[rows] + firsts[-1]) // (index.edits[owner] + 1)
-        parts.append(summed(text, owner, band, np.ones(len(a), np.int64)))
-    text, owner, band, size = summed(*map(np.concatenate, zip(*parts)))
+        parts.append(summed(text, owner, number(a, text, owner, level.places[rows]), np.ones(len(a), np.int64)))
+    return summed(*map(np.concatenate, zip(*parts)))
+
+
+def banded(index: Index, level: Grams, letters: np.ndarray, firsts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(text, item, first diagonal, last diagonal) of the bands that meet the bound."""
+    # Diagonals from the text's start; a region may start up to e before it.
+    text, owner, band, size = counted(level, letters, firsts, lambda a, t, o, p: (a - firsts[t] - p + firsts[-1]) // (index.edits[o] + 1))
     both = size.copy()
     follows = (text[1:] == text[:-1]) & (owner[1:] == owner[:-1]) & (band[1:] == band[:-1] + 1)
     both[:-1] += np.where(follows, size[1:], 0)
@@ -234,20 +249,35 @@ def banded(index: Index, level: Grams, letters: np.ndarray, firsts: np.ndarray)
 
 
 def windows(index: Index, level: Grams, letters: np.ndarray, firsts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """The same for an item that repeats itself: windows in which enough places have one of its q-grams."""
-    at, _ = shared(level, letters, firsts)
-    if not len(at):
-        return
-    o = int(level.owners[0])
-    step = len(index.items[o]) + int(index.edits[o])
-    text = np.searchsorted(firsts, at, "right") - 1
-    text, _, number, size = summed(text, np.zeros(len(at), np.int64), (at - firsts[text]) // step, np.ones(len(at), np.int64))
+    """The same for items that repeat themselves: windows in which enough places have one of an item's q-grams."""
+    steps = np.array([len(x) for x in index.items], np.int64) + index.edits
+    text, owner, number, size = counted(level, letters, firsts, lambda a, t, o, p: (a - firsts[t]) // steps[o])
     # A region lies in the window it starts in and the next one; it may also start in a window without a shared place.
-    for t, n in sorted({(t, n - k) for t, n in zip(text.tolist(), number.tolist()) for k in (0, 1) if n - k >= 0}):
-        own = slice(*np.searchsorted(text, [t, t + 1]))
-        a, b = np.searchsorted(number[own], [n, n + 2])
-        if size[own][a:b].sum() >= index.bounds[o]:
-            yield t, o, n * step, (n + 1) * step - 1
+    follows = np.zeros(len(text), bool)
+    follows[1:] = (text[1:] == text[:-1]) & (owner[1:] == owner[:-1]) & (number[1:] == number[:-1] + 1)
+    both = size.copy()
+    both[:-1] += np.where(follows[1:], size[1:], 0)
+    bound = index.bounds[owner]
+    for k, back in [*((k, 0) for k in np.flatnonzero(both >= bound).tolist()), *((k, 1) for k in np.flatnonzero((size >= bound) & ~follows & (number > 0)).tolist())]:
+        n, step = int(number[k]) - back, int(steps[owner[k]])
+        yield int(text[k]), int(owner[k]), n * step, (n + 1) * step - 1
+
+
+def verbatim(short: dict[str, list[int]], text: str) -> Iterator[tuple[int, int, int]]:
+    """(item, start, end) where each short item stands first between spaces or ends: runs of words below Q characters are looked up."""
+    words, at, seen = text.split(" "), 0, set()
+    for i, word in enumerate(words):
+        run, j = word, i
+        while len(run) < Q:
+            if run in short and run not in seen:
+                seen.add(run)
+                for o in short[run]:
+                    yield o, at, at + len(run)
+            j += 1
+            if j == len(words):
+                break
+            run += " " + words[j]
+        at += len(word) + 1
 
 
 def search(index: Index, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
@@ -260,12 +290,8 @@ def search(index: Index, texts: list[str | None]) -> list[tuple[int, int, int, i
             for t, o, low, high in find(index, level, letters, firsts):
                 if hit := verify(index.items[o], pairs[t], low, high, int(index.edits[o])):
                     out.append((t, o, *hit))
-    for o in index.short:
-        want = f" {''.join(map(chr, index.items[o]))} "
-        for t, own in enumerate(pairs):
-            at = f" {''.join(map(chr, own))} ".find(want) if len(own) >= len(index.items[o]) else -1
-            if at >= 0:
-                out.append((t, o, at, at + len(index.items[o]), 0))
+    for t, own in enumerate(pairs if index.short else ()):
+        out += [(t, o, a, b, 0) for o, a, b in verbatim(index.short, string(own))]
     best: list = []
     for hit in sorted(out):
         if best and best[-1][:2] == hit[:2] and hit[2] < best[-1][3]:

@@ -108,3 +108,24 @@ def test_repetitive_items():
     assert {h[1] for h in d.search(index, ["ha " * 333_000])} == {0}
     assert tracemalloc.get_traced_memory()[1] < 400 << 20
     tracemalloc.stop()
+
+
+def test_many_short_and_repetitive_items():
+    """10,000 of each kind: one index and one look-up for all, and what they find equals a search for each."""
+    import pickle
+    import random
+    import time
+
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    short = [word(rng.randrange(1, 8)) if i % 3 else f"{word(2)} {word(3)}" for i in range(10_000)]
+    repetitive = [" ".join([word(4)] * 12) for _ in range(10_000)]
+    began = time.process_time()
+    index = d.build(list(enumerate(short + repetitive)), d.EDITS)
+    assert len(index.windowed) == 1 and len(pickle.dumps(index)) < 100 << 20
+    texts = [" ".join(rng.choice(short) if rng.random() < 0.2 else word(5) for _ in range(2000)) for _ in range(5)]
+    texts += ["x " + repetitive[7] + " y", repetitive[8] + " " + repetitive[9][:-1], ""]
+    found = {h[:2] for h in d.search(index, texts)}
+    assert time.process_time() - began < 30
+    want = {(t, o) for o, x in enumerate(short) for t, text in enumerate(texts) if f" {x} " in f" {text} "}
+    assert found == want | {(5, 10_007), (6, 10_008), (6, 10_009)}
