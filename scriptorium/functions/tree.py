@@ -84,7 +84,10 @@ class Builder(HTMLParser):
         for other in SIBLINGS.get(tag, ()):
             if self.at.tag == other:
                 self._up()
-        node = Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.at)
+        given: dict[str, str] = {}
+        for k, v in attrs:
+            given.setdefault(k, v or "")
+        node = Node(tag, given, self.at)
         self.at.children.append(node)
         if tag not in EMPTY:
             self.at = node
