@@ -156,7 +156,9 @@ def month(m: regex.Match, text: str) -> int | None:
     leads = regex.search(rf"\b(?:{DATE_LEADS})\s+$", before, regex.I)
     if name == "may":
         modal = m[1] == "may" and (regex.search(r"\b(?:this|it|that|we|you|they|i|he|she|who|which)\s+$", before, regex.I) and not regex.match(r"\s*[,./\d-]", after) or regex.match(r"\s+\d", after) and not leads)
-        if modal or regex.match(r"\s+(?:Musk|be|have|not)\b", after, regex.I):
+        # A capitalised word behind it makes it a first name, unless a month is asked for before it.
+        first_name = regex.match(r"\s+\p{Lu}\p{Ll}", after) and not (leads and leads[0].split()[0].lower() != "on")
+        if modal or first_name or regex.match(r"\s+(?:be|have|not)\b", after, regex.I):
             return None
     if m[1] == "march" and regex.search(r"\bto\s+$", before, regex.I):
         return None

@@ -56,14 +56,6 @@ def detail_graphs(spark, sf_dir):
     )
 
 
-@query(f"""
-WITH {WITH}, t AS (SELECT n, unnest(list_concat(['BreadcrumbList', 'ListItem', 'WebPage', CASE WHEN {VIDEO} THEN 'VideoObject' ELSE 'Article' END, CASE WHEN {web('thumbnail_url')} THEN 'ImageObject' END], CASE WHEN {web('source_url')} OR {web('archive_url')} OR {web('transcript_source')} THEN ['CreativeWork'] ELSE [] END)) AS type FROM records)
-SELECT type, count(*) AS records FROM t WHERE type IS NOT NULL GROUP BY type""")
-def json_ld_types(spark, sf_dir):
-    """How many records' structured data hold each type, at any depth."""
-    return S.json_types(S.detail_json_ld(records(spark, sf_dir), SITE), "n", "json").groupBy("type").agg(F.count(F.lit(1)).alias("records"))
-
-
 _KIND = "CASE type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.TYPES.items()) + " ELSE type END"
 
 

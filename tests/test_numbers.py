@@ -29,6 +29,8 @@ CASES = [
     ("He alone came.", "两个人来了。", "error"),
     ("Nov.25", "11月25日", "ok"),
     ("May I ask?", "我可以问吗？", "ok"),
+    ("We met on May Parker's birthday.", "我们在梅·帕克生日那天见面。", "ok"),
+    ("We met in May Parker Hall.", "我们5月在帕克厅见面。", "ok"),
     ("It may be 18 months.", "可能是18个月。", "ok"),
     ("They march to 977.", "他们走到977。", "ok"),
     ("Tens of thousands of people", "数万人", "ok"),
