@@ -22,19 +22,6 @@ def top_related(df: DataFrame, key: str, kind: str, org: str, recency: str, most
     return both.where(F.col("position") <= most).select(F.col("_key").alias(key), F.col(key).alias("related"), "position")
 
 
-def neighbours(df: DataFrame, key: str, order: list[Column], by: list[str]) -> DataFrame:
-    """Adds the keys before and after in the order, within groups that keep every window bounded."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("previous", F.lag(key).over(w)).withColumn("next", F.lead(key).over(w))
-
-
-def falls_behind(df: DataFrame, by: list[str], order: list[Column], value: Column, start: float = -1.0) -> DataFrame:
-    """Rows whose value is lower than the last valid (non-null, non-negative) one before."""
-    valid = F.when(value >= 0, value)
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("before", F.coalesce(F.last(valid, ignorenulls=True).over(w), F.lit(start))).where(valid < F.col("before"))
-
-
 def ranged(df: DataFrame, rank: Column, parts: int) -> DataFrame:
     """Adds _range: which of at most parts ranges of a rising number a row is in, by approximate percentiles (null: the first)."""
     shares = [i / parts for i in range(1, parts)]

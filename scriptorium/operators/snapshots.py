@@ -34,8 +34,3 @@ def merge_segments(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame
     same = (F.col("text_en") == F.col("_text")) & F.col("speaker_en").eqNullSafe(F.col("_speaker"))
     kept = {c: F.coalesce(F.when(same, F.col(c)), F.lit("")) for c in ("text_zh", "speaker_zh")}
     return new.join(o, keys, "left").select(*keys, "text_en", "speaker_en", *[v.alias(c) for c, v in kept.items()])
-
-
-def merged_status(table: DataFrame) -> Column:
-    """The state after a merge: kept if all inputs of the translation are equal, else pending."""
-    return F.when(F.coalesce(F.col("all_equal"), F.lit(False)), F.col("status")).otherwise("pending")
