@@ -28,4 +28,4 @@ def test_registered():
     import __spark_entry__
 
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
-    assert sorted(int(q[2:].split("_")[0]) for q in __spark_entry__.queries() if q.startswith("op")) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in __spark_entry__.queries() if q.startswith("op")) == list(range(1, 14))
