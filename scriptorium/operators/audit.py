@@ -140,7 +140,7 @@ def audit(records: DataFrame, segments: DataFrame, site: str, folder: str = "/it
     ids = records.select("place", "id")
     mine = segments.join(ids, "place")
     rules = [r for r in record_rules(site, folder) if not (incomplete and r.message == "not reviewed")]
-    checked = texts(records, mine).withColumn("level", numbers.integrity("source", F.coalesce("target", F.lit("")))["level"])
+    checked = texts(records, mine).withColumn("level", numbers.level(F.col("source"), F.coalesce("target", F.lit(""))))
     bodies = mine.groupBy("place", "id").agg(F.sum(F.length(F.trim(F.coalesce("text_en", F.lit(""))))).alias("source"), F.sum(F.length(F.trim(F.coalesce("text_zh", F.lit(""))))).alias("target"))
     found = [
         V.issues(records, "id", rules),

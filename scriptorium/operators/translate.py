@@ -94,7 +94,7 @@ def in_waves(units: DataFrame, run: Callable[[list[str]], list[str]], written: C
 
 
 def good_numbers(source: Column, target: Column) -> Column:
-    return numbers.integrity(source, F.coalesce(target, F.lit("")))["level"] != "error"
+    return numbers.level(source, F.coalesce(target, F.lit(""))) != "error"
 
 
 def plan(records: DataFrame, units: DataFrame, checkpoint: DataFrame, force: bool = False, resume: bool = True, good: Callable[[Column, Column], Column] = good_numbers) -> DataFrame:
