@@ -159,7 +159,7 @@ def returned(requested: DataFrame, rows: DataFrame, batch: str, good: Callable[[
 
     requested: batch, id, text, speaker; rows: batch, id, text_zh, speaker_zh. Faults: unexpected, duplicate, omitted, empty, no speaker, numbers. Where one unit
     was asked for and one row came back under an id that wasn't, the row is the unit's."""
-    good = good or (lambda source, target: numbers.integrity(source, F.coalesce(target, F.lit("")))["level"] != "error")
+    good = good or (lambda source, target: numbers.level(source, F.coalesce(target, F.lit(""))) != "error")
     one = lambda df, name: df.groupBy(batch).agg(F.count(F.lit(1)).alias(f"_n{name}"), F.first("id").alias(f"_id{name}"))
     alone = one(requested, "q").join(one(rows, "r"), batch).where("_nq = 1 and _nr = 1").select(batch, F.col("_idq").alias("_only"))
     named = rows.join(alone, batch, "left").withColumn("id", F.coalesce("_only", "id")).drop("_only")
