@@ -17,8 +17,8 @@ duplicates if their bags' weighted Jaccard similarity is at least ``SIMILARITY``
    hubs go, and so do buckets whose nodes are all of one component. A round's join makes at most one row for each (bucket, node) that is left.
    A large group of copies falls into one component after a round or two.
 5. What is left after ``HUB_ROUNDS`` rounds are nodes that share buckets without being alike, as texts around a common passage.
-   Their links are found by the prefix filter: two similar bags share one of the rarest elements of each (elements that only one component
-   has count as rarest; the prefix is as long as the threshold leaves free), so the bags are dealt anew by these elements
+   Their links are found by the prefix filter: two similar bags share one of the rarest elements of each (by the counts of slots of a
+   sketch of fixed size, which only bears on the work, not on the result; the prefix is as long as the threshold leaves free), so the bags are dealt anew by these elements
    and the rounds go on. Bounds by position in the prefix, by size and by class counts keep pairs that can't be similar out of the join's
    output. If a rarest element is still common, hubs grow in number (one for each of 1, 4, 16, ... slots of a hash), so every pair of
    different components meets: no link is lost and no group is expanded into all its pairs.
@@ -43,7 +43,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm.common import BROADCAST_ROWS, dropped, join_sized, pieces, table, tune, written
@@ -57,6 +57,8 @@ CROWD = 4
 CLASSES = 16
 #: Rounds of hubs before the bags left are dealt by their rarest elements.
 HUB_ROUNDS = 3
+#: Slots of the sketch that orders elements by frequency, and those of one row of it.
+SLOTS, SLOT_BLOCK = 1 << 18, 1 << 12
 #: Words a task remembers the hashes of; beyond that it starts anew.
 MEMO = 200_000
 #: Characters that are worked on at once.
@@ -198,18 +200,16 @@ def identity(key: str, text_col: str) -> list[Column]:
     return [F.coalesce(F.col(key).cast("long"), F.lit(LEAST_KEY)).alias("k"), F.xxhash64(text_col).alias("t")]
 
 
-def exploded(sets: DataFrame, *more: str) -> DataFrame:
-    """(element, node, more): the elements of the bags."""
+def exploded(sets: DataFrame) -> DataFrame:
+    """(element, node): the elements of the bags."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, bag in enumerate(batch.column(0).to_pylist()):
                 elements = np.frombuffer(bag, np.int32)
-                at = pa.array(np.full(len(elements), i))
-                yield pa.RecordBatch.from_arrays([pa.array(elements), *[c.take(at) for c in batch.columns[1:]]], names=["element", "node", *more])
+                yield pa.RecordBatch.from_arrays([pa.array(elements), batch.column(1).take(pa.array(np.full(len(elements), i)))], names=["element", "node"])
 
-    kinds = ", ".join(f"{c} {sets.schema[c].dataType.simpleString()}" for c in ("node", *more))
-    return sets.select("bag", "node", *more).mapInArrow(emit, f"element int, {kinds}")
+    return sets.select("bag", "node").mapInArrow(emit, "element int, node binary")
 
 
 def own_shingles(sets: DataFrame) -> DataFrame:
@@ -219,19 +219,60 @@ def own_shingles(sets: DataFrame) -> DataFrame:
     return written(alone.groupBy("node").agg(F.array(*[F.sum((kind == c).cast("int")).cast("int") for c in range(CLASSES)]).alias("own")), "neardup-own")
 
 
-def rarest(state: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(bucket, node, place, size, most, counts, before): the nodes by the elements of their prefix; before: the element's place.
+def slot_counts(sets: DataFrame) -> np.ndarray:
+    """How often the elements of each of SLOTS slots occur: a sketch of the elements' frequencies, of a fixed size."""
+    kinds = "block int, counts binary"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            total += np.bincount(slot_of(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32)), minlength=SLOTS)
+        rows = total.reshape(-1, SLOT_BLOCK)
+        used = np.flatnonzero(rows.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([rows[i].tobytes() for i in used], pa.binary())], names=["block", "counts"])
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOT_BLOCK, np.int64)
+        for batch in batches:
+            for counts in batch.column("counts").to_pylist():
+                total += np.frombuffer(counts, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "counts"])
+
+    out = np.zeros((SLOTS // SLOT_BLOCK, SLOT_BLOCK), np.int64)
+    for row in sets.select("bag").mapInArrow(count, kinds).groupBy("block").applyInArrow(add, kinds).collect():  # SLOTS numbers at most
+        out[row["block"]] = np.frombuffer(row["counts"], np.int64)
+    return out.reshape(-1)
+
+
+def slot_of(elements: np.ndarray) -> np.ndarray:
+    return (mix(elements.astype(np.uint64)) % np.uint64(SLOTS)).astype(np.int64)
+
 
-    Elements stand in the order of their frequency among these nodes, those of one component alone first. The place is counted from
-    the end, so that elements of one component alone need no row."""
+def prefixes(sets: DataFrame, often: np.ndarray, least: float) -> DataFrame:
+    """(bucket, node, root, before): the elements that two similar bags share one of. They are the first of each bag in one order of all elements, by the
+    count of their slot, then by their number; before: the element's place. Any such order finds all links; one by frequency makes few rows."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, bag in enumerate(batch.column(0).to_pylist()):
+                elements = np.frombuffer(bag, np.uint32)
+                free = len(elements) - int(np.ceil(least * len(elements) - 1e-9))
+                first = elements[np.lexsort((elements, often[slot_of(elements)]))[: free + 1]]
+                at = pa.array(np.full(len(first), i))
+                yield pa.RecordBatch.from_arrays([pa.array(first.astype(np.int64)), *[c.take(at) for c in batch.columns[1:]], pa.array(np.arange(len(first)))], names=["bucket", "node", "root", "before"])
+
+    return sets.select("bag", "node", "root").mapInArrow(emit, "bucket long, node binary, root binary, before long")
+
+
+def rarest(state: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(bucket, node, place, size, most, counts, before): the nodes by the elements of their prefix, those that several components have."""
     nodes = written(state.select("node", "root", "place", "size", "most", "counts").dropDuplicates(["node"]), "neardup-crowd")
-    elements = written(exploded(sets.select("node", "bag").join(nodes.select("node", "root", "size"), "node"), "root", "size"), "neardup-elements")
-    often = elements.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("element", "n")
-    from_end = F.row_number().over(Window.partitionBy("node").orderBy(F.col("n").desc(), "element"))  # a group is a bag
-    ranked = elements.join(often, "element").withColumn("before", F.col("size") - from_end)
-    prefix = ranked.where(F.col("before") <= F.col("size") - F.ceil(least * F.col("size") - 1e-9)).select(F.col("element").cast("long").alias("bucket"), "node", "before")
-    rows = written(prefix.join(nodes.drop("root"), "node"), "neardup-prefixes")
-    dropped(elements, nodes)
+    bags = written(sets.select("node", "bag").join(nodes.select("node", "root"), "node"), "neardup-crowd-bags")
+    first = written(prefixes(bags, slot_counts(bags), least), "neardup-elements")
+    dropped(bags)
+    several = first.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
+    rows = written(first.join(several, "bucket").drop("root").join(nodes.drop("root"), "node"), "neardup-prefixes")
+    dropped(first, nodes)
     # A node stays in a bucket if it could share enough with the smallest and with the least advanced of it.
     best = rows.groupBy("bucket").agg(F.min("size").alias("smallest"), F.max(F.col("size") - F.col("before")).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     may = F.least(F.col("size") - F.col("before"), F.col("best")) >= least / (1 + least) * (F.col("size") + F.greatest(F.col("smallest"), least * F.col("size"))) - 1e-6

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from scriptorium.llm import neardup as n
 
@@ -104,3 +105,27 @@ def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert ordered(tuple(r) for r in n.op1_bagminhash(spark, "/root/testdata/sf0.001").collect()) == ordered(brute(rows))
+
+
+def test_prefixes_of_bags(spark):
+    """Only a share of each bag's elements is dealt, and two similar bags have one of them in common, whatever their slots hold."""
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(60)]
+    texts = [" ".join([f"w{k}-{i}" for i in range(100)] + common) for k in range(20)]
+    texts += [altered(t.split(), 4, rng) for t in texts]
+    doc, h, count = n.bags(texts, n.WordHashes())[1:]
+    cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
+    sets = [n.expanded(h[a:b], count[a:b]) for a, b in zip(cuts, cuts[1:])]
+    rows = [(bytes([i]), bytes([i]), bytearray(x.tobytes())) for i, x in enumerate(sets)]
+    df = spark.createDataFrame(rows, "node binary, root binary, bag binary")
+    often = n.slot_counts(df)
+    assert often.sum() == sum(map(len, sets))
+    for slots in (often, np.zeros_like(often)):
+        first = {}
+        for r in n.prefixes(df, slots, n.SIMILARITY).collect():
+            first.setdefault(bytes(r.node)[0], set()).add(r.bucket)
+        assert all(len(first[i]) <= 0.2 * len(x) + 1 for i, x in enumerate(sets))
+        assert all(first[i] & first[j] for i in range(len(sets)) for j in range(i) if n.overlap(sets[i], sets[j]) >= n.SIMILARITY)
+    # By frequency, texts that only share a common passage don't meet.
+    of = [{r.bucket for r in n.prefixes(df.where(F.col("node") == bytes([i])), often, n.SIMILARITY).collect()} for i in (0, 1)]
+    assert not of[0] & of[1]
