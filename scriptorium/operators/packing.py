@@ -9,8 +9,9 @@ import math
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,15 +108,34 @@ def split_text(text: str, most: int) -> list[str]:
     return [p for p in parts if p]
 
 
+#: Characters of the units that a task splits and returns at once.
+PIECE = 1_000_000
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about PIECE characters of a text column (one text may be longer)."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        cuts = (np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // PIECE)) + 1).tolist()
+        for start, end in zip([0, *cuts], [*cuts, batch.num_rows]):
+            yield batch.slice(start, end - start)
+
+
 def unit_parts(units: DataFrame, key: list[str], text: str, chunk: int) -> DataFrame:
-    """(keys, part, text): oversize units in parts of at most max(500, chunk - 300) characters."""
+    """(keys, part, text): oversize units in parts of at most max(500, chunk - 300) characters. A task holds the parts of about PIECE characters."""
     most = max(500, chunk - 300)
 
-    @F.pandas_udf("array<string>")
-    def parts(x: pd.Series) -> pd.Series:
-        return x.fillna("").map(lambda t: split_text(t, most))
-
-    return units.select(*key, F.posexplode(parts(F.col(text))).alias("part", text))
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, len(key)):
+            parts = [split_text(t or "", most) for t in batch.column(len(key)).to_pylist()]
+            at = pa.array([i for i, x in enumerate(parts) for _ in x], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*[c.take(at) for c in batch.columns[: len(key)]], pa.array([n for x in parts for n in range(len(x))], pa.int32()), pa.array([p for x in parts for p in x], pa.string())],
+                names=[*key, "part", text],
+            )
+
+    kinds = ", ".join(f"`{k}` {units.schema[k].dataType.simpleString()}" for k in key)
+    return units.select(*key, text).mapInArrow(emit, f"{kinds}, part int, `{text}` string")
 
 
 class Batches:

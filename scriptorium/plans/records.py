@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.operators import packing, snapshots
-from scriptorium.sources.tables import table
+from scriptorium.sources.tables import bounded_batches, table
 
 QUERIES, SQL = {}, {}
 
@@ -147,6 +147,7 @@ def first_fit_batches(spark, sf_dir):
 
 @query()
 def unit_parts(spark, sf_dir):
+    bounded_batches(spark)
     parts = packing.unit_parts(table(spark, sf_dir, "documents"), ["doc_id"], "text", 2300)
     return parts.select("doc_id", "part", F.length("text").alias("size"), F.sha2("text", 256).alias("part_hash"))
 
