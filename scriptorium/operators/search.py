@@ -19,38 +19,39 @@ def index(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.posexplode(words(F.col(text))).alias("position", "token")).select("token", key, "position")
 
 
-def index_hits(postings: DataFrame, asked: DataFrame, key: str, query_key: str, text: str) -> DataFrame:
-    """(query, key): the documents that hold all words of a query, by equi-joins on the words."""
-    terms = asked.select(query_key, F.array_distinct(words(F.col(text))).alias("terms"))
-    each = terms.select(query_key, F.size("terms").alias("n"), F.explode("terms").alias("token"))
-    found = postings.select("token", key).distinct().join(each, "token").groupBy(query_key, key, "n").agg(F.count(F.lit(1)).alias("found"))
-    return found.where(F.col("found") == F.col("n")).select(query_key, key)
-
-
 def word_counts(docs: DataFrame, text: str) -> DataFrame:
     """(token, documents): in how many documents each word of any language is; one shuffle, of partial counts."""
     tokens = docs.select(F.explode(F.array_distinct(words(F.col(text), NOT_WORD))).alias("token"))
     return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("documents"))
 
 
-def rarest_hits(docs: DataFrame, asked: DataFrame, key: str, query_key: str, text: str) -> DataFrame:
-    """(query, key): the documents, of any language, that hold all words of a query. Keys are unique; a query without words finds nothing.
+#: Queries that are broadcast at once.
+BLOCK = 2_000
 
-    A query meets only the documents that hold its rarest word, so a common word makes no rows; the others are then
-    verified in the document's word set."""
-    terms = asked.select(query_key, F.array_distinct(words(F.col(text), NOT_WORD)).alias("terms"))
+
+def rarest_hits(docs: DataFrame, asked: DataFrame, key: str, query_key: str, text: str, between: str = NOT_WORD) -> DataFrame:
+    """(query, key): the documents that hold all words of a query. Keys are unique; a query without words finds nothing.
+
+    A query meets only the documents that hold its rarest word, so a common word makes no rows; the others are then verified in the document's word set, in
+    the same row. The queries are a stated set: they are broadcast in blocks of about BLOCK, one pass over the documents a block, and no text or word set is
+    shuffled."""
+    terms = asked.select(query_key, F.array_distinct(words(F.col(text), between)).alias("terms")).where(F.size("terms") > 0)
     each = terms.select(query_key, F.explode("terms").alias("token"))
-    held = docs.select(key, F.array_distinct(words(F.col(text), NOT_WORD)).alias("held"))
+    held = docs.select(key, F.array_distinct(words(F.col(text), between)).alias("held"))
     counts = held.select(F.explode("held").alias("token")).join(each.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     # A word that no document holds is the rarest, and finds nothing.
     rarest = each.join(counts, "token", "left").groupBy(query_key).agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "token"))["token"].alias("token"))
-    found = held.select(key, F.explode("held").alias("token")).join(rarest, "token").select(key, query_key)
-    whole = found.join(terms, query_key).join(held, key)
-    return whole.where(F.size(F.array_except("terms", "held")) == 0).select(query_key, key)
-
-
-#: Queries that are broadcast at once.
-BLOCK = 2_000
+    sought = rarest.join(terms, query_key)
+    blocks = max(1, -(-asked.count() // BLOCK))
+    out = None
+    for b in range(blocks):
+        part = sought.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b) if blocks > 1 else sought
+        tokens = part.agg(F.collect_set("token").alias("_tokens"))
+        met = held.join(F.broadcast(tokens)).select(key, "held", F.array_intersect("_tokens", "held").alias("_met")).where(F.size("_met") > 0)
+        found = met.select(key, "held", F.explode("_met").alias("token")).join(F.broadcast(part), "token")
+        hits = found.where(F.size(F.array_except("terms", "held")) == 0).select(query_key, key)
+        out = hits if out is None else out.unionAll(hits)
+    return out
 
 
 def substring_hits(docs: DataFrame, asked: DataFrame, key: str, query_key: str, haystack: Column) -> DataFrame:

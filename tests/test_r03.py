@@ -51,3 +51,25 @@ def test_a_function_that_names_the_module_is_dealt_after_comparisons(spark):
     pair = spark.createDataFrame([("costs 3", "价3")], "a string, b string")
     assert pair.select(numbers.integrity(F.col("a"), F.col("b"))["level"], numbers.level(F.col("a"), F.col("b"))).first() == ("ok", "ok")
     cloudpickle.dumps(lambda: translate.Fatal("limit"))
+
+
+def test_queries_of_common_words_shuffle_no_postings(spark, tmp_path):
+    """Texts that share a query's common words but not its rarest one make no rows, and no text is shuffled."""
+    docs = documents(spark, ["the of and rare", "the of and"] + ["the of and other"] * 30 + ["", None])
+    asked = spark.createDataFrame([(1, "The rare and the of"), (2, "of the missing"), (3, "..."), (4, "and of")], "item_id long, text string")
+    got, wanted = against_sql(spark, tmp_path, "search_index_hits", documents=docs, benchmark=asked)
+    assert got == wanted and len(got) == 33
+    plan = registry.QUERIES["search_index_hits"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_except" in plan
+
+
+def test_parts_are_made_of_few_texts_at_once(spark):
+    """A batch of long texts is worked on in slices."""
+    import pyarrow as pa
+
+    from scriptorium.operators import packing
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(["x" * 100_000] * 39 + [None])], names=["k", "t"])
+    assert max(p.num_rows for p in packing.pieces(iter([batch]), 1)) <= 11 and sum(p.num_rows for p in packing.pieces(iter([batch]), 1)) == 40
+    rows = packing.unit_parts(spark.createDataFrame([(1, "a. " * 400), (2, None), (3, "short")], "k long, t string"), ["k"], "t", 800).collect()
+    assert [(r.k, r.part, r.t) for r in rows] == [(k, i, p) for k, t in ((1, "a. " * 400), (2, ""), (3, "short")) for i, p in enumerate(packing.split_text(t, 500))]
