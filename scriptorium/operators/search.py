@@ -106,7 +106,10 @@ def ranked_hits(segments: DataFrame, asked: DataFrame, doc: str, segment: str, q
     A query meets only the documents of its rarest word; the other words are then looked up in these documents by equi-joins, so that a common
     word makes no rows of its own. Arrays hold one segment's places."""
     postings = positions(segments, doc, segment, text)
-    terms = asked.select(query, F.array_distinct(words(F.col(text), NOT_WORD)).alias("terms")).where(F.size("terms") > 0)
+    sets = asked.select(query, F.array_sort(F.array_distinct(words(F.col(text), NOT_WORD))).alias("terms")).where(F.size("terms") > 0)
+    # Queries of the same words have the same answers: one of them is asked.
+    terms = sets.groupBy("terms").agg(F.min(query).alias(query))
+    same = terms.select("terms", F.col(query).alias("_one")).join(sets, "terms").select("_one", query)
     each = terms.select(query, F.size("terms").alias("_n"), F.explode("terms").alias("token"))
     held = postings.join(each.select("token").distinct(), "token", "left_semi")
     by_doc = held.groupBy("token", doc).agg(F.sum(F.size("at")).alias("tf"), F.min(segment).alias("_seg"))
@@ -128,7 +131,8 @@ def ranked_hits(segments: DataFrame, asked: DataFrame, doc: str, segment: str, q
     subs = hits.groupBy(query, doc, segment).agg(places.alias("_found")).join(terms, query).withColumn("span", covering(F.col("_found"), F.col("terms")))
     anchors = subs.groupBy(query, doc).agg(F.min(F.when(F.col("span") <= excerpt, F.struct(segment, "span"))).alias("_a"), F.min(F.struct(segment, "span")).alias("_b"))
     pick = F.coalesce("_a", "_b")
-    return best.join(anchors, [query, doc]).select(query, F.col("rank").cast("int").alias("rank"), doc, "score", pick[segment].alias("anchor"), pick["span"].cast("int").alias("span"))
+    answers = best.join(anchors, [query, doc]).select(F.col(query).alias("_one"), F.col("rank").cast("int").alias("rank"), doc, "score", pick[segment].alias("anchor"), pick["span"].cast("int").alias("span"))
+    return same.join(answers, "_one").drop("_one")
 
 
 def unique_phrases(docs: DataFrame, text: str, n: int) -> DataFrame:

@@ -73,3 +73,14 @@ def test_parts_are_made_of_few_texts_at_once(spark):
     assert max(p.num_rows for p in packing.pieces(iter([batch]), 1)) <= 11 and sum(p.num_rows for p in packing.pieces(iter([batch]), 1)) == 40
     rows = packing.unit_parts(spark.createDataFrame([(1, "a. " * 400), (2, None), (3, "short")], "k long, t string"), ["k"], "t", 800).collect()
     assert [(r.k, r.part, r.t) for r in rows] == [(k, i, p) for k, t in ((1, "a. " * 400), (2, ""), (3, "short")) for i, p in enumerate(packing.split_text(t, 500))]
+
+
+def test_queries_of_the_same_words_are_asked_once(spark):
+    """The answers of repeated queries are copied, not searched again."""
+    from scriptorium.operators import search
+
+    segments = spark.createDataFrame([(d, 0, f"one two w{d}") for d in range(30)], "doc long, seg long, text string")
+    asked = spark.createDataFrame([(q, t) for q in range(40) for t in ["one two" if q % 2 else "Two, one"]], "q long, text string")
+    rows = search.ranked_hits(segments, asked, "doc", "seg", "q", "text").collect()
+    assert len(rows) == 40 * 20 and {(r.q, r.rank, r.doc, r.anchor, r.span) for r in rows} == {(q, k + 1, k, 0, 2) for q in range(40) for k in range(20)}
+    assert sorted(rows[0].asDict()) == ["anchor", "doc", "q", "rank", "score", "span"]
