@@ -1,4 +1,4 @@
-"""Full-text matching: an inverted index with positions, substring search, anchors, unique phrases and titles."""
+"""Full-text matching: an inverted index with positions, substring search, anchors and unique titles."""
 
 from __future__ import annotations
 
@@ -135,14 +135,6 @@ def ranked_hits(segments: DataFrame, asked: DataFrame, doc: str, segment: str, q
     return same.join(answers, "_one").drop("_one")
 
 
-def unique_phrases(docs: DataFrame, text: str, n: int) -> DataFrame:
-    """Runs of n words that occur once in the corpus."""
-    split = F.split(F.regexp_replace(F.lower(text), "^[ \n]+|[ \n]+$", ""), "[ \n]+")
-    runs = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))
-    rows = docs.select(split.alias("w")).where(F.size("w") >= n)
-    return rows.select(F.explode(runs).alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("c")).where("c = 1").select("phrase")
-
-
 def first_anchors(docs: DataFrame, key: str, text: str, needle: str, most: int, before: int = 30, size: int = 120) -> DataFrame:
     """(key, anchor, excerpt) of the first lines, in order, that hold the needle."""
     lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("n", "line")).where(F.contains(F.lower("line"), F.lit(needle)))

@@ -4,6 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from scriptorium.functions import numbers
+from scriptorium.operators import phrases
 from scriptorium.plans import registry
 
 
@@ -84,3 +85,25 @@ def test_queries_of_the_same_words_are_asked_once(spark):
     rows = search.ranked_hits(segments, asked, "doc", "seg", "q", "text").collect()
     assert len(rows) == 40 * 20 and {(r.q, r.rank, r.doc, r.anchor, r.span) for r in rows} == {(q, k + 1, k, 0, 2) for q in range(40) for k in range(20)}
     assert sorted(rows[0].asDict()) == ["anchor", "doc", "q", "rank", "score", "span"]
+
+
+def test_phrases_of_odd_texts(spark, tmp_path):
+    texts = ["a b c d \r", "a b c d\r", "A  b\nc d e", "a b c", "", " \n ", None, "x y x y x y x y", "p q r s t", "p q r s t", "é 数 ß\tz \u3000 w v", "the the the the the the"]
+    got, wanted = against_sql(spark, tmp_path, "unique_phrases", documents=documents(spark, texts))
+    assert got == wanted
+
+
+def test_a_common_pair_leads_no_phrase(spark, tmp_path):
+    texts = [f"w{i % 7} of the w{i % 11} v{i} of the v{i % 13}" for i in range(300)] + ["of the of the of the"] * 5
+    got, wanted = against_sql(spark, tmp_path, "unique_phrases", documents=documents(spark, texts))
+    assert got == wanted
+
+
+def test_phrases_travel_in_packed_stretches(spark):
+    """Before, each run of four words was a row of the shuffle."""
+    docs = spark.createDataFrame([(" ".join(f"word{(i * 7919 + j * 104729) % 9973}" for j in range(400)),) for i in range(200)], "text string").coalesce(1)
+    rows = phrases.packed(docs, 4, phrases.sketched(docs) > 10**9, 8).collect()
+    runs = 200 * 397
+    assert len(rows) <= 16 and sum(r["size"] for r in rows) < 0.75 * runs * len("word1234 word1234 word1234 word1234")
+    assert sum(len(r["stretches"]) for r in rows) < 15 * runs
+    assert phrases.unique_phrases(docs, "text", 4).count() == docs.selectExpr("explode(transform(sequence(1, 397), i -> slice(split(text, ' '), i, 4))) p").groupBy("p").count().where("count = 1").count()
