@@ -59,6 +59,8 @@ CLASSES = 16
 HUB_ROUNDS = 3
 #: Slots of the sketch that orders elements by frequency, and those of one row of it.
 SLOTS, SLOT_BLOCK = 1 << 18, 1 << 12
+#: Bits of the filter that keeps the bags of other nodes out of a round's shuffle.
+FILTER_BITS = 1 << 23
 #: Words a task remembers the hashes of; beyond that it starts anew.
 MEMO = 200_000
 #: Characters that are worked on at once.
@@ -292,9 +294,24 @@ def counted(sets: DataFrame) -> DataFrame:
     return sets.select("node", "size", "bag").mapInArrow(emit, "node binary, size long, counts array<int>")
 
 
+def bags_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, bag) of the pairs' nodes, and of few others: bags that no pair needs are left out before anything is shuffled.
+
+    Few nodes are broadcast; of many a bitmap of FILTER_BITS is, which lets some others through."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    if ends.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return sets.join(F.broadcast(ends), "node", "left_semi").select("node", "bag")
+    slot = f"pmod(xxhash64(node), {FILTER_BITS})"
+    words = ends.groupBy(F.expr(f"{slot} div 64").alias("id")).agg(F.expr(f"bit_or(shiftleft(1L, cast({slot} % 64 as int)))").alias("bits"))
+    every = ends.sparkSession.range(FILTER_BITS // 64).join(words, "id", "left").select(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("w"))
+    bitmap = every.agg(F.array_sort(F.collect_list("w"))["bits"].alias("_bits"))  # one row
+    met = F.expr(f"(shiftright(get(_bits, cast({slot} div 64 as int)), cast({slot} % 64 as int)) & 1L) = 1")
+    return sets.join(F.broadcast(bitmap), met, "left_semi").select("node", "bag")
+
+
 def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs (a, b, ...) whose bags overlap enough."""
-    kept = pairs.schema
+    """Those of the pairs (a, b, ...), which are read twice, whose bags overlap enough."""
+    kept, sets = pairs.schema, bags_of(pairs, sets)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -354,8 +371,9 @@ def meet(state: DataFrame, slots: int, sets: DataFrame, least: float) -> tuple[D
     both = state.join(F.broadcast(hubs) if few else hubs, (state["bucket"] == hubs["bucket"]) & may)
     turned = F.col("node") > F.col("node_a")
     end = lambda x, y: F.when(turned, F.col(x)).otherwise(F.col(y))
-    pairs = both.select(end("node_a", "node").alias("a"), end("node", "node_a").alias("b"), end("root_a", "root").alias("root_a"), end("root", "root_a").alias("root_b")).distinct()
+    pairs = written(both.select(end("node_a", "node").alias("a"), end("node", "node_a").alias("b"), end("root_a", "root").alias("root_a"), end("root", "root_a").alias("root_b")).distinct(), "neardup-pairs")
     found = written(similar(pairs, sets, least), "neardup-found")
+    dropped(pairs)
     left = written(join_sized(state.drop("root"), hubs.select("bucket", F.col("node_a").alias("node")), ["bucket", "node"], "left_anti"), "neardup-buckets")
     dropped(hubs)
     return found, left

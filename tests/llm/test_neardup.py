@@ -129,3 +129,18 @@ def test_prefixes_of_bags(spark):
     # By frequency, texts that only share a common passage don't meet.
     of = [{r.bucket for r in n.prefixes(df.where(F.col("node") == bytes([i])), often, n.SIMILARITY).collect()} for i in (0, 1)]
     assert not of[0] & of[1]
+
+
+def test_only_the_bags_of_pairs_are_dealt(spark, monkeypatch):
+    """Before, each round shuffled all bags."""
+    name = lambda c: F.unhex(F.md5(c.cast("string")))
+    sets = spark.range(20_000).select(name(F.col("id")).alias("node"), F.lit(b"abcd").alias("bag"))
+    pairs = spark.range(300).select(name(F.col("id")).alias("a"), name(F.col("id") + 1).alias("b"), F.lit(1).alias("x"))
+    wanted = {r[0] for r in pairs.selectExpr("explode(array(a, b))").collect()}
+    assert {r["node"] for r in n.bags_of(pairs, sets).collect()} == wanted
+    monkeypatch.setattr(n, "BROADCAST_ROWS", 10)
+    through = [r["node"] for r in n.bags_of(pairs, sets).collect()]
+    assert wanted <= set(through) and len(through) == len(set(through)) < 2 * len(wanted)
+    monkeypatch.setattr(n, "FILTER_BITS", 1 << 12)
+    assert wanted <= {r["node"] for r in n.bags_of(pairs, sets).collect()}
+    assert n.similar(pairs, sets, 0.8).count() == 300
