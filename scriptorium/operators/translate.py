@@ -103,15 +103,19 @@ def plan(records: DataFrame, units: DataFrame, checkpoint: DataFrame, force: boo
     kept = checkpoint if resume and not force else checkpoint.limit(0)
     runs = kept.groupBy("id").agg(F.max("source_hash").alias("_at"), F.bool_or("forced").alias("_forced"))
     saved = kept.where(F.trim(F.coalesce("result", F.lit(""))) != "").select("id", "unit", F.col("unit_hash"), F.col("result").alias("_stored")).dropDuplicates(["id", "unit", "unit_hash"])
-    u = units.select("id", "unit", "text", "speaker", "text_zh").withColumn("unit_hash", unit_hash()).join(saved, ["id", "unit", "unit_hash"], "left")
-    whole = u.groupBy("id").agg(F.bool_and(F.col("_stored").isNotNull()).alias("_whole"))
+    u = units.select("id", "unit", "text", "speaker", "text_zh").withColumn("unit_hash", unit_hash())
+    # What is known of each unit is found by its key alone, so that the texts are shuffled once.
+    keys = u.select("id", "unit", "unit_hash").distinct().join(saved, ["id", "unit", "unit_hash"], "left")
+    whole = keys.groupBy("id").agg(F.bool_and(F.col("_stored").isNotNull()).alias("_whole"))
     r = records.join(runs, "id", "left").join(whole, "id", "left")
     complete = F.coalesce(F.col("status").isin("translated", "reviewed"), F.lit(False))
     changed = complete & F.coalesce(F.col("_at") != F.col("source_hash"), F.lit(False))
     isolated = F.lit(force) | F.coalesce("_forced", F.lit(False))
     action = F.when(isolated, "run").when(complete & ~changed, "skip").when(changed & F.coalesce("_whole", F.lit(True)), "stamp").otherwise("run")
     state = r.select("id", "source_hash", isolated.alias("isolated"), changed.alias("_changed"), action.alias("action"))
-    rows = u.join(state, "id").withColumn("base", F.when(F.col("isolated"), "").otherwise(F.coalesce("text_zh", F.lit(""))))
+    known = keys.join(state, "id").select(F.col("id").alias("_id"), F.col("unit").alias("_unit"), F.col("unit_hash").alias("_hash"), "_stored", "source_hash", "isolated", "_changed", "action")
+    met = (F.col("id") == F.col("_id")) & F.col("unit").eqNullSafe(F.col("_unit")) & (F.col("unit_hash") == F.col("_hash"))
+    rows = u.join(known, met).withColumn("base", F.when(F.col("isolated"), "").otherwise(F.coalesce("text_zh", F.lit(""))))
     has = F.trim("base") != ""
     settled = has & ~F.col("isolated") & F.lit(resume) & (~F.col("_changed") | F.col("_stored").isNotNull())
     start = F.when(settled, F.col("base")).otherwise(F.coalesce(F.col("_stored"), F.when(~F.col("_changed"), F.col("base")), F.lit("")))
@@ -125,15 +129,23 @@ def finish(records: DataFrame, planned: DataFrame, results: DataFrame, checkpoin
     """(records, units, checkpoint) after a run; results: the outcomes of the pending units. Publish all three together.
 
     A result that is blank or changes numbers isn't taken."""
-    fresh = results.select("id", "unit", "unit_hash", F.col("result").alias("_result"), F.col("error").alias("_error"))
-    rows = planned.where("action = 'run'").join(fresh, ["id", "unit", "unit_hash"], "left")
-    given = F.trim(F.coalesce("_result", F.lit(""))) != ""
-    fault = F.when(~F.col("pending"), None).when(F.col("_error").isNotNull(), F.col("_error")).when(~given, "empty").when(~good(F.col("text"), F.col("_result")), "changed numbers")
-    rows = rows.withColumn("_fault", fault)
-    now = F.when(F.col("pending") & F.col("_fault").isNull(), F.col("_result")).when(F.col("pending"), "").otherwise(F.col("start"))
-    rows = rows.withColumn("_now", F.coalesce(now, F.lit("")))
-    blank = F.trim("_now") == ""
-    ends = rows.groupBy("id").agg(F.bool_and(~blank).alias("_ok"), F.min(F.when(blank, F.concat("unit", F.lit(": "), F.coalesce("_fault", F.lit("missing"))))).alias("_why"), F.first("isolated").alias("_isolated"))
+    # Whether there is a text is told before the joins, so that the outcomes by record are found without texts; these are shuffled once.
+    empty = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    fresh = results.select("id", "unit", "unit_hash", F.col("result").alias("_result"), F.col("error").alias("_error"), (~empty("result")).alias("_given"))
+    ran_units = planned.where("action = 'run'").withColumn("_empty", empty("start"))
+
+    def judged(units: DataFrame) -> DataFrame:
+        rows = units.join(fresh, ["id", "unit", "unit_hash"], "left")
+        given = F.coalesce("_given", F.lit(False))
+        fault = F.when(~F.col("pending"), None).when(F.col("_error").isNotNull(), F.col("_error")).when(~given, "empty").when(~good(F.col("text"), F.col("_result")), "changed numbers")
+        rows = rows.withColumn("_fault", fault)
+        now = F.when(F.col("pending") & F.col("_fault").isNull(), F.col("_result")).when(F.col("pending"), "").otherwise(F.col("start"))
+        blank = F.when(F.col("pending"), F.col("_fault").isNotNull() | ~given).otherwise(F.col("_empty"))
+        return rows.withColumn("_now", F.coalesce(now, F.lit(""))).withColumn("_blank", blank)
+
+    blank = F.col("_blank")
+    ends = judged(ran_units).groupBy("id").agg(F.bool_and(~blank).alias("_ok"), F.min(F.when(blank, F.concat("unit", F.lit(": "), F.coalesce("_fault", F.lit("missing"))))).alias("_why"), F.first("isolated").alias("_isolated"))
+    rows = judged(ran_units.join(ends.select("id", "_ok"), "id"))
     r = records.join(ends, "id", "left").join(planned.select("id", "action").distinct(), "id", "left")
     ran, ok = F.col("action") == "run", F.coalesce("_ok", F.lit(True))  # a record without units is complete
     lone = ran & F.coalesce("_isolated", F.lit(False))
@@ -142,13 +154,13 @@ def finish(records: DataFrame, planned: DataFrame, results: DataFrame, checkpoin
         "id", "source_hash", pick(F.lit("translated"), F.lit("failed"), F.col("status")).alias("status"), pick(F.lit(model), F.lit(model), F.col("model")).alias("model"), pick(F.lit(at), F.col("translated_at"), F.col("translated_at")).alias("translated_at"),
         pick(F.lit(None), F.lit(None), F.col("reviewed_at")).cast("string").alias("reviewed_at"), F.when(ran & ok, None).when(ran, F.col("_why")).otherwise(F.col("last_error")).alias("last_error"),
     )
-    shown = rows.join(ends.select("id", "_ok"), "id").select("id", "unit", "text", "speaker", F.when(F.col("isolated") & ~F.col("_ok"), F.col("text_zh")).otherwise(F.col("_now")).alias("text_zh"))
+    shown = rows.select("id", "unit", "text", "speaker", F.when(F.col("isolated") & ~F.col("_ok"), F.col("text_zh")).otherwise(F.col("_now")).alias("text_zh"))
     units = shown.unionByName(planned.where("action <> 'run'").select("id", "unit", "text", "speaker", "text_zh"))
     # Records that ran have their units of now; those that are skipped keep theirs, stamped anew where only other fields of the source changed.
-    mine = rows.where(~blank).join(ends.select("id", "_ok"), "id").select("id", "unit", "unit_hash", "source_hash", F.col("_now").alias("result"), (F.col("isolated") & ~F.col("_ok")).alias("forced"))
-    opened = rows.where("isolated").join(ends.where("not _ok").select("id"), "id", "left_semi").groupBy("id").agg(F.first("source_hash").alias("source_hash"))
+    mine = rows.where(~blank).select("id", "unit", "unit_hash", "source_hash", F.col("_now").alias("result"), (F.col("isolated") & ~F.col("_ok")).alias("forced"))
+    opened = rows.where("isolated and not _ok").groupBy("id").agg(F.first("source_hash").alias("source_hash"))
     flags = opened.select("id", F.lit("").alias("unit"), F.lit("").alias("unit_hash"), "source_hash", F.lit("").alias("result"), F.lit(True).alias("forced"))
     stamps = planned.where("action = 'stamp'").select("id", F.col("source_hash").alias("_new")).distinct()
-    others = checkpoint.join(rows.select("id").distinct(), "id", "left_anti").join(stamps, "id", "left").withColumn("source_hash", F.coalesce("_new", "source_hash")).drop("_new")
+    others = checkpoint.join(ran_units.select("id").distinct(), "id", "left_anti").join(stamps, "id", "left").withColumn("source_hash", F.coalesce("_new", "source_hash")).drop("_new")
     columns = ["id", "unit", "unit_hash", "source_hash", "result", "forced"]
     return out, units, others.select(*columns).unionByName(mine.select(*columns)).unionByName(flags.select(*columns))

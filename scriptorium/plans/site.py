@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from scriptorium.operators import build as B
@@ -141,6 +142,8 @@ def translation_run(spark, sf_dir):
     fine = lambda source, target: F.lit(True)
     planned = R.plan(rows, units, saved, good=fine)
     pending = planned.where("pending")
-    out, shown, _ = R.finish(rows, planned, R.called(pending, lambda texts: ["译" + t if t.strip(" ") else t for t in texts]), saved, "m", "now", good=fine)
+    # The outcomes are kept: a unit is asked for once, however often they are read.
+    results = R.in_waves(pending, lambda texts: ["译" + t if t.strip(" ") else t for t in texts], lambda df: df.persist(StorageLevel.DISK_ONLY))
+    out, shown, _ = R.finish(rows, planned, results, saved, "m", "now", good=fine)
     text = F.when(F.col("text_zh").isin("", "old"), F.col("text_zh")).otherwise(F.md5("text_zh"))
     return out.select("id", "status").join(shown.select("id", text.alias("shown")), "id").join(pending.select("id", F.lit(True).alias("asked")), "id", "left").select("id", "status", F.coalesce("asked", F.lit(False)).alias("asked"), "shown")

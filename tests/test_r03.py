@@ -4,7 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from scriptorium.functions import numbers
-from scriptorium.operators import phrases
+from scriptorium.operators import phrases, translate
 from scriptorium.plans import registry
 
 
@@ -107,3 +107,22 @@ def test_phrases_travel_in_packed_stretches(spark):
     assert len(rows) <= 16 and sum(r["size"] for r in rows) < 0.75 * runs * len("word1234 word1234 word1234 word1234")
     assert sum(len(r["stretches"]) for r in rows) < 15 * runs
     assert phrases.unique_phrases(docs, "text", 4).count() == docs.selectExpr("explode(transform(sequence(1, 397), i -> slice(split(text, ' '), i, 4))) p").groupBy("p").count().where("count = 1").count()
+
+
+def test_a_run_asks_for_each_unit_once(spark, tmp_path, monkeypatch):
+    """Before, the outcomes were made anew wherever they were read."""
+    calls, called = spark.sparkContext.accumulator(0), translate.called
+
+    def watched(units, run, most=translate.BATCH_CHARS):
+        def counting(texts):
+            calls.add(len(texts))
+            return run(texts)
+
+        return called(units, counting, most)
+
+    monkeypatch.setattr(translate, "called", watched)
+    docs = documents(spark, [f"text {i} of the run" for i in range(40)] + ["text 1 of the run", "twice", "twice"])
+    labels = spark.createDataFrame([(i, i % 2, i % 3 % 2) for i in range(30)], "doc_id long, quality int, toxic int")
+    got, wanted = against_sql(spark, tmp_path, "translation_run", documents=docs, labels=labels)
+    assert got == wanted
+    assert calls.value == sum("True" in r for r in got)
