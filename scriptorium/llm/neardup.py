@@ -14,16 +14,18 @@ duplicates if their bags' weighted Jaccard similarity is at least ``SIMILARITY``
    missed with a probability of (1 - 0.8**4)**24 = 3e-6.
 4. Verification by hubs. In every bucket the first node (the hub, found by a ``min`` aggregate) meets the others by the overlap of their
    bags (sets of 32-bit hashes; two different elements agree with a probability of 2**-32). Verified links are contracted to components;
-   hubs go, and so do buckets whose nodes are all of one component. A round's join makes at most one row for each (bucket, node) that is left.
+   hubs go, and so do buckets whose nodes are all of one component. The first round's join makes at most one row for each (bucket, node), the
+   second's at most ``HUBS``: there a bucket has ``HUBS`` hubs, and one of no more nodes is done with, as all its pairs meet.
    A large group of copies falls into one component after a round or two.
 5. What is left after ``HUB_ROUNDS`` rounds are nodes that share buckets without being alike, as texts around a common passage.
    Their links are found by the prefix filter: two similar bags share one of the rarest elements of each (by the counts of slots of a
    sketch of fixed size, which only bears on the work, not on the result; the prefix is as long as the threshold leaves free), so the bags are dealt anew by these elements
    and the rounds go on. Bounds by position in the prefix, by size and by class counts keep pairs that can't be similar out of the join's
-   output. If a rarest element is still common, hubs grow in number (one for each of 1, 4, 16, ... slots of a hash), so every pair of
-   different components meets: no link is lost and no group is expanded into all its pairs.
+   output. A round then has as many hubs a bucket (one for each slot of a hash, or every node of a bucket that has no more nodes) as
+   ``MEETINGS`` allows for all its rows, and four times the last round's at least, so every pair of different components meets and no link is lost.
+   Usually that is one round: what a round costs is its shuffles, since few rows are left by then.
 6. Components by least labels with pointer jumping; every round is written to the shared folder, and its tables are removed when the next
-   one is written.
+   one is written. Tables of at most BROADCAST_ROWS rows are broadcast there, larger ones shuffled.
 
 Bags are counted by ``CLASSES`` classes of elements, without those that no other node of a bucket over ``CROWD`` nodes has. Two nodes share at
 most the sum of the lesser counts. The node with the fewest elements of its own, the middle of its group, is the first hub. Nothing grows on the
@@ -56,7 +58,11 @@ CROWD = 4
 #: Classes of shingles that bags are counted by.
 CLASSES = 16
 #: Rounds of hubs before the bags left are dealt by their rarest elements.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
+#: Hubs of a bucket in those after the first.
+HUBS = 16
+#: Times that rows are held against a hub in one round after those: so many a row, or so many in all if that is more.
+MEETINGS, ALL_MEETINGS = 64, 1 << 23
 #: Slots of the sketch that orders elements by frequency, and those of one row of it.
 SLOTS, SLOT_BLOCK = 1 << 18, 1 << 12
 #: Bits of the filter that keeps the bags of other nodes out of a round's shuffle.
@@ -325,12 +331,14 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the least node of each component of the links (a, b), by least labels with pointer jumping."""
     both = written(links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "neardup-links")
+    # No table here has more rows than this one.
+    small = F.broadcast if both.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lambda df: df
     labels = base = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "neardup-labels")
     while True:
-        lowest = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("low"))
-        hooked = labels.join(lowest, "node").select("node", F.least("root", "low").alias("next"), "root")
+        lowest = both.join(small(labels.withColumnRenamed("node", "b")), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("low"))
+        hooked = labels.join(small(lowest), "node").select("node", F.least("root", "low").alias("next"), "root")
         onward = labels.select(F.col("node").alias("next"), F.col("root").alias("jump"))
-        moved = written(hooked.join(onward, "next", "left").select("node", F.least("next", F.coalesce("jump", "next")).alias("next"), "root"), "neardup-labels")
+        moved = written(hooked.join(small(onward), "next", "left").select("node", F.least("next", F.coalesce("jump", "next")).alias("next"), "root"), "neardup-labels")
         dropped(base)
         base, labels = moved, moved.select("node", F.col("next").alias("root"))
         if moved.where("next <> root").limit(1).count() == 0:
@@ -341,32 +349,42 @@ def components(links: DataFrame) -> DataFrame:
 def relabelled(labels: DataFrame, merged: DataFrame) -> DataFrame:
     """Labels (node, root) after some roots, and nodes that had no label, were merged."""
     onward = merged.select(F.col("node").alias("root"), F.col("root").alias("next"))
-    moved = labels.join(onward, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-    return written(moved.unionAll(merged.join(labels, "node", "left_anti").select("node", "root")), "neardup-labels")
+    moved = join_sized(labels, onward, ["root"]).select("node", F.coalesce("next", "root").alias("root"))
+    return written(moved.unionAll(join_sized(merged, labels, ["node"], "left_anti").select("node", "root")), "neardup-labels")
 
 
 def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The rows of buckets that hold several components, with their root."""
+    """The rows of buckets that hold several components, with their root and the bucket's number of rows (n)."""
     if labels is None:
         state = rows.withColumn("root", F.col("node"))
     else:
-        state = written(rows.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")), "neardup-rooted")
-    several = state.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
+        state = written(join_sized(rows, labels, ["node"]).withColumn("root", F.coalesce("root", "node")), "neardup-rooted")
+    several = state.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("bucket", "n")
     out = written(join_sized(state, several, ["bucket"], "inner"), "neardup-state")
     dropped(state, rows)
     return out
 
 
+def crowding(state: DataFrame) -> tuple[int, int]:
+    """The rows of the largest bucket (0 if there is none), and how many hubs a bucket may have in one round."""
+    steps = [4**k for k in range(11)]
+    row = state.agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("largest"), *[F.sum(F.least("n", F.lit(s))).alias(f"s{s}") for s in steps]).first()
+    most = max(MEETINGS * row["rows"], ALL_MEETINGS)
+    return row["largest"] or 0, max(s for s in steps if (row[f"s{s}"] or 0) <= most)
+
+
 def meet(state: DataFrame, slots: int, sets: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """Lets the hubs of each bucket (one for each slot of a hash) meet its other nodes: the links that hold, and the rows that are left."""
+    """Lets the hubs of each bucket (one for each slot of a hash; all nodes, if they are no more than slots) meet its other nodes: the links that
+    hold, and the rows that are left."""
     first = F.min(F.struct("place", "node", "root", "size", "counts", "before")).alias("h")
-    slot = F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot")
+    whole = F.col("n") <= slots
+    slot = F.when(whole, F.col("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(slots)).cast("string").cast("binary")).alias("slot")
     hubs = written(state.groupBy("bucket", slot).agg(first).select("bucket", "h.*").select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("node", "root", "size", "counts", "before")]), "neardup-hubs")
     # What two similar bags share at least; what they share at most from their first shared element on, and by class counts.
     need = F.lit(least / (1 + least)) * (F.col("size") + F.col("size_a")) - 1e-6
     rest = F.least(F.col("size") - F.col("before"), F.col("size_a") - F.col("before_a"))
     shared = sum((F.least(F.col("counts")[c], F.col("counts_a")[c]) for c in range(CLASSES)), F.lit(0))
-    may = (F.col("root") != F.col("root_a")) & (rest >= need) & (shared >= need)
+    may = (F.col("root") != F.col("root_a")) & (~whole | (F.col("node") > F.col("node_a"))) & (rest >= need) & (shared >= need)
     few = hubs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     both = state.join(F.broadcast(hubs) if few else hubs, (state["bucket"] == hubs["bucket"]) & may)
     turned = F.col("node") > F.col("node_a")
@@ -374,7 +392,7 @@ def meet(state: DataFrame, slots: int, sets: DataFrame, least: float) -> tuple[D
     pairs = written(both.select(end("node_a", "node").alias("a"), end("node", "node_a").alias("b"), end("root_a", "root").alias("root_a"), end("root", "root_a").alias("root_b")).distinct(), "neardup-pairs")
     found = written(similar(pairs, sets, least), "neardup-found")
     dropped(pairs)
-    left = written(join_sized(state.drop("root"), hubs.select("bucket", F.col("node_a").alias("node")), ["bucket", "node"], "left_anti"), "neardup-buckets")
+    left = written(join_sized(state.drop("root", "n"), hubs.select("bucket", F.col("node_a").alias("node")), ["bucket", "node"], "left_anti"), "neardup-buckets")
     dropped(hubs)
     return found, left
 
@@ -408,20 +426,29 @@ def rooted(docs: DataFrame, key: str, text_col: str, least: float) -> DataFrame:
     while True:
         state = labelled(rest, labels)
         dropped(rows)
-        if state.limit(1).count() == 0:
-            break
-        if turn == HUB_ROUNDS:
+        largest, afforded = crowding(state)
+        if largest and turn == HUB_ROUNDS:
             rest = rarest(state, sets, least)
             dropped(state)
             state = labelled(rest, labels)
+            largest, afforded = crowding(state)
+        if not largest:
+            dropped(state)
+            break
+        if turn >= HUB_ROUNDS:
+            slots = max(afforded, slots * 4)
         found, rest = meet(state, slots, sets, least)
         dropped(state)
         if found.limit(1).count():
             merged = components(found.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
             labels = merged if labels is None else relabelled(labels, merged)
         dropped(found)
+        if largest <= slots:
+            dropped(rest)
+            break
         turn += 1
-        slots = 1 if turn <= HUB_ROUNDS else slots * 4
+        if turn < HUB_ROUNDS:
+            slots = HUBS
     dropped(sets)
     if labels is None:
         labels = names.select("node", F.col("node").alias("root")).limit(0)

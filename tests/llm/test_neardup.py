@@ -92,6 +92,26 @@ def test_a_large_group_without_a_common_hub(spark):
     assert ordered(tuple(r) for r in n.classes(df).collect()) == ordered(brute(rows))
 
 
+def test_unlike_texts_of_common_passages_take_few_rounds(spark, monkeypatch):
+    """Each text is six of twelve passages: buckets and rarest elements are common, hardly a pair is alike. Before, hubs grew from one to 64, a round each time."""
+    passages = [" ".join(f"p{i}-{j}" for j in range(60)) for i in range(12)]
+    rng = random.Random(6)
+    rows = [(k, " ".join(passages[i] for i in sorted(rng.sample(range(12), 6)))) for k in range(60)]
+    rows += [(k, altered(rows[k - 60][1].split(), 3, rng)) for k in range(60, 65)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    rounds, meet = [], n.meet
+    monkeypatch.setattr(n, "meet", lambda state, slots, sets, least: rounds.append(slots) or meet(state, slots, sets, least))
+    assert ordered(tuple(r) for r in n.classes(df).collect()) == ordered(brute(rows))
+    assert 2 < len(rounds) <= 3
+    # Where meetings are limited, rounds go on until all have met, with the same classes.
+    monkeypatch.setattr(n, "MEETINGS", 1)
+    monkeypatch.setattr(n, "ALL_MEETINGS", 1)
+    monkeypatch.setattr(n, "HUBS", 2)
+    rounds.clear()
+    assert ordered(tuple(r) for r in n.classes(df).collect()) == ordered(brute(rows))
+    assert rounds[:3] == [1, 2, 8] and len(rounds) > 3
+
+
 def test_keep_first(spark):
     a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
     df = spark.createDataFrame([(5, a, 1), (2, a + " x", 2), (2, a + " x", 2), (9, b, 3), (None, b, 4)], "doc_id long, text string, class_id int")
